@@ -167,7 +167,7 @@ def normalize_gender(c, compat: bool = True) -> Column:
 
 
 def education_regex(terms) -> str:
-    return r"\b(" + "|".join(t.replace(" ", r"\ ") for t in terms) + r")\b"
+    return r"\b(" + "|".join(terms) + r")\b"
 
 
 def normalize_education(c) -> Column:

@@ -2,11 +2,12 @@
 
 A plain ``Window.partitionBy(user).orderBy(...)`` puts every row of a user into one
 task, so one user holding a third of the data would sort a third of the data in a
-single task. ``running_sum`` instead range-partitions on (keys, order): a hot key
-is spread over many partitions, each partition computes local running sums, and
-a small table of per-partition totals (one row per partition a key touches)
-supplies the offsets. The large side is shuffled once for the range partition
-and once for the local window; the offset join reuses the window's partitioning.
+single task. ``running_sum`` instead cuts the (keys, order) sequence into value
+ranges ("buckets") whose boundaries come from a small seeded sample; a hot key
+spans many buckets. Each (bucket, key) group computes local running sums, and a
+table of per-(bucket, key) totals (one row per bucket a key touches) supplies the
+offsets. Buckets are a deterministic function of the row's values, so every
+branch of the plan and every recomputation after an executor loss agree.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PID, LOCAL, TOT, OFF, KEYTOT = "_pl_pid", "_pl_local", "_pl_tot", "_pl_off", "_pl_keytot"
+BKT, LOCAL, TOT, OFF, KEYTOT = "_pl_bkt", "_pl_local", "_pl_tot", "_pl_off", "_pl_keytot"
+MAX_BUCKETS = 512
+SAMPLE_PER_BUCKET = 20
 
 
 def _cols(xs) -> list[Column]:
@@ -29,37 +32,88 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value, out: str,
+def range_bucket(df: DataFrame, cols: Sequence[str], n: int, seed: int = 17) -> Column:
+    """Deterministic bucket id in [0, n) of the row's position in ``cols`` order.
+
+    Boundaries are quantiles of a seeded sample of at most ~SAMPLE_PER_BUCKET * n
+    rows (the only data brought to the driver, bounded by n); the bucket is found
+    with a balanced CASE tree (log2 n comparisons per row, JVM-side).
+    """
+    n = max(1, min(n, MAX_BUCKETS))
+    if n == 1:
+        return F.lit(0)
+    proj = df.select(*cols)
+    total = proj.count()
+    if total == 0:
+        return F.lit(0)
+    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
+    rows = proj.sample(withReplacement=False, fraction=frac, seed=seed).collect()
+    key = [tuple((v is not None, v) for v in r) for r in rows]
+    key.sort()
+    bounds = []
+    for i in range(1, n):
+        if key:
+            b = key[min(len(key) - 1, i * len(key) // n)]
+            if not bounds or b != bounds[-1]:
+                bounds.append(b)
+    if not bounds:
+        return F.lit(0)
+    types = {f.name: f.dataType for f in proj.schema.fields}
+
+    def ge(bound) -> Column:
+        # row >= bound in lexicographic order, nulls first (as in the sort above)
+        cond = F.lit(True)
+        for c, (present, v) in reversed(list(zip(cols, bound))):
+            col = F.col(c)
+            lit = F.lit(v).cast(types[c]) if present else None
+            if not present:
+                gt, eq = col.isNotNull(), col.isNull()
+            else:
+                gt, eq = F.coalesce(col > lit, F.lit(False)), F.coalesce(col == lit, F.lit(False))
+            cond = gt | (eq & cond)
+        return cond
+
+    def tree(lo: int, hi: int) -> Column:
+        # bucket index = number of bounds <= row, searched in bounds[lo:hi]
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(ge(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
                 key_total: str | None = None, exclusive: bool = False,
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = running sum of ``value`` over ``order`` within ``keys``.
 
-    ``order`` must be a total order within a key (add a tie-break column).
-    ``key_total`` optionally adds the key's grand total; ``exclusive`` gives the
-    sum of the rows strictly before.
+    ``order`` must be column names forming a total order within a key (add a
+    tie-break column). ``key_total`` optionally adds the key's grand total;
+    ``exclusive`` gives the sum of the rows strictly before.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     val = F.col(value) if isinstance(value, str) else value
     n = _partitions(df, num_partitions)
     base = df.withColumn("_pl_val", val)
-    rp = base.repartitionByRange(n, *_cols(keys), *_cols(order)).withColumn(PID, F.spark_partition_id())
-    w_local = (Window.partitionBy(PID, *keys).orderBy(*_cols(order))
+    base = base.withColumn(BKT, range_bucket(base, [*keys, *order], n))
+    w_local = (Window.partitionBy(BKT, *keys).orderBy(*_cols(order))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rp = rp.withColumn(LOCAL, F.coalesce(F.sum("_pl_val").over(w_local), F.lit(0)))
-    totals = rp.groupBy(PID, *keys).agg(F.coalesce(F.sum("_pl_val"), F.lit(0)).alias(TOT))
-    w_off = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    sel = [PID, *keys, F.coalesce(F.sum(TOT).over(w_off), F.lit(0)).alias(OFF)]
+    local = base.withColumn(LOCAL, F.coalesce(F.sum("_pl_val").over(w_local), F.lit(0)))
+    totals = base.groupBy(BKT, *keys).agg(F.coalesce(F.sum("_pl_val"), F.lit(0)).alias(TOT))
+    w_off = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
+    sel = [BKT, *keys, F.coalesce(F.sum(TOT).over(w_off), F.lit(0)).alias(OFF)]
     if key_total:
         sel.append(F.sum(TOT).over(Window.partitionBy(*keys)).alias(KEYTOT))
     offsets = totals.select(*sel)
-    res = rp.join(offsets, [PID, *keys], "inner")
+    res = local.join(offsets, [BKT, *keys], "inner")
     total = F.col(LOCAL) + F.col(OFF)
     if exclusive:
         total = total - F.coalesce(F.col("_pl_val"), F.lit(0))
     res = res.withColumn(out, total.cast("long"))
     if key_total:
         res = res.withColumn(key_total, F.col(KEYTOT).cast("long"))
-    return res.drop(PID, LOCAL, OFF, KEYTOT, "_pl_val")
+    return res.drop(BKT, LOCAL, OFF, KEYTOT, "_pl_val")
 
 
 def row_position(df: DataFrame, order: Sequence, out: str = "row_pos", keys: Sequence[str] = (),
