@@ -83,37 +83,61 @@ def range_bucket(df: DataFrame, cols: Sequence[str], n: int, seed: int = 17) ->
     return tree(0, len(bounds))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
-                key_total: str | None = None, exclusive: bool = False,
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = running sum of ``value`` over ``order`` within ``keys``.
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict,
+                 key_totals: bool = False, num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of several values (``{out: column}``) over ``order`` within ``keys``.
 
     ``order`` must be column names forming a total order within a key (add a
-    tie-break column). ``key_total`` optionally adds the key's grand total;
-    ``exclusive`` gives the sum of the rows strictly before.
+    tie-break column). With ``key_totals`` every ``out`` also gets ``out + '_total'``,
+    the key's grand total.
     """
     keys, order = list(keys), list(order)
-    val = F.col(value) if isinstance(value, str) else value
     n = _partitions(df, num_partitions)
-    base = df.withColumn("_pl_val", val)
+    vals = {f"_pl_v{i}": (out, F.col(v) if isinstance(v, str) else v) for i, (out, v) in enumerate(values.items())}
+    base = df
+    for tmp, (_, col) in vals.items():
+        base = base.withColumn(tmp, col)
     base = base.withColumn(BKT, range_bucket(base, [*keys, *order], n))
     w_local = (Window.partitionBy(BKT, *keys).orderBy(*_cols(order))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = base.withColumn(LOCAL, F.coalesce(F.sum("_pl_val").over(w_local), F.lit(0)))
-    totals = base.groupBy(BKT, *keys).agg(F.coalesce(F.sum("_pl_val"), F.lit(0)).alias(TOT))
+    local = base
+    for tmp in vals:
+        local = local.withColumn(tmp + LOCAL, F.coalesce(F.sum(tmp).over(w_local), F.lit(0)))
+    totals = base.groupBy(BKT, *keys).agg(*[F.coalesce(F.sum(tmp), F.lit(0)).alias(tmp + TOT) for tmp in vals])
     w_off = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    sel = [BKT, *keys, F.coalesce(F.sum(TOT).over(w_off), F.lit(0)).alias(OFF)]
-    if key_total:
-        sel.append(F.sum(TOT).over(Window.partitionBy(*keys)).alias(KEYTOT))
-    offsets = totals.select(*sel)
-    res = local.join(offsets, [BKT, *keys], "inner")
-    total = F.col(LOCAL) + F.col(OFF)
+    w_all = Window.partitionBy(*keys)
+    sel = [BKT, *keys]
+    for tmp in vals:
+        sel.append(F.coalesce(F.sum(tmp + TOT).over(w_off), F.lit(0)).alias(tmp + OFF))
+        if key_totals:
+            sel.append(F.sum(tmp + TOT).over(w_all).alias(tmp + KEYTOT))
+    res = local.join(totals.select(*sel), [BKT, *keys], "inner")
+    drop = [BKT]
+    for tmp, (out, _) in vals.items():
+        res = res.withColumn(out, F.col(tmp + LOCAL) + F.col(tmp + OFF))
+        if key_totals:
+            res = res.withColumn(out + "_total", F.col(tmp + KEYTOT))
+        drop += [tmp, tmp + LOCAL, tmp + OFF, tmp + KEYTOT]
+    return res.drop(*drop)
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
+                key_total: str | None = None, exclusive: bool = False,
+                num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` over ``order`` within ``keys`` (see ``running_sums``).
+
+    ``key_total`` optionally adds the key's grand total; ``exclusive`` gives the
+    sum of the rows strictly before.
+    """
+    val = F.col(value) if isinstance(value, str) else value
+    res = running_sums(df.withColumn("_pl_own", val), keys, order, {out: "_pl_own"},
+                       key_totals=bool(key_total), num_partitions=num_partitions)
     if exclusive:
-        total = total - F.coalesce(F.col("_pl_val"), F.lit(0))
-    res = res.withColumn(out, total.cast("long"))
+        res = res.withColumn(out, F.col(out) - F.coalesce(F.col("_pl_own"), F.lit(0)))
+    res = res.withColumn(out, F.col(out).cast("long"))
     if key_total:
-        res = res.withColumn(key_total, F.col(KEYTOT).cast("long"))
-    return res.drop(BKT, LOCAL, OFF, KEYTOT, "_pl_val")
+        res = res.withColumn(key_total, F.col(out + "_total").cast("long")).drop(out + "_total")
+    return res.drop("_pl_own")
 
 
 def row_position(df: DataFrame, order: Sequence, out: str = "row_pos", keys: Sequence[str] = (),
