@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
 
 
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -57,31 +61,24 @@ def strip_quotes(c, variant: str = "a") -> Column:
     c: strip, then remove every ``"`` / ``'`` at both ends
     d: strip; drop a ``"`` pair and strip again
     e: strip only
-    """
-    col = _col(c)
-
-    def strip(x):
-        return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
-    def inner(x):
-        return F.substring(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0)))
-
-    def wrapped(x, q):
-        return x.startswith(q) & x.endswith(q)
+    Each step is one anchored regular expression over the previous step, so the
+    expression stays linear in size (no repeated copies of the input).
+    """
+    s = py_strip(_c(c))
 
-    def drop_pair(x, q):
-        return F.when(wrapped(x, q), inner(x)).otherwise(x)
+    def drop(x, q):
+        # a lone quote character counts as a pair (text[1:-1] of a 1-char string is empty)
+        return F.regexp_replace(x, f"(?s)^{q}(.*){q}$|^{q}$", "$1")
 
-    s = strip(col)
     if variant == "a":
-        hit = (F.length(s) >= 2) & (wrapped(s, '"') | wrapped(s, "'"))
-        return F.when(hit, strip(inner(s))).otherwise(s)
+        return py_strip(F.regexp_replace(s, "(?s)^\"(.*)\"$|^'(.*)'$", "$1$2"))
     if variant == "b":
-        return strip(drop_pair(drop_pair(s, '"'), "'"))
+        return py_strip(drop(drop(s, '"'), "'"))
     if variant == "c":
         return F.regexp_replace(s, r"^[\"']+|[\"']+$", "")
     if variant == "d":
-        return F.when(wrapped(s, '"'), strip(inner(s))).otherwise(s)
+        return py_strip(drop(s, '"'))
     if variant == "e":
         return s
     raise ValueError(f"unknown quote variant {variant!r}")
