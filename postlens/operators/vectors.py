@@ -1,10 +1,10 @@
 """Embeddings: encode, cluster, cosine similarity and cluster-based example retrieval.
 
 Vectors are ``array<double>`` columns; MLlib vectors appear only at the ML edge.
-Retrieval never forms persona x member rows: members are packed into bounded
-blocks per cluster and each (persona, block) pair is reduced to its best and
-worst member inside one expression, so a cluster holding a third of all
-members is spread over many blocks and tasks.
+Retrieval never forms persona x member rows: requests and members are packed
+into bounded blocks per cluster, and each (request block, member block) pair is
+scored with one numpy matrix product inside a task, so a cluster holding a
+third of all members is spread over many block pairs and tasks.
 """
 
 from __future__ import annotations
@@ -143,27 +143,64 @@ def member_blocks(members: DataFrame, block_size: int = 256, id_col: str = "vec_
     return blocks, counts
 
 
+def _block_extremes(batches):
+    """mapInPandas body: one row = (request block, member block) of one cluster.
+
+    Scores the block pair with one matrix product and emits, per request, the
+    best and worst member of the block (ties: lowest member id).
+    """
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        out = []
+        for cluster, reqs, mems in zip(pdf["cluster"], pdf["_reqs"], pdf["_members"]):
+            if len(reqs) == 0 or len(mems) == 0:
+                continue
+            mems = sorted(mems, key=lambda m: m["id"])
+            mid = np.array([m["id"] for m in mems], dtype=np.int64)
+            mat = np.array([np.asarray(m["u"], dtype=np.float64) for m in mems])
+            pid = [r["pid"] for r in reqs]
+            pmat = np.array([np.asarray(r["pu"], dtype=np.float64) for r in reqs])
+            sims = pmat @ mat.T
+            hi, lo = sims.argmax(axis=1), sims.argmin(axis=1)
+            rows = np.arange(len(pid))
+            out.append(pd.DataFrame({"pid": pid, "cluster": cluster, "most_id": mid[hi], "most_sim": sims[rows, hi],
+                                     "least_id": mid[lo], "least_sim": sims[rows, lo]}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
 def cluster_extremes(requests: DataFrame, members: DataFrame, id_col: str = "persona_id", block_size: int = 256,
                      member_id: str = "vec_id", vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
     """Most and least similar member of the requested cluster for each (persona, cluster) request.
 
-    ``requests``: (id_col, cluster, _p) with ``_p`` the persona vector. Each
-    request is sent to every block of its cluster (join on (cluster, block)),
-    reduced per block with one ``aggregate`` over at most ~block_size members,
-    then reduced per request (partial aggregation). Ties: lowest member id.
-    Member ids must be numeric.
+    ``requests``: (id_col, cluster, _p) with ``_p`` the persona vector. Requests
+    and members are both packed into hash blocks of about ``block_size`` per
+    cluster; each (request block, member block) pair of a cluster is one row,
+    scored in numpy with a single matrix product (Arrow batches, no per-pair
+    rows), then reduced per request with a partial aggregate. A hot cluster is
+    spread over many block pairs. Ties: lowest member id. Member ids must be integral.
     """
     blocks, counts = member_blocks(members, block_size, member_id, vec_col, label_col)
-    req = requests.join(F.broadcast(counts.select(label_col, "_nblk")), label_col).select(
-        id_col, label_col, unit(F.col("_p")).alias("_pu"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1)).alias("_blk"))
-    j = req.join(blocks, [label_col, "_blk"])
-    scored = F.transform("_members", lambda m: F.struct(dot(F.col("_pu"), m["u"]).alias("sim"), m["id"].alias("id")))
-    best = F.array_max(F.transform(scored, lambda s: F.struct(s["sim"].alias("sim"), (-s["id"]).alias("neg"))))
-    worst = F.array_min(scored)
-    per_block = j.select(id_col, label_col, best.alias("b"), worst.alias("w"))
-    agg = per_block.groupBy(id_col, label_col).agg(F.max("b").alias("b"), F.min("w").alias("w"))
-    return agg.select(id_col, label_col, (-F.col("b.neg")).alias("most_id"), F.col("b.sim").alias("most_sim"),
-                      F.col("w.id").alias("least_id"), F.col("w.sim").alias("least_sim"))
+    rcounts = requests.groupBy(label_col).agg(F.count(F.lit(1)).alias("_rn")).withColumn(
+        "_nrblk", F.greatest(F.lit(1), F.ceil(F.col("_rn") / F.lit(float(block_size)))).cast("long"))
+    req = requests.join(F.broadcast(rcounts), label_col).withColumn(
+        "_rblk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nrblk")))
+    rblocks = req.groupBy(label_col, "_rblk").agg(F.collect_list(F.struct(
+        F.col(id_col).cast("long").alias("pid"), unit(F.col("_p")).alias("pu"))).alias("_reqs"))
+    # every request block meets every member block of its cluster (block pairs, not row pairs)
+    pairs = (rblocks.join(F.broadcast(counts.select(label_col, "_nblk")), label_col)
+             .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1)))
+             .join(blocks, [label_col, "_blk"]).select(F.col(label_col).cast("long").alias("cluster"), "_reqs", "_members"))
+    scored = pairs.mapInPandas(_block_extremes, "pid long, cluster long, most_id long, most_sim double, "
+                                                "least_id long, least_sim double")
+    agg = scored.groupBy("pid", "cluster").agg(
+        F.max(F.struct("most_sim", (-F.col("most_id")).alias("neg"))).alias("b"),
+        F.min(F.struct("least_sim", "least_id")).alias("w"))
+    return agg.select(F.col("pid").alias(id_col), F.col("cluster").alias(label_col),
+                      (-F.col("b.neg")).alias("most_id"), F.col("b.most_sim").alias("most_sim"),
+                      F.col("w.least_id").alias("least_id"), F.col("w.least_sim").alias("least_sim"))
 
 
 def few_shot_examples(personas: DataFrame, members: DataFrame, centroids: DataFrame, id_col: str = "persona_id",
