@@ -9,6 +9,7 @@ from postlens.operators import prep, sampling, stats
 from postlens.plans import views as V
 from postlens.plans.oracle_views import define, with_views
 from postlens.plans.registry import query, r6
+from postlens.session import cut_lineage
 
 FEATS = V.SENT_FEATURES
 SAMPLE_SIZE = 3575
@@ -27,7 +28,11 @@ def syn_users(spark, d):
 
 
 def longs(spark, d):
-    return (stats.to_long(auth_users(spark, d), FEATS), stats.to_long(syn_users(spark, d), FEATS))
+    """Long-form user means of both samples. They feed several branches (edges, bins, JS,
+    Wasserstein buckets), so lineage is cut once with a reliable checkpoint."""
+    a = stats.to_long(auth_users(spark, d), FEATS)
+    b = stats.to_long(syn_users(spark, d), FEATS)
+    return cut_lineage(a), cut_lineage(b)
 
 
 _avg = ", ".join(f"avg({f}) AS {f}" for f in FEATS)
