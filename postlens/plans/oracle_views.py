@@ -59,7 +59,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CAST(l_linenumber AS DOUBLE) AS wid, l_quantity, l_extendedprice, l_discount, l_tax
         FROM lineitem WHERE l_linestatus = 'O'"""),
     "v_emb": ([], """
-        SELECT CAST(vec_id AS VARCHAR) AS TID, vec_id, embedding, label AS cluster FROM embeddings"""),
+        SELECT CAST(vec_id AS VARCHAR) AS TID, vec_id, embedding, CAST(label AS BIGINT) AS cluster FROM embeddings"""),
     "v_personas": ([], """
         SELECT e.vec_id AS persona_id, e.embedding, d.text AS persona_text
         FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"""),

@@ -18,7 +18,7 @@ FEATS = V.SENT_FEATURES
 
 # ------------------------------------------------------------------ vectors ---
 
-define("el", [], """SELECT vec_id, label AS cluster, CAST(unnest(embedding) AS DOUBLE) AS v,
+define("el", [], """SELECT vec_id, CAST(label AS BIGINT) AS cluster, CAST(unnest(embedding) AS DOUBLE) AS v,
                            unnest(range(len(embedding))) AS dim FROM embeddings""")
 define("cent", ["el"], "SELECT cluster, dim, avg(v) AS c FROM el GROUP BY ALL")
 define("cn", ["cent"], "SELECT cluster, sqrt(sum(c * c)) AS n FROM cent GROUP BY ALL")

@@ -153,7 +153,7 @@ def v_sent_syn(spark, sf_dir) -> DataFrame:
 def v_emb(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("TID"), "vec_id", "embedding",
-                    F.col("label").alias("cluster"))
+                    F.col("label").cast("long").alias("cluster"))
 
 
 def v_personas(spark, sf_dir) -> DataFrame:
