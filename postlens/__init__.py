@@ -1,0 +1,7 @@
+"""Corpus analytics on Spark. Worker code of this package travels by value, so executors need no copy of it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

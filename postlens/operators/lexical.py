@@ -6,31 +6,12 @@ from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.functions.stop_words import STOP_WORDS
 from postlens.functions.text import words
 
 TOKEN_PATTERN = r"\W+"
 
 
-def english_stop_words() -> list[str]:
-    """MLlib's default English stop-word list, read from the installed Spark jar (no JVM needed)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return [w.strip() for w in z.read(name).decode("utf-8").splitlines() if w.strip()]
-    raise FileNotFoundError("MLlib stop-word list not found")
-
-
-STOP_WORDS = english_stop_words()
-
-
 def tokens_no_stopwords(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
     """Lower-cased word tokens without English stop words (MLlib RegexTokenizer + StopWordsRemover)."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_pl_all", pattern=TOKEN_PATTERN, toLowercase=True)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postlens.functions.stop_words import STOP_WORDS as STOP
 from postlens.operators import lexical as L
 from postlens.plans import views as V
 from postlens.plans.oracle_views import WORDS_RE2, sql_list, with_views
 from postlens.plans.registry import query, r6
 
-STOP = L.STOP_WORDS
 TOKENS_SQL = ("list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\W+'), lambda t: length(t) > 0)")
 define_tokens = f"(SELECT TID, {TOKENS_SQL} AS toks FROM v_doc_posts)"
 
