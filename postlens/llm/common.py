@@ -44,24 +44,45 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, low))
 
 
-def word_pieces(text: bytes, size: int = 1 << 20):
-    """Lists of the lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text, about ``size`` bytes at a time.
-
-    ``bytes.lower`` changes A-Z only and ``bytes.split`` cuts at exactly these six
-    white-space bytes, so a very long text is never held as one list of words.
-    """
-    if len(text) <= size:
-        yield text.lower().split()
-        return
+def text_pieces(text: bytes, size: int = 1 << 20):
+    """A text cut at white space ``[\\x20\\x09-\\x0D]`` into pieces of about ``size`` bytes."""
     start = 0
     while start < len(text):
         end = min(start + size, len(text))
         while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        yield text[start:end].lower().split()
+        yield text[start:end] if end - start < len(text) else text
         start = end
 
 
+def word_pieces(text: bytes, size: int = 1 << 20):
+    """Lists of the lower-cased words ``[^\\x20\\x09-\\x0D]+`` of a text, about ``size`` bytes at a time.
+
+    ``bytes.lower`` changes A-Z only and ``bytes.split`` cuts at exactly these six
+    white-space bytes, so a very long text is never held as one list of words.
+    """
+    for piece in text_pieces(text, size):
+        yield piece.lower().split()
+
+
+class Memo(dict):
+    """``make(key)`` kept for keys used lately: two generations of at most ``cap`` entries each."""
+
+    def __init__(self, make, cap: int = 400_000):
+        super().__init__()
+        self.make, self.cap, self.old = make, cap, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.cap:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def worker_store(key: str) -> dict:
     """A dict that lives as long as this Python worker process, so that tasks share what they cache."""
     mod = sys.modules.setdefault("_postlens_worker_store", types.ModuleType("_postlens_worker_store"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import simhash
+from postlens.llm import quality, simhash, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,31 @@ def query(key: str, oracle: str | None = None):
     return deco
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_records")
+def op1(spark, d):
+    r = token_records.round_trip(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return r.select(F.col("id").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, d):
     r = simhash.near_duplicates(table(spark, d, "documents"), "doc_id", "text", width=3, max_bits=2)
     return r.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_quality_classifier")
+def op6(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
+
+
+@query("op9_toxicity")
+def op9(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, d, "labels")))
