@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import quality, simhash, token_records, toxicity
+from postlens.llm import decontam, quality, simhash, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,35 @@ def op1(spark, d):
     return r.select(F.col("id").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+  FROM benchmark),
+w AS (SELECT DISTINCT item, array_to_string(ws[i + 1:i + 13], ' ') AS win, least(len(ws), 13) AS n
+  FROM (SELECT item, ws, unnest(range(0, greatest(len(ws) - 12, 1))) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM w),
+g AS (SELECT doc_id, i, n, array_to_string(ws[i + 1:i + n], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM d, sizes WHERE len(ws) >= n)),
+m AS (SELECT g.doc_id, g.i, g.n, w.item FROM g JOIN w ON g.win = w.win AND g.n = w.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, coalesce(t.items_sha256, sha256('')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query("op2_decontamination", OP2_SQL)
+def op2(spark, d):
+    r = decontam.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return r.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+                    F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, d):
     r = simhash.near_duplicates(table(spark, d, "documents"), "doc_id", "text", width=3, max_bits=2)
