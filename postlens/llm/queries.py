@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, quality, simhash, token_records, toxicity
+from postlens.llm import decontam, langid, quality, simhash, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op6(spark, d):
     return quality.scored(docs, quality.train(docs, table(spark, d, "labels")))
 
 
+@query("op7_language_id")
+def op7(spark, d):
+    return langid.identified(table(spark, d, "documents"))
+
+
 @query("op9_toxicity")
 def op9(spark, d):
     docs = table(spark, d, "documents")
