@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, langid, quality, simhash, token_records, toxicity
+from postlens.llm import decontam, embed_dedup, langid, quality, simhash, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,12 @@ def op4(spark, d):
     return r.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_embedding_near_dedup")
+def op5(spark, d):
+    r = embed_dedup.near_duplicates(table(spark, d, "embeddings"), "vec_id", "embedding", threshold=0.95)
+    return r.withColumnRenamed("id", "vec_id")
+
+
 @query("op6_quality_classifier")
 def op6(spark, d):
     docs = table(spark, d, "documents")
