@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, embed_dedup, langid, quality, simhash, token_records, toxicity
+from postlens.llm import decontam, embed_dedup, langid, lbl_lm, quality, simhash, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,11 @@ def op2(spark, d):
                     F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op3_lm_scoring")
+def op3(spark, d):
+    return lbl_lm.scored(table(spark, d, "documents"))
+
+
 @query("op4_simhash_near_dedup")
 def op4(spark, d):
     r = simhash.near_duplicates(table(spark, d, "documents"), "doc_id", "text", width=3, max_bits=2)
