@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, embed_dedup, langid, lbl_lm, quality, simhash, token_records, toxicity
+from postlens.llm import decontam, embed_dedup, langid, lbl_lm, quality, simhash, sp_wfst, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,11 @@ def op7(spark, d):
     return langid.identified(table(spark, d, "documents"))
 
 
+@query("op8_sentencepiece")
+def op8(spark, d):
+    return sp_wfst.digests(table(spark, d, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 @query("op9_toxicity")
 def op9(spark, d):
     docs = table(spark, d, "documents")
