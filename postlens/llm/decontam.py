@@ -172,8 +172,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones; rows are matched by id and hash of the text."""
-    marked = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    bad = contamination(marked, items, id_col, text_col, extra=["_text_hash"]).where("contaminated").select(
-        F.col("id").alias("_bad_id"), F.col("_text_hash").alias("_bad_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.col("_text_hash") == F.col("_bad_hash"))
-    return marked.join(bad, same, "left_anti").drop("_text_hash")
+    marked = docs.withColumn("_postlens_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    bad = contamination(marked, items, id_col, text_col, extra=["_postlens_hash"]).where("contaminated").select(
+        F.col("id").alias("_bad_id"), F.col("_postlens_hash").alias("_bad_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.col("_postlens_hash") == F.col("_bad_hash"))
+    return marked.join(bad, same, "left_anti").drop("_postlens_hash")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, embed_dedup, langid, lbl_lm, quality, simhash, sp_wfst, token_records, toxicity
+from postlens.llm import decontam, embed_dedup, langid, lbl_lm, pii, quality, simhash, sp_wfst, token_records, toxicity
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,13 @@ def op8(spark, d):
 def op9(spark, d):
     docs = table(spark, d, "documents")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, d, "labels")))
+
+
+@query("op10_pii")
+def op10(spark, d):
+    found, _ = pii.detect(table(spark, d, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))

@@ -153,10 +153,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     member of their group has one; a group of rows without ids stays whole.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("_text_hash", text_hash)
-    near = near_duplicates(marked, id_col, text_col, width, max_bits, extra=["_text_hash"])
+    marked = docs.withColumn("_postlens_hash", text_hash)
+    near = near_duplicates(marked, id_col, text_col, width, max_bits, extra=["_postlens_hash"])
     drop = near.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias("_drop_id"), F.col("_text_hash").alias("_drop_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash"))
+        F.col("id").alias("_drop_id"), F.col("_postlens_hash").alias("_drop_hash")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_postlens_hash") == F.col("_drop_hash"))
     kept = marked.join(drop, same, "left_anti")
-    return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    return kept.dropDuplicates([id_col, "_postlens_hash"]).drop("_postlens_hash")

@@ -212,11 +212,13 @@ def transducer(spec: Spec) -> Transducer:
     return store[spec.key]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the piece numbers of every whole text. No shuffle."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+           extra: tuple | list = ()) -> DataFrame:
+    """(id, ids, *extra): the piece numbers of every whole text. No shuffle."""
     spec = Spec.load(model_path)
-    src = binary_texts(docs, id_col, text_col)
-    id_type = src.schema["id"].dataType.simpleString()
+    src = binary_texts(docs, id_col, text_col, extra)
+    kinds = [(f.name, f.dataType.simpleString()) for f in src.schema if f.name != "text"]
+    kinds.insert(1, ("ids", "array<int>"))
 
     def run(batches):
         import pyarrow as pa
@@ -227,10 +229,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 part = b.slice(at, 256)
                 ids = [t.encode(x.as_py().decode("utf-8", "replace")) for x in part.column(1)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *part.columns[2:]], [k for k, _ in kinds])
 
-    return src.mapInArrow(run, f"id {id_type}, ids array<int>")
+    return src.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, id_col: s
     texts = binary_texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("id") == F.col("_chosen"))
     p, u = _feature_rows(texts.select("text", F.coalesce("positive", F.lit(False)).alias("positive"),
                                       F.coalesce("unlabelled", F.lit(False)).alias("unlabelled")))
-    if not len(p) or not len(u):  # nothing confirmed: every text scores a half
-        return Model(np.full(FEATURES, -1, np.int64), np.zeros(1), 0.5)
+    if not len(p) or not len(u):  # nothing confirmed: every text scores a quarter, below either threshold
+        return Model(np.full(FEATURES, -1, np.int64), np.log(np.ones(1) / 3), 0.25)
     new = pu.informative(p, u, FEATURES, SELECTED)
     p, u, size = p.renumbered(new), u.renumbered(new), int(new.max()) + 1
     prior = pu.estimate_prior(p, u, size)
