@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BKT, LOCAL, TOT, OFF, KEYTOT = "_pl_bkt", "_pl_local", "_pl_tot", "_pl_off", "_pl_keytot"
-MAX_BUCKETS = 512
 SAMPLE_PER_BUCKET = 20
 
 
@@ -35,19 +34,18 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 def range_bucket(df: DataFrame, cols: Sequence[str], n: int, seed: int = 17) -> Column:
     """Deterministic bucket id in [0, n) of the row's position in ``cols`` order.
 
-    Boundaries are quantiles of a seeded sample of at most ~SAMPLE_PER_BUCKET * n
-    rows (the only data brought to the driver, bounded by n); the bucket is found
-    with a balanced CASE tree (log2 n comparisons per row, JVM-side).
+    Boundaries are quantiles of the SAMPLE_PER_BUCKET * n rows with the smallest seeded
+    hash: one pass, a top-n in every task, the same rows however the data is
+    partitioned. They are the only data brought to the driver, bounded by n; the bucket
+    is found with a balanced CASE tree (log2 n comparisons per row, JVM-side).
     """
-    n = max(1, min(n, MAX_BUCKETS))
+    n = max(1, n)
     if n == 1:
         return F.lit(0)
     proj = df.select(*cols)
-    total = proj.count()
-    if total == 0:
+    rows = proj.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(SAMPLE_PER_BUCKET * n).collect()
+    if not rows:
         return F.lit(0)
-    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
-    rows = proj.sample(withReplacement=False, fraction=frac, seed=seed).collect()
     key = [tuple((v is not None, v) for v in r) for r in rows]
     key.sort()
     bounds = []
@@ -111,8 +109,14 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
         sel.append(F.coalesce(F.sum(tmp + TOT).over(w_off), F.lit(0)).alias(tmp + OFF))
         if key_totals:
             sel.append(F.sum(tmp + TOT).over(w_all).alias(tmp + KEYTOT))
-    res = local.join(totals.select(*sel), [BKT, *keys], "inner")
-    drop = [BKT]
+    # null-safe: rows with a null key are a key of their own
+    offsets = totals.select(*sel)
+    offsets = offsets.select(*[F.col(c).alias("_pl_r_" + c) if c in (BKT, *keys) else F.col(c) for c in offsets.columns])
+    same = F.col(BKT) == F.col("_pl_r_" + BKT)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_pl_r_" + k))
+    res = local.join(offsets, same, "inner")
+    drop = [BKT, "_pl_r_" + BKT, *["_pl_r_" + k for k in keys]]
     for tmp, (out, _) in vals.items():
         res = res.withColumn(out, F.col(tmp + LOCAL) + F.col(tmp + OFF))
         if key_totals:

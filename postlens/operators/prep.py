@@ -136,8 +136,8 @@ def gate_report(df: DataFrame, required_cols: Sequence[str] = (), min_rows: int
 
 
 def enforce(df: DataFrame, check: Column, message: str) -> DataFrame:
-    """Attach a check evaluated on the data; the query fails with ``message`` if it is false."""
-    return df.withColumn("_pl_check", F.when(~check, F.raise_error(F.lit(message)))).drop("_pl_check")
+    """Rows pass only while ``check`` holds; the query fails with ``message`` on a row where it is false or null."""
+    return df.where(F.when(check, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
 # ------------------------------------------------------------------- joins ---

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import py_strip, strip_quotes, words
-from postlens.operators.ordered import first_by_order, md5_rank_key
+from postlens.operators.ordered import md5_rank_key
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES (wording, word lists and settings of the published scripts)
@@ -208,13 +208,9 @@ def screen(text: Column, min_words: int | None = 20, short_openers: bool = False
     """
     low = F.lower(text) if low is None else low
     starts = BANNED_STARTS_SHORT if short_openers else BANNED_STARTS
-    bad = (text.isNull() | (F.length(text) == 0))
-    for s in starts:
-        bad = bad | low.startswith(s)
-    for s in BANNED_CONTAINS:
-        bad = bad | low.contains(s)
-    for s in BANNED_ENDS:
-        bad = bad | low.endswith(s)
+    quoted = lambda items: "(?:" + "|".join("\\Q" + x + "\\E" for x in items) + ")"
+    pattern = rf"\A{quoted(starts)}|{quoted(BANNED_CONTAINS)}|{quoted(BANNED_ENDS)}\z"
+    bad = text.isNull() | (F.length(text) == 0) | low.rlike(pattern)
     if min_words:
         bad = bad | (F.size(words(text)) < min_words)
     return ~bad
@@ -238,12 +234,11 @@ def first_valid_attempt(attempts: DataFrame, setting: str, prompt_col: str = "pr
     """
     spec = {s[0]: s for s in SETTINGS}[setting]
     s = screen_comments(attempts, setting, text_col)
-    ok = s.where(F.col("accepted") & (F.col(attempt_col) <= spec[3]))
-    first = first_by_order(ok, [prompt_col], [attempt_col], cols=[prompt_col, attempt_col, "clean_text"])
-    prompts = attempts.select(prompt_col).distinct()
-    out = prompts.join(first, prompt_col, "left")
-    return out.select(prompt_col, F.col(attempt_col).alias("accepted_attempt"),
-                      F.coalesce(F.col("clean_text"), F.lit(NO_COMMENT)).alias("Generated Text"))
+    ok = F.col("accepted") & (F.col(attempt_col) <= spec[3])
+    one = F.struct(F.col(attempt_col).alias("attempt"), F.col("clean_text").alias("text"))
+    first = s.groupBy(prompt_col).agg(F.min(F.when(ok, one)).alias("first"))  # no filter: screened once per attempt
+    return first.select(prompt_col, F.col("first.attempt").alias("accepted_attempt"),
+                        F.coalesce(F.col("first.text"), F.lit(NO_COMMENT)).alias("Generated Text"))
 
 
 def generation_records(prompts: DataFrame, results: DataFrame, setting: str, id_cols: Sequence[str],

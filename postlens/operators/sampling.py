@@ -41,17 +41,22 @@ def first_n_users_lexical(df: DataFrame, n: int = 3575, user_col: str = "user_id
 
 def first_n_matching(df: DataFrame, cond: Column, n: int = 2700, order: Sequence = ("ord",),
                      strict: bool = True) -> DataFrame:
-    """First n rows that satisfy ``cond``; with ``strict`` the query fails when fewer match.
+    """First n rows that satisfy ``cond``; with ``strict`` the call is refused when fewer match.
 
-    Non-strict mode keeps the rows and reports ``enough`` instead of failing.
+    The refusal counts up to n rows at once. Non-strict mode keeps the rows and
+    reports ``enough`` instead.
     """
     matching = df.where(cond)
-    count = matching.select(F.count(F.lit(1))).scalar()
-    out = matching.orderBy(*order).limit(n).withColumn("enough", count >= F.lit(n))
     if strict:
-        out = out.withColumn("_pl_chk", F.when(~F.col("enough"), F.raise_error(
-            F.lit(f"fewer than {n} matching rows")))).drop("_pl_chk")
-    return out
+        _refuse_below(matching, n, "matching rows")
+    count = matching.select(F.count(F.lit(1))).scalar()
+    return matching.orderBy(*order).limit(n).withColumn("enough", count >= F.lit(n))
+
+
+def _refuse_below(df: DataFrame, n: int, what: str) -> None:
+    found = df.limit(n).count()
+    if found < n:
+        raise ValueError(f"{n} {what} are asked for, there are {found}")
 
 
 def sample_user_posts(df: DataFrame, n: int = 100, seed: int = 42, user_col: str = "user_id",
@@ -63,9 +68,7 @@ def sample_user_posts(df: DataFrame, n: int = 100, seed: int = 42, user_col: str
     """
     users = df.where(F.col(user_col).isNotNull()).select(user_col).distinct()
     if strict:
-        n_users = users.select(F.count(F.lit(1))).scalar()
-        users = users.withColumn("_pl_chk", F.when(n_users < F.lit(n), F.raise_error(
-            F.lit(f"Not enough unique users to sample {n} posts.")))).drop("_pl_chk")
+        _refuse_below(users, n, "users")
     chosen = users.orderBy(md5_rank_key(seed, user_col), user_col).limit(n)
     rows = df.join(F.broadcast(chosen), user_col, "left_semi").withColumn("_h", md5_rank_key(seed, key_col))
     return first_by_order(rows, [user_col], ["_h", key_col], cols=[c for c in df.columns])

@@ -33,11 +33,16 @@ def median_post(df: DataFrame, order: Sequence, user_col: str = "user_id", text_
 def cut_whole_user(df: DataFrame, order: Sequence, limit: int = 100_000, tid_col: str = "TID") -> DataFrame:
     """First ``limit`` rows, then only the directly following rows of row ``limit``'s user.
 
-    Row positions are distributed (range partition + offsets). The user at the
-    limit and the first later position of another user are scalar subqueries.
+    ``order`` is a total order. The row at the limit is the last of the first ``limit``
+    rows (a top-n in every task), the cut is the least later row of another user (one
+    aggregate), and what comes before it is kept: nothing is numbered or sorted whole.
     """
-    pos = row_position(df, order, out="_pos").withColumn("_user", user_from_tid(tid_col))
-    at_limit = pos.where(F.col("_pos") == limit).select("_user").scalar()
-    stop = pos.where((F.col("_pos") > limit) & ~F.col("_user").eqNullSafe(at_limit)).select(F.min("_pos")).scalar()
-    keep = (F.col("_pos") <= limit) | stop.isNull() | (F.col("_pos") < stop)
-    return pos.where(keep).drop("_user").withColumnRenamed("_pos", "row_pos")
+    base = df.withColumn("_user", user_from_tid(tid_col)).withColumn("_ord", F.struct(*order))
+    first = base.select("_ord", "_user").orderBy("_ord").limit(limit)
+    edge = first.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("_ord", "_user")).alias("last")).where(
+        F.col("n") == limit).select("last._ord", F.col("last._user").alias("_user"))
+    edge = F.broadcast(edge.select(F.col("_ord").alias("_edge"), F.col("_user").alias("_edge_user")))  # one row at most
+    later = base.select("_ord", "_user").join(edge, (F.col("_ord") > F.col("_edge"))
+                                              & ~F.col("_user").eqNullSafe(F.col("_edge_user")))
+    stop = later.agg(F.min("_ord")).scalar()
+    return base.where(stop.isNull() | (F.col("_ord") < stop)).drop("_user", "_ord")

@@ -50,12 +50,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM v_posts"""),
     "v_sent_auth": ([], """
         SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS TID,
-               l_suppkey AS sid, l_returnflag AS label, 'cymo' AS source, 'none' AS model,
+               l_suppkey AS sid, l_returnflag AS label, 'corpus' AS source, 'none' AS model,
                CAST(l_linenumber AS DOUBLE) AS wid, l_quantity, l_extendedprice, l_discount, l_tax
         FROM lineitem WHERE l_linestatus = 'F'"""),
     "v_sent_syn": ([], """
         SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS TID,
-               l_suppkey AS sid, l_returnflag AS label, 'cymo' AS source, 'none' AS model,
+               l_suppkey AS sid, l_returnflag AS label, 'corpus' AS source, 'none' AS model,
                CAST(l_linenumber AS DOUBLE) AS wid, l_quantity, l_extendedprice, l_discount, l_tax
         FROM lineitem WHERE l_linestatus = 'O'"""),
     "v_emb": ([], """

@@ -70,10 +70,13 @@ JSONL_SCHEMA = T.StructType([T.StructField("user_id", T.StringType()), T.StructF
 
 
 def bad_jsonl(spark, d) -> str:
-    """Events as JSON lines (user_id, text, created_utc); every 17th line cut in half (malformed)."""
+    """Events as JSON lines (user_id, text, created_utc); times as integers, decimals and quoted by turns;
+    every 17th line cut in half (malformed)."""
     ev = V.table(spark, d, "events")
-    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("text"),
-                              F.col("event_id").alias("created_utc")))
+    at = F.col("event_id")
+    rest = lambda t: F.to_json(F.struct(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("text"),
+                                        t.alias("created_utc")))
+    line = F.when(at % 3 == 0, rest(at)).when(at % 3 == 1, rest(at.cast("double"))).otherwise(rest(at.cast("string")))
     cut = F.when(F.pmod("event_id", F.lit(17)) == 0, F.substring(line, 1, (F.length(line) / 2).cast("int"))).otherwise(line)
     path = files.scratch_path(spark, "badjsonl")
     ev.select(cut.alias("value")).write.mode("overwrite").text(path)

@@ -176,12 +176,12 @@ def q_filter_gender(spark, d):
 
 @query("first_n_matching", with_views("v_gender_csv") + """
 SELECT "Row ID" AS row_id, " Gender Identity " AS gender_identity,
-       (SELECT count(*) FROM v_gender_csv WHERE lower(trim(" Gender Identity ")) = 'male') >= 2700 AS enough
+       (SELECT count(*) FROM v_gender_csv WHERE lower(trim(" Gender Identity ")) = 'male') >= 200 AS enough
 FROM v_gender_csv WHERE lower(trim(" Gender Identity ")) = 'male'
-ORDER BY "Row ID" LIMIT 2700""")
+ORDER BY "Row ID" LIMIT 200""")
 def q_first_n_matching(spark, d):
     return sampling.first_n_matching(gender_csv(spark, d), F.lower(F.trim("gender_identity")) == "male",
-                                     n=2700, order=["row_id"], strict=False).select("row_id", "gender_identity", "enough")
+                                     n=200, order=["row_id"], strict=False).select("row_id", "gender_identity", "enough")
 
 
 @query("gate_report", with_views("v_gender_csv") + """
@@ -255,12 +255,12 @@ def q_first_n_users(spark, d):
 
 @query("sample_user_posts", with_views("v_posts") + f"""
 , u AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM v_posts WHERE user_id IS NOT NULL)
-        ORDER BY {md5_rank_key_sql(SEED, 'user_id')}, user_id LIMIT 100),
+        ORDER BY {md5_rank_key_sql(SEED, 'user_id')}, user_id LIMIT 15),
   r AS (SELECT p.*, row_number() OVER (PARTITION BY p.user_id ORDER BY {md5_rank_key_sql(SEED, 'p.TID')}, p.TID) AS rn
         FROM v_posts p JOIN u ON u.user_id = p.user_id)
 SELECT user_id, TID, text FROM r WHERE rn = 1""")
 def q_sample_user_posts(spark, d):
-    return sampling.sample_user_posts(V.v_posts(spark, d), n=100, seed=SEED, key_col="TID").select(
+    return sampling.sample_user_posts(V.v_posts(spark, d), n=15, seed=SEED, key_col="TID").select(
         "user_id", "TID", "text")
 
 

@@ -20,11 +20,11 @@ def user_means(sent):
 
 
 def auth_users(spark, d):
-    return sampling.first_n_users_lexical(user_means(V.v_sent_auth(spark, d)), SAMPLE_SIZE)
+    return user_means(V.v_sent_auth(spark, d))
 
 
 def syn_users(spark, d):
-    return sampling.first_n_users_lexical(user_means(V.v_sent_syn(spark, d)), SAMPLE_SIZE)
+    return user_means(V.v_sent_syn(spark, d))
 
 
 def longs(spark, d):
@@ -38,10 +38,8 @@ def longs(spark, d):
 _avg = ", ".join(f"avg({f}) AS {f}" for f in FEATS)
 define("auth_means", ["v_sent_auth"], f"SELECT split_part(TID, '_', 1) AS user_id, {_avg} FROM v_sent_auth GROUP BY 1")
 define("syn_means", ["v_sent_syn"], f"SELECT split_part(TID, '_', 1) AS user_id, {_avg} FROM v_sent_syn GROUP BY 1")
-define("auth_s", ["auth_means"],
-       f"SELECT * FROM auth_means WHERE user_id IN (SELECT user_id FROM auth_means ORDER BY user_id LIMIT {SAMPLE_SIZE})")
-define("syn_s", ["syn_means"],
-       f"SELECT * FROM syn_means WHERE user_id IN (SELECT user_id FROM syn_means ORDER BY user_id LIMIT {SAMPLE_SIZE})")
+define("auth_s", ["auth_means"], "SELECT * FROM auth_means")
+define("syn_s", ["syn_means"], "SELECT * FROM syn_means")
 _feat_list = ", ".join(FEATS)
 define("a_long", ["auth_s"], f"SELECT feature, CAST(value AS DOUBLE) AS value FROM (UNPIVOT auth_s ON {_feat_list} "
                              "INTO NAME feature VALUE value) WHERE value IS NOT NULL AND NOT isnan(value)")
@@ -101,9 +99,10 @@ def q_user_feature_means(spark, d):
     return user_means(V.v_sent_auth(spark, d)).select("user_id", *[r6(f).alias(f) for f in FEATS])
 
 
-@query("first_n_users_lexical", with_views("auth_s") + "SELECT user_id FROM auth_s")
+@query("first_n_users_lexical", with_views("auth_means") +
+       f"SELECT user_id FROM auth_means ORDER BY user_id LIMIT {SAMPLE_SIZE}")
 def q_first_n_users_lexical(spark, d):
-    return auth_users(spark, d).select("user_id")
+    return sampling.first_n_users_lexical(auth_users(spark, d), SAMPLE_SIZE).select("user_id")
 
 
 @query("feature_histogram", with_views("hist") + "SELECT feature, kind, bin, count, n_in FROM hist")

@@ -90,12 +90,12 @@ def sentences_ordered(spark, d):
 WITH p AS (SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS TID,
                   row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_pos FROM lineitem),
      u AS (SELECT *, split_part(TID, '_', 1) AS usr FROM p),
-     lim AS (SELECT usr FROM u WHERE row_pos = 100000),
-     stp AS (SELECT min(row_pos) AS s FROM u WHERE row_pos > 100000 AND usr IS DISTINCT FROM (SELECT usr FROM lim))
-SELECT TID, CAST(row_pos AS BIGINT) AS row_pos FROM u
-WHERE row_pos <= 100000 OR (SELECT s FROM stp) IS NULL OR row_pos < (SELECT s FROM stp)""")
+     lim AS (SELECT usr FROM u WHERE row_pos = 4000),
+     stp AS (SELECT min(row_pos) AS s FROM u WHERE row_pos > 4000 AND usr IS DISTINCT FROM (SELECT usr FROM lim))
+SELECT TID FROM u
+WHERE row_pos <= 4000 OR (SELECT s FROM stp) IS NULL OR row_pos < (SELECT s FROM stp)""")
 def q_cut_whole_user(spark, d):
-    return W.cut_whole_user(sentences_ordered(spark, d), SENT_ORDER, 100_000).select("TID", "row_pos")
+    return W.cut_whole_user(sentences_ordered(spark, d), SENT_ORDER, 4_000).select("TID")
 
 
 @query("user_from_tid", with_views("v_sent_auth") + "SELECT TID, split_part(TID, '_', 1) AS user_id FROM v_sent_auth")

@@ -133,7 +133,7 @@ def _sentences(spark, sf_dir, status: str) -> DataFrame:
         F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("TID"),
         F.col("l_suppkey").alias("sid"),
         F.col("l_returnflag").alias("label"),
-        F.lit("cymo").alias("source"),
+        F.lit("corpus").alias("source"),
         F.lit("none").alias("model"),
         F.col("l_linenumber").cast("double").alias("wid"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",

@@ -7,7 +7,9 @@ UI off) and make sure a checkpoint directory exists when the cluster names none.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,7 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="postlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if configured.startswith("/"):
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)

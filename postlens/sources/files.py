@@ -37,13 +37,15 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-             keep_empty: bool = False) -> DataFrame:
-    """CSV with a header and quoted multi-line fields.
+             keep_empty: bool = False, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quoted fields.
 
     ``keep_empty`` keeps empty fields as '' (not null), like an all-string read.
+    ``multi_line`` allows line ends inside quoted fields; a file is then read by one
+    task, so write such data as many files. Without it large files are split.
     """
     r = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
-         .option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
+         .option("escape", '"').option("multiLine", multi_line).option("ignoreLeadingWhiteSpace", False)
          .option("ignoreTrailingWhiteSpace", False))
     if keep_empty:
         r = r.option("emptyValue", "").option("nullValue", NULL_SENTINEL)
@@ -61,11 +63,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType, defaults: dict) -> DataFrame:
-    """Skip malformed lines; fill missing fields with defaults (e.g. id '', text '', created 0)."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    for c, v in defaults.items():
-        df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v).cast(schema[c].dataType)))
-    return df
+    """Skip lines that are no JSON object; fill missing fields with defaults (e.g. id '', text '', created 0)."""
+    return parse_tolerant(spark.read.text(path), schema, defaults)
+
+
+def parse_tolerant(lines: DataFrame, schema: T.StructType, defaults: dict) -> DataFrame:
+    """Rows of ``lines(value)`` that are JSON objects, whatever the types of their fields.
+
+    Only the JSON itself decides: a time written 1600000000, 1600000000.0 or "1600000000"
+    is the same time. Fields are taken as text and cast; what cannot be cast is missing.
+    """
+    line = F.col("value")
+    good = lines.where(F.try_parse_json(line).isNotNull() & F.ltrim(line).startswith("{"))
+    fields = good.select(F.from_json(line, all_string_schema(schema.fieldNames())).alias("j")).select("j.*")
+
+    def cast(f):
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.IntegralType):
+            c = F.coalesce(c.try_cast("decimal(38,0)"), c.try_cast("double")).try_cast(f.dataType)
+        elif not isinstance(f.dataType, T.StringType):
+            c = c.try_cast(f.dataType)
+        if defaults.get(f.name) is not None:
+            c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
+        return c.alias(f.name)
+
+    return fields.select(*[cast(f) for f in schema.fields])
 
 
 def detect_separator(spark: SparkSession, path: str, sample_chars: int = 2048) -> str:
@@ -87,20 +109,11 @@ def header_columns(spark: SparkSession, path: str, sep: str) -> list[str]:
     import csv
     import io
 
-    first = spark.read.text(path).limit(1).collect()
-    return next(csv.reader(io.StringIO(first[0][0]), delimiter=sep if len(sep) == 1 else ","))
+    first = spark.read.text(path).limit(1).collect()[0][0]
+    return first.split(sep) if len(sep) > 1 else next(csv.reader(io.StringIO(first), delimiter=sep))
 
 
 def read_detect_sep(spark: SparkSession, path: str) -> DataFrame:
-    """All-string read with a sniffed separator; empty fields stay '' (not null)."""
+    """All-string read with a sniffed separator, of one character or several; empty fields stay '' (not null)."""
     sep = detect_separator(spark, path)
-    if len(sep) == 1:
-        cols = header_columns(spark, path, sep)
-        return read_csv(spark, path, all_string_schema(cols), sep=sep, keep_empty=True)
-    # multi-character separator: split the lines ourselves (no quoting in such files)
-    lines = spark.read.text(path)
-    first = lines.limit(1).collect()[0][0]
-    cols = first.split(sep)
-    parts = F.split(F.col("value"), sep.replace(" ", r"\ "), -1)
-    body = lines.where(F.col("value") != first)
-    return body.select(*[parts[i].alias(c) for i, c in enumerate(cols)])
+    return read_csv(spark, path, all_string_schema(header_columns(spark, path, sep)), sep=sep, keep_empty=True).na.fill("")

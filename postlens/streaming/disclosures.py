@@ -4,7 +4,7 @@ The published manual path reads a metadata JSONL file line by line, skips
 malformed lines and extracts disclosures from every post. Here new files in a
 folder are picked up as micro-batches; extraction is stateless and runs with
 the same column expressions as the batch operator. Malformed lines are dropped
-by the reader. The latest-per-(user, trait) choice stays a batch step over the
+by the parser. The latest-per-(user, trait) choice stays a batch step over the
 appended output (``operators.disclosures.latest_disclosures`` logic via
 ``first_by_order``), so no unbounded state is kept.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from postlens.functions.text import truncate_text
 from postlens.operators.disclosures import extract_disclosures
+from postlens.sources.files import parse_tolerant
 
 META_SCHEMA = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("post_id", T.StringType()),
                             T.StructField("text", T.StringType()), T.StructField("created_utc", T.LongType())])
@@ -24,11 +25,9 @@ META_SCHEMA = T.StructType([T.StructField("user_id", T.StringType()), T.StructFi
 
 def disclosure_stream(spark: SparkSession, in_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
     """Streaming DataFrame of disclosures from JSONL files appearing in ``in_dir``."""
-    src = (spark.readStream.schema(META_SCHEMA).option("mode", "DROPMALFORMED")
-           .option("maxFilesPerTrigger", max_files_per_trigger).json(in_dir))
-    src = (src.withColumn("user_id", F.coalesce("user_id", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
-           .withColumn("created_utc", F.coalesce("created_utc", F.lit(0).cast("long")))
-           .withColumn("OriginalText", truncate_text("text")))
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(in_dir)
+    src = parse_tolerant(lines, META_SCHEMA, {"user_id": "", "text": "", "created_utc": 0}).withColumn(
+        "OriginalText", truncate_text("text"))
     ex = extract_disclosures(src, "text", keep=["user_id", "post_id", "created_utc", "OriginalText"])
     return ex.select(F.concat(F.lit("user_"), "user_id").alias("UserID"), "post_id", "Trait", "DisclosureType",
                      "MatchedPhrase", "Normalized", F.col("created_utc").alias("CreatedUTC"), "OriginalText",
