@@ -48,15 +48,19 @@ def sigmoid(z):
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
-def informative(p: Rows, u: Rows, size: int, most: int, least: int = 4) -> np.ndarray:
-    """New numbers for the ``most`` features whose rates differ most between positives and unlabelled; -1 for others."""
+def informative(p: Rows, u: Rows, size: int, most: int, least: int = 4, strength_over: float = 3.0, always: int = 0) -> np.ndarray:
+    """New numbers for the ``most`` features whose rates differ most between positives and unlabelled; -1 for others.
+
+    They differ by over ``strength_over`` standard deviations; the first ``always`` features are taken whatever they differ.
+    """
     a = np.bincount(p.idx, minlength=size).astype(float)
     b = np.bincount(u.idx, minlength=size).astype(float)
     ra, rb = (a + 0.5) / (len(p) + 1), (b + 0.5) / (len(u) + 1)
     gap = (ra - rb) / np.sqrt(ra * (1 - np.minimum(ra, 0.999)) / (len(p) + 1) + rb * (1 - np.minimum(rb, 0.999)) / (len(u) + 1))
     strength = np.where(a + b >= least, np.abs(gap), 0.0)
+    strength[:always] = np.where(a[:always] + b[:always] >= least, np.inf, 0.0)
     chosen = np.argsort(-strength, kind="stable")[:most]
-    chosen = np.sort(chosen[strength[chosen] > 3.0])
+    chosen = np.sort(chosen[strength[chosen] > strength_over])
     new = np.full(size, -1, np.int64)
     new[chosen] = np.arange(len(chosen))
     return new

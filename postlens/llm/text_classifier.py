@@ -111,11 +111,14 @@ def _feature_rows(sample: DataFrame) -> tuple[pu.Rows, pu.Rows]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, id_col: str = "doc_id", text_col: str = "text",
-        max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+        max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, strength_over: float = 3.0,
+        style_always: bool = False, **optimiser) -> Model:
     """Positive-unlabelled fit on the rows where ``train`` (an expression over the id) holds.
 
     Positives: labelled 1, at most ``max_positive``. Unlabelled: documents whatever
     their label, at most ``max_unlabelled``. Null ids and null labels are left out.
+    ``strength_over`` and ``style_always`` choose the features (``pu.informative``),
+    ``optimiser`` goes to ``pu.fit``.
     """
     order = F.xxhash64("_id")
     own = F.col(id_col).alias("_id")
@@ -129,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, id_col: s
                                       F.coalesce("unlabelled", F.lit(False)).alias("unlabelled")))
     if not len(p) or not len(u):  # nothing confirmed: every text scores a quarter, below either threshold
         return Model(np.full(FEATURES, -1, np.int64), np.log(np.ones(1) / 3), 0.25)
-    new = pu.informative(p, u, FEATURES, SELECTED)
+    new = pu.informative(p, u, FEATURES, SELECTED, strength_over=strength_over, always=STYLE if style_always else 0)
     p, u, size = p.renumbered(new), u.renumbered(new), int(new.max()) + 1
     prior = pu.estimate_prior(p, u, size)
-    return Model(new, pu.fit(p, u, size, prior), prior)
+    return Model(new, pu.fit(p, u, size, prior, **optimiser), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple | list = ()) -> DataFrame:
