@@ -8,6 +8,7 @@ choice from value-list tables, prompts are literal concatenations chosen by the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -56,14 +57,25 @@ BANNED_ENDS = (
 NO_COMMENT = "[No valid comment]"
 ERROR_PREFIX = "[Error"
 
-AZS_BODY = (
+MISTRAL_TASK = (
     "\nNow independently imagine yourself as a normal reddit user and write exactly one reddit comment that would fit "
-    "in the subreddit {sub}.\nYour comment must be approximately 77 words long. Do not use any hashtags in your comment. "
-    "Do not use greetings like \"hello\" or exclamations like \"wow\"\nat the start. Exclude preambles. The mention of "
-    "any explicit reference to bipolar disorder is not allowed. \nYou must avoid using any language related to mental "
-    "health such as a condition or general terms like \"mental illness\", \n\"diagnosed with\", or \"suffering from\". "
-    "Be creative with your response. Focus on general behavior, expression, and tone. Do not use a title.\n"
+    "in the subreddit {sub}.\n"
 )
+MISTRAL_ONE = "Generate only one comment per iteration.\n"
+MISTRAL_RULES = (
+    "Your comment must be {about} words long. Do not use any hashtags in your comment. "
+    "Do not use greetings like \"hello\" or exclamations like \"wow\"\nat the start. Exclude preambles. "
+)
+MISTRAL_SILENCE = (  # positive settings only; IFS has no blanks at its line ends
+    "The mention of any explicit reference to bipolar disorder is not allowed. \n"
+    "You must avoid using any language related to mental health such as a condition or general terms like "
+    "\"mental illness\", \n\"diagnosed with\", or \"suffering from\". "
+)
+MISTRAL_STYLE = "Be creative with your response. Focus on general behavior, expression, and tone. Do not use a title."
+IMITATE = ("You should imitate the examples I have provided, but you cannot simply modify or rewrite "
+           "the examples I have given.")
+IZS_CONDITION = "\nYou are diagnosed with Bipolar Disorder."
+IFS_TAIL = "        "
 AZS_DIVERSITY = """
 Provide something more diverse than the previous posts.
 Change the structure at the beginning of your response: it shouldn't follow the format of your previous posts.
@@ -91,8 +103,20 @@ MAFS_INSTRUCTIONS = (
 )
 MAFS_IMITATE = ("You should imitate the examples I have provided, but you cannot simply modify or rewrite "
                 "the examples I have given./n")
-MIZS_INSTRUCTIONS = (
-    " You are diagnosed with bipolar disorder. (do not mention the diagnosis or mental health in your comment)"
+MAZS_INSTRUCTIONS = (
+    " Write only the comment—no greetings, sign-offs, summaries, or meta-statements. "
+    "Do not start your comment with phrases like 'Just', 'Here', 'As a', 'I am', 'This is', 'I'm', greetings, "
+    "or phrases like                     'I've been', 'I spent', 'I just', 'I recently', or similar. "
+    "Start directly with a statement, opinion, detail, or description—avoid Reddit formulaic openers. "
+    "Try not to use the same opener or sentence structure as earlier comments. Use unique phrasings."
+    "Sound casual and authentic, like a real Redditor. "
+    "If the persona is married, do not always mention or focus on your spouse in your comment—"
+    "write as you would on Reddit, where                 many users do not reference their marriage directly in every post."
+    "Do not end your comment by asking the crowd for agreement or saying 'anyone else?' or similar phrases. "
+    "Vary your language and sentence structure. Generate exactly one comment."
+)
+INFERRED_CONDITION = " You are diagnosed with bipolar disorder. (do not mention the diagnosis or mental health in your comment)"
+INFERRED_INSTRUCTIONS = (
     "Write only the comment—no greetings, sign‐offs, summaries, or meta-statements. "
     "Do not start your comment with phrases like 'Just', 'Here', 'As a', 'I am', 'This is', "
     "'I'm', greetings, or phrases like 'I've been', 'I spent', 'I just', 'I recently', or similar. "
@@ -102,7 +126,30 @@ MIZS_INSTRUCTIONS = (
     "If the persona is married, do not always mention or focus on your spouse—write as you would on Reddit. "
     "Do not end your comment by asking 'anyone else?' or similar."
 )
-FEW_SHOT_INTRO = "Here are some example comments for reference:\n\n"
+LLAMA_TASK = "Write a single, realistic Reddit comment that is about {about} words for r/{sub}. {persona}"
+#: Words before the examples: (positive, control); the positive ones of AFS and MAFS name both groups.
+EXAMPLES_INTRO = {
+    "AFS": ("Here are example comments written by different users:\n\n", "Here are example comments written by control users:\n\n"),
+    "MAFS": ("Here are some example comments for reference:\n\n", "Here are some example comments from control users:\n\n"),
+    "IFS": ("Here are example comments for reference:\n\n", "Here are example comments for reference:\n\n"),
+    "MIFS": ("Here are example comments for reference:\n", "Here are example comments for reference:\n"),
+}
+EXAMPLES_POSITIVE = "Examples from users with bipolar disorder:\n"
+EXAMPLES_CONTROL = "Examples from control users:\n"
+WORDS_ASKED = {  # setting -> (positive, control)
+    "AFS": ("approximately 70-85", "approximately 40-60"), "AZS": ("approximately 77", "around 40-60"),
+    "IFS": ("approximately 70-85", "approximately 40-60"), "IZS": ("approximately 77", "approximately 40-60"),
+    "MAFS": ("70-80", "40-60"), "MAZS": ("70-80", "40-60"), "MIFS": ("70–80", "40–60"), "MIZS": ("70–80", "40–60"),
+}
+PERSONA_STYLE = {"AFS": "attribute_mistral", "AZS": "attribute_mistral", "IFS": "reddit_user", "IZS": "inferred",
+                 "MAFS": "attribute_llama", "MAZS": "attribute_llama", "MIFS": "inferred", "MIZS": "inferred"}
+SAMPLER = {  # setting -> max_tokens, temperature, top_p, top_k, repeat_penalty, presence_penalty, frequency_penalty
+    "AFS": (2000, 0.8, 0.9, 40, 1.1, 0.0, 0.0), "AZS": (360, 0.8, 0.9, 20, 1.1, 0.0, 0.0),
+    "IFS": (2048, 0.8, 0.95, 40, 1.1, 0.0, 0.0), "IZS": (360, 0.8, 0.9, 20, 1.1, 0.0, 0.0),
+    "MAFS": (3000, 0.95, 0.95, 40, 1.1, 0.0, 0.0), "MAZS": (270, 0.95, 0.95, 40, 1.1, 0.0, 0.0),
+    "MIFS": (2048, 0.9, 0.95, 40, 1.05, 0.0, 0.0), "MIZS": (270, 0.95, 0.95, 40, 1.1, 0.0, 0.0),
+}
+SAMPLER_NAMES = ("max_tokens", "temperature", "top_p", "top_k", "repeat_penalty", "presence_penalty", "frequency_penalty")
 # ---------------------------------------------------------------------------
 
 # Value lists for profile sampling. The published lists live in a module that is
@@ -123,11 +170,6 @@ PROFILE_LISTS = {
 N_INTERESTS = 3
 
 
-def settings_table(spark) -> DataFrame:
-    return spark.createDataFrame(SETTINGS, "setting string, model string, every_k int, tries int, min_words int, "
-                                           "quote_variant string, openers string")
-
-
 def sample_profiles(df: DataFrame, id_col: str, seed: int = 42, lists: dict | None = None,
                     condition: str = "Bipolar Disorder") -> DataFrame:
     """One seeded-random profile per row: each field = list[md5(seed|id|field) mod n]; interests = the
@@ -148,20 +190,20 @@ def sample_profiles(df: DataFrame, id_col: str, seed: int = 42, lists: dict | No
 
 
 def persona_line(style: str, with_condition: bool = True, persona_text_col: str = "persona_text") -> Column:
-    """The persona sentence, in the attribute (Mistral / Llama) or inferred wording."""
+    """The persona sentence in one of its four wordings, with the condition or (control) without."""
     interests = F.array_join("interests", ", ")
     if style == "attribute_mistral":
         parts = [F.lit("Your age is: "), F.col("age"), F.lit(". You are a "), F.col("gender"), F.lit(" from "),
                  F.col("nationality"), F.lit(". Your occupation is: "), F.col("occupation"),
                  F.lit(". Your marital status is: "), F.col("marital_status"), F.lit(". Your interests are: "),
                  interests, F.lit(".")]
-        if with_condition:
-            parts += [F.lit(" You are diagnosed with the condition: "), F.col("condition"), F.lit(".")]
+        # the control wording ends with the blank that stands before the condition
+        parts += [F.lit(" You are diagnosed with the condition: "), F.col("condition"), F.lit(".")] if with_condition else [F.lit(" ")]
         return F.concat(*parts)
     if style == "attribute_llama":
         parts = [F.lit("You are a "), F.col("age"), F.lit("-year-old "), F.col("gender"), F.lit(" from "),
                  F.col("nationality"), F.lit(", "), F.col("marital_status"), F.lit(", working as a "),
-                 F.col("occupation"), F.lit(", interested in "), interests]
+                 F.col("occupation"), F.lit(", interested in " if with_condition else ", and interested in "), interests]
         if with_condition:
             parts += [F.lit(", diagnosed with "), F.col("condition"),
                       F.lit(" (do not mention the diagnosis or mental health in your comment).")]
@@ -170,35 +212,72 @@ def persona_line(style: str, with_condition: bool = True, persona_text_col: str
         return F.concat(*parts)
     if style == "inferred":
         return F.concat(F.lit("You are "), py_strip(F.col(persona_text_col)))
+    if style == "reddit_user":
+        return F.concat(F.lit("You are a Reddit user with the following persona: "), F.col(persona_text_col),
+                        F.lit(". You are diagnosed with Bipolar Disorder." if with_condition else "."))
     raise ValueError(f"unknown persona style {style!r}")
 
 
+def prompt_template(setting: str, control: bool = False) -> str:
+    """The text of a setting with {persona}, {sub}, {examples} and {diversity} where the row's parts go."""
+    about = WORDS_ASKED[setting][control]
+    if setting.startswith("M"):
+        task = LLAMA_TASK.replace("{about}", about)
+        if setting in ("MAFS", "MAZS"):
+            task += MAFS_INSTRUCTIONS + "{examples}" if setting == "MAFS" else MAZS_INSTRUCTIONS
+        else:
+            task += (" " if control else INFERRED_CONDITION) + INFERRED_INSTRUCTIONS
+        after = {"MAFS": MAFS_IMITATE + "\n", "MIFS": "{examples}" + IMITATE}.get(setting, "")
+        return LLAMA_SYSTEM + task + "{diversity}\n" + after + LLAMA_ASSISTANT
+    silence = "" if control else MISTRAL_SILENCE
+    few = setting in ("AFS", "IFS")
+    body = (("" if control or setting != "IZS" else IZS_CONDITION) + MISTRAL_TASK + (MISTRAL_ONE if few else "")
+            + MISTRAL_RULES.replace("{about}", about) + silence + MISTRAL_STYLE)
+    if setting == "IFS":
+        body = body.replace(" \n", "\n")
+    body += {"AFS": " \n" + IMITATE + "\n", "IFS": "\n" + IMITATE + "\n" + IFS_TAIL}.get(setting, "\n")
+    text = "[INST] {persona}\n\n{examples}" + body + "{diversity} [/INST]"
+    return f"[INST] {text} [/INST]" if setting == "IFS" else text  # published so: wrapped again when sent
+
+
+def diversity_text(setting: str) -> str:
+    if setting.startswith("M"):
+        return " " + LLAMA_DIVERSITY
+    return "\n" + AZS_DIVERSITY + IFS_TAIL if setting == "IFS" else "\n\n" + AZS_DIVERSITY
+
+
 def build_prompts(df: DataFrame, setting: str, index_col: str = "prompt_index", examples_col: str | None = None,
-                  persona_text_col: str = "persona_text") -> DataFrame:
-    """Full prompt text per row for one setting; every k-th prompt (1-based index) gets the diversity text."""
-    spec = {s[0]: s for s in SETTINGS}[setting]
-    every_k = spec[2]
-    diverse = F.pmod(F.col(index_col), F.lit(every_k)) == 0
-    if setting == "AZS":
-        body = F.concat(F.lit(AZS_BODY.split("{sub}")[0]), F.col("subreddit"), F.lit(AZS_BODY.split("{sub}")[1]))
-        body = F.when(diverse, F.concat(body, F.lit("\n\n"), F.lit(AZS_DIVERSITY))).otherwise(body)
-        prompt = F.concat(F.lit("[INST] "), F.col("persona_line"), F.lit("\n\n"), body, F.lit(" [/INST]"))
-        return df.withColumn("persona_line", persona_line("attribute_mistral")).withColumn("Prompt", prompt)
-    if setting == "MAFS":
-        examples = F.col(examples_col) if examples_col else F.lit("")
-        body = F.concat(F.lit("Write a single, realistic Reddit comment that is about 70-80 words for r/"),
-                        F.col("subreddit"), F.lit(". "), F.col("persona_line"), F.lit(MAFS_INSTRUCTIONS), examples)
-        body = F.when(diverse, F.concat(body, F.lit(" " + LLAMA_DIVERSITY))).otherwise(body)
-        prompt = F.concat(F.lit(LLAMA_SYSTEM), body, F.lit("\n" + MAFS_IMITATE + "\n" + LLAMA_ASSISTANT))
-        return df.withColumn("persona_line", persona_line("attribute_llama")).withColumn("Prompt", prompt)
-    if setting == "MIZS":
-        body = F.concat(F.lit("Write a single, realistic Reddit comment that is about 70–80 words for r/"),
-                        F.col("subreddit"), F.lit(". "), F.col("persona_line"), F.lit(MIZS_INSTRUCTIONS))
-        body = F.when(diverse, F.concat(body, F.lit(" " + LLAMA_DIVERSITY))).otherwise(body)
-        prompt = F.concat(F.lit(LLAMA_SYSTEM), body, F.lit("\n" + LLAMA_ASSISTANT))
-        return df.withColumn("persona_line", persona_line("inferred", persona_text_col=persona_text_col)) \
-            .withColumn("Prompt", prompt)
-    raise NotImplementedError(f"prompt template for {setting} is not built yet")
+                  persona_text_col: str = "persona_text", control: bool = False) -> DataFrame:
+    """Full prompt text per row for one setting; every k-th prompt (1-based index) gets the diversity text.
+
+    ``examples_col`` holds the row's examples block (``examples_block`` or ``few_shot_texts``).
+    """
+    every_k = {s[0]: s[2] for s in SETTINGS}[setting]
+    diverse = F.when(F.pmod(F.col(index_col), F.lit(every_k)) == 0, diversity_text(setting)).otherwise("")
+    given = {"persona": F.col("persona_line"), "sub": F.col("subreddit"), "diversity": diverse,
+             "examples": F.col(examples_col) if examples_col else F.lit("")}
+    parts = [given[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(persona|sub|diversity|examples)\}",
+                                                                         prompt_template(setting, control))) if x]
+    line = persona_line(PERSONA_STYLE[setting], not control, persona_text_col)
+    return df.withColumn("persona_line", line).withColumn("Prompt", F.concat(*parts))
+
+
+def examples_block(setting: str, control: bool, first: Column, second: Column | None = None) -> Column:
+    """The examples of a setting from numbered texts; positive AFS and MAFS take two groups, positive first."""
+    intro = F.lit(EXAMPLES_INTRO[setting][control])
+    if setting in ("AFS", "MAFS") and not control:
+        return F.concat(intro, F.lit(EXAMPLES_POSITIVE), first, F.lit("\n\n" + EXAMPLES_CONTROL), second, F.lit("\n\n"))
+    return F.concat(intro, first, F.lit("\n" if setting == "MIFS" else "\n\n"))
+
+
+def few_shot_texts(examples: DataFrame, members: DataFrame, id_col: str = "persona_id", member_id: str = "vec_id",
+                   text_col: str = "text", out: str = "examples") -> DataFrame:
+    """(id, numbered texts) from retrieved (id, example_no, member_id): the members' texts, at most six a persona."""
+    t = members.select(F.col(member_id).alias("member_id"), F.col(text_col).alias("_text"))
+    rows = F.sort_array(F.collect_list(F.struct("example_no", "_text")))
+    packed = examples.join(t, "member_id").groupBy(id_col).agg(rows.alias("_r"))
+    return packed.select(id_col, F.array_join(F.transform("_r", lambda x: F.concat(
+        x["example_no"].cast("string"), F.lit(". "), x["_text"])), "\n").alias(out))
 
 
 def screen(text: Column, min_words: int | None = 20, short_openers: bool = False, low: Column | None = None) -> Column:
@@ -243,7 +322,10 @@ def first_valid_attempt(attempts: DataFrame, setting: str, prompt_col: str = "pr
 
 def generation_records(prompts: DataFrame, results: DataFrame, setting: str, id_cols: Sequence[str],
                        key: str = "prompt_id") -> DataFrame:
-    """Result rows: ids, profile columns, persona, prompt, generated text, model base name."""
+    """Result rows: ids, profile columns, persona, prompt, generated text, sampler settings, model base name.
+
+    Control records carry the condition as the positive ones do where it is in the profile (published so).
+    """
     spec = {s[0]: s for s in SETTINGS}[setting]
     j = prompts.join(results, key, "left")
     return j.select(*id_cols, F.col("age").alias("Age"), F.col("gender").alias("Gender"),
@@ -252,6 +334,7 @@ def generation_records(prompts: DataFrame, results: DataFrame, setting: str, id_
                     F.col("nationality").alias("Nationality"), F.col("marital_status").alias("Marital Status"),
                     F.col("condition").alias("Condition"), F.col("persona_line").alias("Persona"), "Prompt",
                     F.coalesce(F.col("Generated Text"), F.lit(NO_COMMENT)).alias("Generated Text"),
+                    *[F.lit(v).alias(n) for v, n in zip(SAMPLER[setting], SAMPLER_NAMES, strict=True)],
                     F.lit(spec[1]).alias("model"), F.lit(setting).alias("setting"))
 
 

@@ -56,6 +56,7 @@ PERSONA_SQL = {
                         "marital_status || ', working as a ' || occupation || ', interested in ' || interests || "
                         "', diagnosed with ' || condition || ' (do not mention the diagnosis or mental health in your comment).'"),
     "inferred": f"'You are ' || {_strip_sql('persona_text')}",
+    "reddit_user": "'You are a Reddit user with the following persona: ' || persona_text || '. You are diagnosed with Bipolar Disorder.'",
 }
 
 
@@ -66,56 +67,68 @@ def q_persona_line(spark, d):
     return p.select("persona_id", *[P.persona_line(s).alias(s) for s in PERSONA_SQL])
 
 
-def few_shot_block(spark, d):
-    """Examples block: 3 sampled user-role posts and 3 sampled other posts, numbered (one row)."""
+def numbered(spark, d, post: bool):
+    """Three sampled posts of one kind, numbered (one value)."""
     posts = V.v_posts(spark, d)
-    pos = sampling.numbered_block(sampling.sample_texts(posts.where(F.col("type") == "post"), 3, SEED, key_col="TID"))
-    ctl = sampling.numbered_block(sampling.sample_texts(posts.where(F.col("type") != "post"), 3, SEED, key_col="TID"))
-    return F.concat(F.lit(P.FEW_SHOT_INTRO + "Examples from users with bipolar disorder:\n"), pos.scalar(),
-                    F.lit("\n\nExamples from control users:\n"), ctl.scalar(), F.lit("\n\n"))
+    kind = F.col("type") == "post" if post else F.col("type") != "post"
+    return sampling.numbered_block(sampling.sample_texts(posts.where(kind), 3, SEED, key_col="TID")).scalar()
 
 
-def _block_sql(cond: str) -> str:
+def _numbered_sql(cond: str) -> str:
     return f"""(SELECT string_agg(CAST(n AS VARCHAR) || '. ' || text, chr(10) ORDER BY n) FROM (
       SELECT row_number() OVER (ORDER BY h, TID) AS n, text FROM (
         SELECT TID, text, {md5_rank_key_sql(SEED, 'TID')} AS h FROM v_posts WHERE text IS NOT NULL AND {cond}
         ORDER BY h, TID LIMIT 3)))"""
 
 
-BLOCK_SQL = (f"{sql_str(P.FEW_SHOT_INTRO + 'Examples from users with bipolar disorder:' + chr(10))} || "
-             f"{_block_sql(chr(39) + 'post' + chr(39) + ' = type')} || {sql_str(chr(10) * 2 + 'Examples from control users:' + chr(10))} || "
-             f"{_block_sql('type <> ' + chr(39) + 'post' + chr(39))} || {sql_str(chr(10) * 2)}")
-
-
-def _div(k: int) -> str:
-    return f"prompt_index % {k} = 0"
+CONTROL_PERSONA_SQL = {
+    "attribute_mistral": PERSONA_SQL["attribute_mistral"].replace("'.' || ' You are diagnosed with the condition: ' || condition || '.'", "'. '"),
+    "attribute_llama": PERSONA_SQL["attribute_llama"].replace("', interested in '", "', and interested in '").replace(
+        "', diagnosed with ' || condition || ' (do not mention the diagnosis or mental health in your comment).'", "'.'"),
+    "inferred": PERSONA_SQL["inferred"],
+    "reddit_user": "'You are a Reddit user with the following persona: ' || persona_text || '.'",
+}
+VARIANTS = [(s[0], c) for s in P.SETTINGS for c in (False, True)]
+
+
+def _prompt_expr(setting: str, control: bool) -> str:
+    """The template with its marks replaced one after the other, as a script would format it."""
+    if setting in ("AFS", "MAFS") and not control:
+        ex = (f"{sql_str(P.EXAMPLES_INTRO[setting][0] + P.EXAMPLES_POSITIVE)} || pos || "
+              f"{sql_str(chr(10) * 2 + P.EXAMPLES_CONTROL)} || ctl || {sql_str(chr(10) * 2)}")
+    elif setting in P.EXAMPLES_INTRO:
+        ex = f"{sql_str(P.EXAMPLES_INTRO[setting][control])} || ctl || {sql_str(chr(10) * (1 if setting == 'MIFS' else 2))}"
+    else:
+        ex = "''"
+    k = {s[0]: s[2] for s in P.SETTINGS}[setting]
+    div = f"CASE WHEN prompt_index % {k} = 0 THEN {sql_str(P.diversity_text(setting))} ELSE '' END"
+    persona = (CONTROL_PERSONA_SQL if control else PERSONA_SQL)[P.PERSONA_STYLE[setting]]
+    out = sql_str(P.prompt_template(setting, control))
+    for mark, value in (("diversity", div), ("sub", "subreddit"), ("persona", persona), ("examples", ex)):
+        out = f"replace({out}, '{{{mark}}}', {value})"
+    return out
 
 
-AZS_SQL = (f"'[INST] ' || ({PERSONA_SQL['attribute_mistral']}) || {sql_str(chr(10) * 2)} || "
-           f"{sql_str(P.AZS_BODY.split('{sub}')[0])} || subreddit || {sql_str(P.AZS_BODY.split('{sub}')[1])} || "
-           f"CASE WHEN {_div(5)} THEN {sql_str(chr(10) * 2 + P.AZS_DIVERSITY)} ELSE '' END || ' [/INST]'")
-MAFS_SQL = (f"{sql_str(P.LLAMA_SYSTEM)} || 'Write a single, realistic Reddit comment that is about 70-80 words for r/' || "
-            f"subreddit || '. ' || ({PERSONA_SQL['attribute_llama']}) || {sql_str(P.MAFS_INSTRUCTIONS)} || block || "
-            f"CASE WHEN {_div(5)} THEN {sql_str(' ' + P.LLAMA_DIVERSITY)} ELSE '' END || "
-            f"{sql_str(chr(10) + P.MAFS_IMITATE + chr(10) + P.LLAMA_ASSISTANT)}")
-MIZS_SQL = (f"{sql_str(P.LLAMA_SYSTEM)} || 'Write a single, realistic Reddit comment that is about 70–80 words for r/' || "
-            f"subreddit || '. ' || ({PERSONA_SQL['inferred']}) || {sql_str(P.MIZS_INSTRUCTIONS)} || "
-            f"CASE WHEN {_div(10)} THEN {sql_str(' ' + P.LLAMA_DIVERSITY)} ELSE '' END || {sql_str(chr(10) + P.LLAMA_ASSISTANT)}")
+def _prompt_sql(setting: str, control: bool) -> str:
+    return (f"SELECT persona_id, '{setting}' AS setting, {str(control).lower()} AS control, "
+            f"{_prompt_expr(setting, control)} AS Prompt FROM prof, b")
 
 
 @query("build_prompts", with_views("prof", "v_posts") + f"""
-, b AS (SELECT {BLOCK_SQL} AS block)
-SELECT persona_id, 'AZS' AS setting, {AZS_SQL} AS Prompt FROM prof
-UNION ALL SELECT persona_id, 'MAFS', {MAFS_SQL} FROM prof, b
-UNION ALL SELECT persona_id, 'MIZS', {MIZS_SQL} FROM prof""")
+, b AS (SELECT {_numbered_sql("type = 'post'")} AS pos, {_numbered_sql("type <> 'post'")} AS ctl)
+""" + " UNION ALL ".join(_prompt_sql(*v) for v in VARIANTS))
 def q_build_prompts(spark, d):
-    p = profiles(spark, d)
-    block = few_shot_block(spark, d)
+    """All sixteen variants: eight settings, positive and control."""
+    p = profiles(spark, d).withColumn("_pos", numbered(spark, d, True)).withColumn("_ctl", numbered(spark, d, False))
     out = None
-    for setting in ("AZS", "MAFS", "MIZS"):
-        src = p.withColumn("_block", block) if setting == "MAFS" else p
-        b = P.build_prompts(src, setting, examples_col="_block" if setting == "MAFS" else None)
-        b = b.select("persona_id", F.lit(setting).alias("setting"), "Prompt")
+    for setting, control in VARIANTS:
+        both = setting in ("AFS", "MAFS") and not control
+        src = p
+        if setting in P.EXAMPLES_INTRO:
+            first = F.col("_pos" if both else "_ctl")
+            src = p.withColumn("_block", P.examples_block(setting, control, first, F.col("_ctl")))
+        b = P.build_prompts(src, setting, examples_col="_block" if setting in P.EXAMPLES_INTRO else None, control=control)
+        b = b.select("persona_id", F.lit(setting).alias("setting"), F.lit(control).alias("control"), "Prompt")
         out = b if out is None else out.unionByName(b)
     return out
 
@@ -172,8 +185,10 @@ def q_first_valid_attempt(spark, d):
 @query("generation_records", with_views("prof", "v_generated") + f"""
 SELECT persona_id, age AS Age, gender AS Gender, education AS Education, occupation AS Occupation, interests AS Interests,
        subreddit AS Subreddit, nationality AS Nationality, marital_status AS "Marital Status", condition AS Condition,
-       ({PERSONA_SQL['inferred']}) AS Persona, {MIZS_SQL} AS Prompt,
-       coalesce(r."Generated Text", {sql_str(P.NO_COMMENT)}) AS "Generated Text", 'Llama-3-70B' AS model, 'MIZS' AS setting
+       ({PERSONA_SQL['inferred']}) AS Persona, {_prompt_expr('MIZS', False)} AS Prompt,
+       coalesce(r."Generated Text", {sql_str(P.NO_COMMENT)}) AS "Generated Text",
+       {", ".join(f"CAST({v} AS {'INTEGER' if isinstance(v, int) else 'DOUBLE'}) AS {n}" for v, n in zip(P.SAMPLER['MIZS'], P.SAMPLER_NAMES))},
+       'Llama-3-70B' AS model, 'MIZS' AS setting
 FROM prof LEFT JOIN {_first_sql('MIZS')} r ON r.prompt_id = prof.persona_id""")
 def q_generation_records(spark, d):
     p = P.build_prompts(profiles(spark, d), "MIZS").withColumn("prompt_id", F.col("persona_id"))
