@@ -99,10 +99,10 @@ def centroid_literal(centroids: DataFrame, label_col: str = "cluster") -> Column
     """
     import json
 
-    rows = centroids.orderBy(label_col).select(label_col, "centroid").limit(MAX_CENTROID_VALUES + 1).collect()
-    values = sum(len(r["centroid"]) for r in rows)
-    if values > MAX_CENTROID_VALUES:
-        raise ValueError(f"{len(rows)} centroids with {values} values exceed the literal bound")
+    size = centroids.agg(F.count(F.lit(1)), F.sum(F.size("centroid"))).first()
+    if (size[1] or 0) > MAX_CENTROID_VALUES:  # checked before anything is collected
+        raise ValueError(f"{size[0]} centroids with {size[1]} values exceed the literal bound")
+    rows = centroids.orderBy(label_col).select(label_col, "centroid").collect()
     payload = json.dumps([{"cluster": int(r[label_col]), "c": [float(x) for x in r["centroid"]]} for r in rows])
     return F.from_json(F.lit(payload), "array<struct<cluster:bigint,c:array<double>>>")
 
@@ -110,9 +110,9 @@ def centroid_literal(centroids: DataFrame, label_col: str = "cluster") -> Column
 def persona_cluster_sim(personas: DataFrame, centroids: DataFrame, id_col: str = "persona_id",
                         vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
     """Cosine similarity of every persona to every centroid: array<struct<cluster, sim>> per persona."""
-    cents = centroid_literal(centroids, label_col)
-    p = personas.select(id_col, as_double_array(vec_col).alias("_p"))
-    sims = F.transform(cents, lambda z: F.struct(z["cluster"].alias("cluster"), cosine(F.col("_p"), z["c"]).alias("sim")))
+    cents = centroid_literal(centroids.withColumn("centroid", unit("centroid")), label_col)
+    p = personas.select(id_col, as_double_array(vec_col).alias("_p")).withColumn("_u", unit("_p"))  # norms once, not per centroid
+    sims = F.transform(cents, lambda z: F.struct(z["cluster"].alias("cluster"), dot(F.col("_u"), z["c"]).alias("sim")))
     return p.select(id_col, "_p", sims.alias("sims"))
 
 
@@ -132,75 +132,94 @@ def member_blocks(members: DataFrame, block_size: int = 256, id_col: str = "vec_
                   label_col: str = "cluster") -> tuple[DataFrame, DataFrame]:
     """(blocks, counts): members packed into hash blocks of about ``block_size`` per cluster.
 
-    counts has one row per cluster (k rows), so it is broadcast.
+    counts has one row per cluster; AQE broadcasts it where it is small.
     """
     counts = members.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_nblk", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(block_size)))).cast("long"))
-    m = members.join(F.broadcast(counts), label_col).withColumn(
+    m = members.join(counts, label_col).withColumn(
         "_blk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nblk")))
     blocks = m.groupBy(label_col, "_blk").agg(F.collect_list(F.struct(
         F.col(id_col).alias("id"), unit(as_double_array(vec_col)).alias("u"))).alias("_members"))
     return blocks, counts
 
 
-def _block_extremes(batches):
+def _block_top(top: int, lowest: bool):
     """mapInPandas body: one row = (request block, member block) of one cluster.
 
-    Scores the block pair with one matrix product and emits, per request, the
-    best and worst member of the block (ties: lowest member id).
+    Scores the block pair with one matrix product and emits, per request, the ``top`` most
+    similar members of the block and, with ``lowest``, the least similar one (ties: lowest
+    member id). Ids are carried as they are.
     """
-    import numpy as np
-    import pandas as pd
-
-    for pdf in batches:
-        out = []
-        for cluster, reqs, mems in zip(pdf["cluster"], pdf["_reqs"], pdf["_members"]):
-            if len(reqs) == 0 or len(mems) == 0:
-                continue
-            mems = sorted(mems, key=lambda m: m["id"])
-            mid = np.array([m["id"] for m in mems], dtype=np.int64)
-            mat = np.array([np.asarray(m["u"], dtype=np.float64) for m in mems])
-            pid = [r["pid"] for r in reqs]
-            pmat = np.array([np.asarray(r["pu"], dtype=np.float64) for r in reqs])
-            sims = pmat @ mat.T
-            hi, lo = sims.argmax(axis=1), sims.argmin(axis=1)
-            rows = np.arange(len(pid))
-            out.append(pd.DataFrame({"pid": pid, "cluster": cluster, "most_id": mid[hi], "most_sim": sims[rows, hi],
-                                     "least_id": mid[lo], "least_sim": sims[rows, lo]}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
 
-
-def cluster_extremes(requests: DataFrame, members: DataFrame, id_col: str = "persona_id", block_size: int = 256,
-                     member_id: str = "vec_id", vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
-    """Most and least similar member of the requested cluster for each (persona, cluster) request.
-
-    ``requests``: (id_col, cluster, _p) with ``_p`` the persona vector. Requests
-    and members are both packed into hash blocks of about ``block_size`` per
-    cluster; each (request block, member block) pair of a cluster is one row,
-    scored in numpy with a single matrix product (Arrow batches, no per-pair
-    rows), then reduced per request with a partial aggregate. A hot cluster is
-    spread over many block pairs. Ties: lowest member id. Member ids must be integral.
-    """
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for cluster, reqs, mems in zip(pdf["cluster"], pdf["_reqs"], pdf["_members"]):
+                if len(reqs) == 0 or len(mems) == 0:
+                    continue
+                mems = sorted(mems, key=lambda m: m["id"])
+                sims = np.array([r["pu"] for r in reqs], dtype=float) @ np.array([m["u"] for m in mems], dtype=float).T
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :top]
+                rows = [(reqs[i]["pid"], cluster, mems[j]["id"], float(sims[i, j]), True) for i in range(len(reqs)) for j in best[i]]
+                if lowest:
+                    rows += [(reqs[i]["pid"], cluster, mems[j]["id"], float(sims[i, j]), False)
+                             for i, j in enumerate(sims.argmin(axis=1))]
+                yield pd.DataFrame(rows, columns=["pid", "cluster", "member", "sim", "high"])
+
+    return run
+
+
+def _scored(requests: DataFrame, members: DataFrame, id_col: str, block_size: int, member_id: str, vec_col: str,
+            label_col: str, top: int, lowest: bool) -> DataFrame:
+    """(pid, cluster, member, sim, high): what each pair of blocks of a cluster has to offer."""
     blocks, counts = member_blocks(members, block_size, member_id, vec_col, label_col)
     rcounts = requests.groupBy(label_col).agg(F.count(F.lit(1)).alias("_rn")).withColumn(
         "_nrblk", F.greatest(F.lit(1), F.ceil(F.col("_rn") / F.lit(float(block_size)))).cast("long"))
-    req = requests.join(F.broadcast(rcounts), label_col).withColumn(
-        "_rblk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nrblk")))
+    req = requests.join(rcounts, label_col).withColumn("_rblk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nrblk")))
     rblocks = req.groupBy(label_col, "_rblk").agg(F.collect_list(F.struct(
-        F.col(id_col).cast("long").alias("pid"), unit(F.col("_p")).alias("pu"))).alias("_reqs"))
+        F.col(id_col).alias("pid"), unit(F.col("_p")).alias("pu"))).alias("_reqs"))
     # every request block meets every member block of its cluster (block pairs, not row pairs)
-    pairs = (rblocks.join(F.broadcast(counts.select(label_col, "_nblk")), label_col)
+    pairs = (rblocks.join(counts.select(label_col, "_nblk"), label_col)
              .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1)))
              .join(blocks, [label_col, "_blk"]).select(F.col(label_col).cast("long").alias("cluster"), "_reqs", "_members"))
-    scored = pairs.mapInPandas(_block_extremes, "pid long, cluster long, most_id long, most_sim double, "
-                                                "least_id long, least_sim double")
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return pairs.mapInPandas(_block_top(top, lowest), f"pid {kind(requests, id_col)}, cluster long, "
+                                                      f"member {kind(members, member_id)}, sim double, high boolean")
+
+
+def cluster_extremes(requests: DataFrame, members: DataFrame, id_col: str = "persona_id", block_size: int = 256,
+                     member_id: str = "vec_id", vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
+    """Most and least similar member of the requested cluster for each (persona, cluster) request.
+
+    ``requests``: (id_col, cluster, _p) with ``_p`` the persona vector. Requests and members are
+    packed into hash blocks of about ``block_size`` per cluster; each pair of blocks of a cluster is
+    one row, scored with a single matrix product, then reduced per request with a partial
+    aggregate, so a hot cluster is spread over many block pairs. The work is requests times cluster
+    size: let k grow with the members so that clusters stay bounded. Ids of any type. Ties: lowest id.
+    """
+    scored = _scored(requests, members, id_col, block_size, member_id, vec_col, label_col, 1, True)
     agg = scored.groupBy("pid", "cluster").agg(
-        F.max(F.struct("most_sim", (-F.col("most_id")).alias("neg"))).alias("b"),
-        F.min(F.struct("least_sim", "least_id")).alias("w"))
+        F.min(F.when(F.col("high"), F.struct((-F.col("sim")).alias("neg"), "member"))).alias("b"),
+        F.min(F.when(~F.col("high"), F.struct("sim", "member"))).alias("w"))
     return agg.select(F.col("pid").alias(id_col), F.col("cluster").alias(label_col),
-                      (-F.col("b.neg")).alias("most_id"), F.col("b.most_sim").alias("most_sim"),
-                      F.col("w.least_id").alias("least_id"), F.col("w.least_sim").alias("least_sim"))
+                      F.col("b.member").alias("most_id"), (-F.col("b.neg")).alias("most_sim"),
+                      F.col("w.member").alias("least_id"), F.col("w.sim").alias("least_sim"))
+
+
+def cluster_top_n(requests: DataFrame, members: DataFrame, n: int = 3, id_col: str = "persona_id", block_size: int = 256,
+                  member_id: str = "vec_id", vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
+    """The n most similar members of the requested cluster: (id, cluster, rank, member_id, sim); ties: lowest id.
+
+    Each pair of blocks offers n members, so a request ranks n rows per block of its cluster.
+    """
+    scored = _scored(requests, members, id_col, block_size, member_id, vec_col, label_col, n, False)
+    packed = scored.groupBy("pid", "cluster").agg(F.slice(F.array_sort(F.collect_list(
+        F.struct((-F.col("sim")).alias("neg"), "member"))), 1, n).alias("_t"))
+    return packed.select(F.col("pid").alias(id_col), F.col("cluster").alias(label_col), F.posexplode("_t").alias("_k", "_e")).select(
+        id_col, label_col, (F.col("_k") + 1).cast("long").alias("rank"), F.col("_e.member").alias("member_id"),
+        (-F.col("_e.neg")).alias("sim"))
 
 
 def few_shot_examples(personas: DataFrame, members: DataFrame, centroids: DataFrame, id_col: str = "persona_id",
@@ -234,7 +253,3 @@ def centroid_cosine(df: DataFrame, group: Column, vec_col: str = "embedding") ->
     two = m.agg(F.max(F.when(F.col("_g") == 0, F.col("_m"))).alias("ma"),
                 F.max(F.when(F.col("_g") == 1, F.col("_m"))).alias("mb"))
     return two.select(cosine("ma", "mb").alias("centroid_cosine"))
-
-
-def pick_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)

@@ -104,6 +104,17 @@ def q_cluster_extremes(spark, d):
                     r6("least_sim").alias("least_sim"))
 
 
+@query("cluster_top_n", with_views("dv", "pm") + """
+SELECT persona_id, cluster, rank, member_id, round(sim, 6) AS sim FROM (
+  SELECT pm.*, row_number() OVER (PARTITION BY pm.persona_id ORDER BY pm.sim DESC, pm.member_id) AS rank
+  FROM pm JOIN dv ON dv.persona_id = pm.persona_id AND dv.top_cluster = pm.cluster) WHERE rank <= 3""")
+def q_cluster_top_n(spark, d):
+    div = VEC.diverse_clusters(VEC.persona_cluster_sim(personas(spark, d), centroids(spark, d)))
+    req = div.select("persona_id", "_p", F.col("top_cluster").alias("cluster"))
+    t = VEC.cluster_top_n(req, emb(spark, d), 3)
+    return t.select("persona_id", "cluster", "rank", "member_id", r6("sim").alias("sim"))
+
+
 @query("few_shot_examples", with_views("dv", "ext") + """
 , slots AS (SELECT persona_id, unnest([top_cluster, mid_cluster, bottom_cluster]) AS cluster, unnest([0, 1, 2]) AS slot FROM dv)
 SELECT s.persona_id, CAST(s.slot * 2 + k.k + 1 AS BIGINT) AS example_no, s.cluster,
