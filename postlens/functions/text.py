@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
 
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -65,7 +61,7 @@ def strip_quotes(c, variant: str = "a") -> Column:
     Each step is one anchored regular expression over the previous step, so the
     expression stays linear in size (no repeated copies of the input).
     """
-    s = py_strip(_c(c))
+    s = py_strip(_col(c))
 
     def drop(x, q):
         # a lone quote character counts as a pair (text[1:-1] of a 1-char string is empty)

@@ -63,12 +63,17 @@ def fraction_sample(df: DataFrame, frac: float, label_col: str = "y", key_cols:
 
 def augmented_train(train: DataFrame, syn_pos: DataFrame, syn_ctrl: DataFrame, auth_frac: float = 1.0,
                     syn_pos_frac: float = 1.0, syn_ctrl_frac: float = 1.0, seed: int = 42,
-                    label_col: str = "y", key_cols: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Sampled authentic train + kept synthetic positives (y=1) + synthetic controls (y=0)."""
+                    label_col: str = "y", key_cols: Sequence[str] = ("user_id",), dev: DataFrame | None = None) -> DataFrame:
+    """Sampled authentic train + kept synthetic positives (y=1) + synthetic controls (y=0).
+
+    ``dev`` is added whole: the set of the final fit, after the grid is searched.
+    """
     a = fraction_sample(train, auth_frac, label_col, key_cols, seed).withColumn("origin", F.lit("authentic"))
     p = fraction_sample(syn_pos.withColumn(label_col, F.lit(1).cast("long")), syn_pos_frac, label_col, key_cols, seed)
     c = fraction_sample(syn_ctrl.withColumn(label_col, F.lit(0).cast("long")), syn_ctrl_frac, label_col, key_cols, seed)
     syn = p.unionByName(c).withColumn("origin", F.lit("synthetic"))
+    if dev is not None:
+        a = a.unionByName(dev.withColumn("origin", F.lit("authentic")), allowMissingColumns=True)
     return a.unionByName(syn, allowMissingColumns=True)
 
 
@@ -131,6 +136,14 @@ def rf_grid_search(train: DataFrame, dev: DataFrame, features: Sequence[str], la
     return results, best
 
 
+def final_fit(train: DataFrame, dev: DataFrame, test: DataFrame, features: Sequence[str], best: dict, label_col: str = "y",
+              seed: int = 42) -> DataFrame:
+    """Predictions on ``test`` of a forest with the best grid point's parameters, fitted again on train and dev."""
+    params = rf_params(best["max_depth"], best["min_samples_split"], best["min_samples_leaf"], best["n_estimators"])
+    both = train.select(label_col, *features).unionByName(dev.select(label_col, *features))
+    return predict(random_forest(both, features, label_col, seed, **params), test, features)
+
+
 def classification_report(pred: DataFrame, label_col: str = "y", pred_col: str = "pred") -> DataFrame:
     """precision / recall / f1 / support per class, accuracy, macro and weighted averages."""
     y, p = F.col(label_col).cast("long"), F.col(pred_col).cast("long")

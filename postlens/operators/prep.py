@@ -96,6 +96,15 @@ def resolve_column(df: DataFrame, candidates: Sequence[str], out: str, case_inse
     raise KeyError(f"none of {list(candidates)} in {df.columns}")
 
 
+def resolve_text(df: DataFrame, order: Sequence, out: str = "text", case_insensitive: bool = False) -> DataFrame:
+    """The text column: ``text``, else ``comment_text``, else ``Comment i`` with i the 0-based row position in ``order``."""
+    try:
+        return resolve_column(df, ["text", "comment_text"], out, case_insensitive)
+    except KeyError:
+        pos = row_position(df, order, out="_pos")
+        return pos.withColumn(out, F.concat(F.lit("Comment "), (F.col("_pos") - 1).cast("string"))).drop("_pos")
+
+
 def feature_columns(df: DataFrame, exclude: Sequence[str] = NON_FEATURE_COLS) -> list[str]:
     """Numeric columns not excluded (``wid`` is a feature, as published)."""
     return [f.name for f in df.schema.fields

@@ -137,15 +137,18 @@ def top_features(summary: DataFrame, n: int = 10) -> DataFrame:
     return out
 
 
-def density_curve(long: DataFrame, points: int = 200, cut: float = 3.0, reach: float = 9.0) -> DataFrame:
+def density_curve(long: DataFrame, points: int = 200, cut: float = 3.0, reach: float = 9.0,
+                  features: Sequence[str] | None = None) -> DataFrame:
     """Gaussian KDE per (feature, kind) on ``points`` grid points, Scott bandwidth.
 
     bandwidth h = std(ddof=1) * n^(-1/5); grid from min - cut*h to max + cut*h.
-    Each distinct value only feeds grid points within ``reach`` bandwidths
-    (farther terms are below 1e-17 of the peak), so the work is bounded by
+    ``features`` names a subset to draw. Each distinct value only feeds grid points within
+    ``reach`` bandwidths (an approximation: farther terms are below 1e-17 of the peak), so the work is bounded by
     ``points`` per distinct value rather than values x grid.
     """
     g = ["feature", "kind"]
+    if features is not None:
+        long = long.where(F.col("feature").isin(*features))
     st = long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"),
                               F.min("value").alias("lo"), F.max("value").alias("hi"))
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).where(

@@ -236,6 +236,43 @@ def q_augmented_train(spark, d):
     return aug.select("user_id", "y", "origin")
 
 
+@query("augmented_final", with_views("split", "auth_u", "syn_u") + f"""
+SELECT user_id, y, 'authentic' AS origin FROM {_frac_sql("(SELECT * FROM split WHERE split = 'train')", 1.0)}
+UNION ALL SELECT user_id, y, 'authentic' FROM split WHERE split = 'dev'
+UNION ALL SELECT user_id, y, 'synthetic' FROM {_frac_sql("(SELECT user_id, CAST(1 AS BIGINT) AS y FROM syn_u WHERE label = 'positive')", 0.5)}
+UNION ALL SELECT user_id, y, 'synthetic' FROM {_frac_sql("(SELECT user_id, CAST(0 AS BIGINT) AS y FROM syn_u WHERE label = 'control')", 0.5)}""")
+def q_augmented_final(spark, d):
+    parts = split(spark, d).select("split", "user_id", "y")
+    train, dev = (parts.where(F.col("split") == x).drop("split") for x in ("train", "dev"))
+    syn = syn_users(spark, d)
+    pos = syn.where(F.col("label") == "positive").select("user_id")
+    ctrl = syn.where(F.col("label") == "control").select("user_id")
+    aug = M.augmented_train(train, pos, ctrl, auth_frac=1.0, syn_pos_frac=0.5, syn_ctrl_frac=0.5, seed=SEED, dev=dev)
+    return aug.select("user_id", "y", "origin")
+
+
+@query("final_model")
+def q_final_model(spark, d):
+    """One grid point refitted on train and dev, judged on test; the search itself is ``rf_grid_search``."""
+    s = split(spark, d)
+    part = lambda x: s.where(F.col("split") == x)
+    best = {"n_estimators": 100, "max_depth": 10, "min_samples_split": 2, "min_samples_leaf": 1}
+    pred = M.final_fit(part("train"), part("dev"), part("test"), FEATS, best, "y", SEED)
+    return M.classification_report(pred, "y", "prediction")
+
+
+@query("mmd2")
+def q_mmd2(spark, d):
+    return VEC.mmd2(V.table(spark, d, "embeddings"), F.pmod("label", F.lit(2)), 64)
+
+
+@query("first_n_personas", with_views("v_personas") + "SELECT persona_id, persona_text FROM v_personas ORDER BY persona_id LIMIT 20")
+def q_first_n_personas(spark, d):
+    from postlens.operators import sampling
+
+    return sampling.first_rows(V.v_personas(spark, d), 20, ["persona_id"]).select("persona_id", "persona_text")
+
+
 @query("holdout_split", with_views("v_posts", "v_meta") + """
 SELECT user_id, CASE WHEN user_id IN (SELECT DISTINCT CAST(conv_id AS VARCHAR) FROM conversations WHERE role = 'system'
                                       UNION SELECT user_id FROM v_meta WHERE word_count >= 150) THEN 'test' ELSE 'pool' END AS part

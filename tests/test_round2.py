@@ -83,3 +83,19 @@ def test_every_oracle_at_the_smallest_scale(spark):
         if want != got:
             wrong.append(key)
     assert not wrong
+
+
+def test_text_column_falls_back(spark):
+    df = spark.createDataFrame([(1, "x", "y"), (2, "z", None)], "ord int, comment_text string, other string")
+    assert [r.text for r in prep.resolve_text(df, ["ord"]).orderBy("ord").collect()] == ["x", "z"]
+    assert [r.text for r in prep.resolve_text(df.drop("comment_text"), ["ord"]).orderBy("ord").collect()] == ["Comment 0", "Comment 1"]
+
+
+def test_retrieval_takes_text_ids(spark):
+    from postlens.operators import vectors as VEC
+    members = spark.createDataFrame([(f"u_{i}", [float(i % 7), 1.0, float(i)], 1) for i in range(40)],
+                                    "vec_id string, embedding array<double>, cluster long")
+    req = spark.createDataFrame([("p_1", 1, [1.0, 1.0, 5.0])], "persona_id string, cluster long, _p array<double>")
+    top = VEC.cluster_top_n(req, members, 3, block_size=8).orderBy("rank").collect()
+    ext = VEC.cluster_extremes(req, members, block_size=8).first()
+    assert [r.rank for r in top] == [1, 2, 3] and top[0].member_id == ext.most_id and top[0].sim >= top[1].sim >= top[2].sim
