@@ -41,9 +41,9 @@ from postlens.llm.common import Memo, binary_texts, crc_mod, stored, word_pieces
 
 WORDS, RARE = 1792, 256
 CLASSES = WORDS + RARE
-DIM = 24
+DIM = 16
 NOISE = 64
-BATCH = 4096
+BATCH = 8192
 WARM_UP, WARM_EPOCHS = 3000, 3
 HOT = 300_000
 FLUSH = 400_000
@@ -105,6 +105,8 @@ def gather(texts: DataFrame, hot: int = HOT) -> Counts:
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = table.orderBy(F.desc("c"), "word").limit(hot).toArrow()  # a bounded list
     words = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    if total[0]:  # the end is always a class of its own, the first
+        words = {END: words[END] if END in words else table.where(F.col("word") == F.lit(END)).first()["c"], **words}
     names = list(words)[:WORDS]
     frequent = table.sparkSession.createDataFrame([(bytearray(w),) for w in names] or [(bytearray(b" "),)], "top binary")
     rare = table.join(F.broadcast(frequent), F.col("word") == F.col("top"), "left_anti")
@@ -152,9 +154,12 @@ class Model:
         """Natural log of the sum over all classes, for each context."""
         out = np.empty(len(one), np.float32)
         for at in range(0, len(one), 1024):
-            s = self.predicted(one[at:at + 1024], two[at:at + 1024]) @ self.q.T + self.bias
-            top = s.max(axis=1, keepdims=True)
-            out[at:at + 1024] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
+            s = self.predicted(one[at:at + 1024], two[at:at + 1024]) @ self.q.T
+            s += self.bias
+            top = s.max()
+            s -= top
+            np.exp(s, out=s)
+            out[at:at + 1024] = np.log(s.sum(axis=1)) + top
         return out
 
     def raw(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -209,7 +214,7 @@ class ClassMap:
     """Classes of the tokens of texts; the rare ones' checksums are kept while in use."""
 
     def __init__(self, rank: dict):
-        self.known = Memo(lambda w: rank[w] if w in rank else rare_class(w))
+        self.known = Memo(lambda w: rank[w] if w in rank else rare_class(w), 200_000)
         self.end = rank.get(END, 0)
 
     def classes(self, text: bytes) -> np.ndarray:
@@ -239,7 +244,7 @@ def fit(texts: DataFrame, counts: Counts) -> Model:
 
             def learn():
                 nonlocal held, size, seen
-                cols = [np.concatenate(c).astype(np.int64) for c in zip(*held, strict=True)]
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]  # 16-bit classes sort by radix
                 for _ in range(epochs):
                     mix = order.permutation(size)
                     for at in range(0, size, BATCH):
@@ -312,41 +317,57 @@ def score(docs: DataFrame, counts: Counts, model: Model, id_col: str = "doc_id",
                 cls.append(rare_class(w) if k is None else k)
                 base.append(np.log10(c + 1))
                 inside.append(np.log10((c - d) / classes[cls[-1]]) if k is None else 0.0)
-            store.update(known=Memo(lambda w: number[w] if w in number else WORDS - 1 - rare_class(w)), end=number.get(END, -1),
-                         cls=np.array(cls, np.int64), base=np.array(base), inside=np.array(inside),
+            store.update(known=Memo(lambda w: number[w] if w in number else WORDS - 1 - rare_class(w), 200_000), end=number.get(END, -1),
+                         cls=np.array(cls or [0], np.int64), base=np.array(base or [0.0]), inside=np.array(inside or [0.0]),
                          norms=np.full(CLASSES * CLASSES, np.nan, np.float32))
         known, cls, base, inside, norms = (store[k] for k in ("known", "cls", "base", "inside", "norms"))
         end = rank.get(END, 0)
 
-        def class_logs(ids):
-            one, two = contexts(ids, end)
+        def group(texts):
+            """Sizes, known tokens, base sums, log-probabilities and tails of some texts, worked out together."""
+            nums, tails, sizes = [], [], []
+            for t in texts:
+                n, tail = 0, Counter()
+                for words in word_pieces(t):
+                    num = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+                    nums.append(num)
+                    n += len(words)
+                    away = np.flatnonzero(num < 0)
+                    if len(away):
+                        tail.update([words[k] for k in away])
+                nums.append(np.array([store["end"]], np.int32))
+                tails.append([{"w": w, "k": k} for w, k in tail.items()])
+                sizes.append(n + 1)
+            num, sizes = np.concatenate(nums), np.array(sizes)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            is_hot = num >= 0
+            at = np.where(is_hot, num, 0)
+            ids = np.where(is_hot, cls[at], WORDS - 1 - num)
+            ids[starts + sizes - 1] = end
+            one, two = contexts(ids, end)  # a text begins after ends
+            two[starts] = end
             key = one * CLASSES + two
-            new = np.unique(key[np.isnan(norms[key])])
-            if len(new):
+            norm = norms[key]
+            missing = np.isnan(norm)
+            if missing.any():
+                new = np.unique(key[missing])
                 norms[new] = model.log_norms(new // CLASSES, new % CLASSES)
-            return (model.raw(one, two, ids) - norms[key]) / np.log(10)
+                norm = norms[key]
+            logs = np.concatenate([model.raw(one[k:k + 8192], two[k:k + 8192], ids[k:k + 8192]) for k in range(0, len(ids), 8192)])
+            logs = (logs - norm) / np.float32(np.log(10)) + np.where(is_hot, inside[at], 0.0)
+            total = lambda x: np.add.reduceat(x, starts)
+            return sizes, total(is_hot.astype(np.int64)), total(np.where(is_hot, base[at], 0.0)), total(logs.astype(np.float64)), tails
 
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for t in b.column(1):
-                ids, tail, size, hits, base_sum, inner = [], Counter(), 1, 0, 0.0, 0.0
-                for words in word_pieces(t.as_py()):
-                    num = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    is_hot = num >= 0
-                    at = num[is_hot]
-                    size, hits = size + len(words), hits + len(at)
-                    base_sum, inner = base_sum + base[at].sum(), inner + inside[at].sum()
-                    out = WORDS - 1 - num
-                    out[is_hot] = cls[at]
-                    ids.append(out)
-                    if not is_hot.all():
-                        tail.update([words[k] for k in np.flatnonzero(~is_hot)])
-                if store["end"] >= 0:
-                    hits, base_sum = hits + 1, base_sum + base[store["end"]]
-                ids = np.concatenate([*ids, np.array([end], np.int64)])
-                logs = sum(float(class_logs(ids[max(at - 2, 0):at + 100_000])[min(at, 2):].sum()) for at in range(0, len(ids), 100_000))
-                for col, x in zip(cols, (size, hits, base_sum, logs + inner, [{"w": w, "k": k} for w, k in tail.items()]), strict=True):
-                    col.append(x)
+            cols: list[list] = [[], [], [], [], []]
+            held, size = [], 0
+            for k, t in enumerate(b.column(1)):
+                held.append(t.as_py())
+                size += len(held[-1])
+                if size >= 1 << 19 or k == b.num_rows - 1:
+                    for col, x in zip(cols, group(held), strict=True):
+                        col.extend(x)
+                    held, size = [], 0
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                                              ["id", "n_tokens", "hits", "base", "logs", "tail"])
