@@ -287,12 +287,14 @@ def fit(texts: DataFrame, counts: Counts) -> Model:
         return np.concatenate([np.frombuffer(r["weights"]) / r["tokens"] for r in rows]).astype(np.float32)
 
     kind = "block int, tokens long, weights binary"
-    sample = texts.select("text").orderBy(F.xxhash64("text"), F.octet_length("text")).limit(WARM_UP).coalesce(1)
+    # ids first: every task offers WARM_UP numbers, not texts; rows that repeat an id are cut off at the end
+    chosen = texts.select(F.col("id").alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(WARM_UP)
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("_chosen"), "left_semi").select("text").limit(WARM_UP).coalesce(1)
     warm = mean(sample.mapInArrow(trainer(start, 0.1, WARM_EPOCHS, False), kind))
-    if warm is None:
-        return Model.of(start)
-    parts = texts.select("text").mapInArrow(trainer(warm, 0.03, 1, True), kind)
-    return Model.of(mean(parts.repartition(BLOCKS, "block").mapInArrow(add_up, kind)))
+    base = start if warm is None else warm
+    parts = texts.select("text").mapInArrow(trainer(base, 0.03, 1, True), kind)
+    full = mean(parts.repartition(BLOCKS, "block").mapInArrow(add_up, kind))
+    return Model.of(base if full is None else full)
 
 
 def score(docs: DataFrame, counts: Counts, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
