@@ -41,9 +41,9 @@ from postlens.llm.common import Memo, binary_texts, crc_mod, stored, word_pieces
 
 WORDS, RARE = 1792, 256
 CLASSES = WORDS + RARE
-DIM = 16
+DIM = 24
 NOISE = 64
-BATCH = 8192
+BATCH = 4096
 WARM_UP, WARM_EPOCHS = 3000, 3
 HOT = 300_000
 FLUSH = 400_000

@@ -57,6 +57,10 @@ def test_classifiers_on_held_out_labels(spark):
         assert np.mean([r.predicted == r[col] for r in got]) >= least
 
 
+def test_lm_ships_the_measured_settings():
+    assert (lbl_lm.DIM, lbl_lm.BATCH) == (24, 4096)  # the README's held-out loss and check figure are of these
+
+
 def slow_tokens(t):
     return (t or "").encode().lower().split() + [lbl_lm.END]
 
