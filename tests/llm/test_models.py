@@ -138,6 +138,26 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
 
 
+def test_ngrams_are_told_apart_beyond_2_20(spark):
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèàçñøåæœłşğ"))
+    rng = np.random.default_rng(5)
+    text = " ".join("".join(w) for w in letters[rng.integers(0, len(letters), (60_000, 9))])
+    grams = {n: Counter(w[k - n:k] for w in (f" {x} " for x in text.split()) for k in range(max(n, 2), len(w) + 1)) for n in (2, 3, 4)}
+    docs = spark.createDataFrame([(0, text, "xx")], "doc_id long, text string, lang string")
+    counts = langid.count_ngrams(docs, "lang", "doc_id", "text").cache()
+    for n, g in grams.items():  # as many n-grams, and as often, as by brute force
+        got = Counter(r["count"] for r in counts.where(F.col("n") == n).select("count").collect())
+        assert got == Counter(g.values())
+    four = langid.kneser_ney(counts).where("n = 4")
+    n1, n2 = (sum(c == k for c in grams[4].values()) for k in (1, 2))
+    d, total, kinds = n1 / (n1 + 2 * n2), Counter(), Counter()
+    for g, c in grams[4].items():
+        total[g[:3]] += c
+        kinds[g[:3]] += 1
+    want = [sum((c - d) / total[g[:3]] for g, c in grams[4].items()), sum(d * kinds[g[:3]] / total[g[:3]] for g in grams[4])]
+    assert np.allclose(list(four.agg(F.sum("share"), F.sum("gamma")).first()), want)
+
+
 def test_pieces_equal_the_library(spark, docs, none):
     import sentencepiece
     path = public_tokenizers.path("piece_bpe_32k.model")
