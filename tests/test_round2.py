@@ -99,3 +99,15 @@ def test_retrieval_takes_text_ids(spark):
     top = VEC.cluster_top_n(req, members, 3, block_size=8).orderBy("rank").collect()
     ext = VEC.cluster_extremes(req, members, block_size=8).first()
     assert [r.rank for r in top] == [1, 2, 3] and top[0].member_id == ext.most_id and top[0].sim >= top[1].sim >= top[2].sim
+
+
+def test_final_model_refits_the_best_grid_point(spark, monkeypatch):
+    from postlens.operators import model as M
+    from postlens.plans.q_models import q_final_model
+
+    found = {"n_estimators": 3, "max_depth": 2, "min_samples_split": 5, "min_samples_leaf": 2, "dev_f1": 0.5}
+    fit, used = M.final_fit, []
+    monkeypatch.setattr(M, "rf_grid_search", lambda *a, **k: ([found], found))
+    monkeypatch.setattr(M, "final_fit", lambda *a: used.append(a[4]) or fit(*a))
+    assert q_final_model(spark, SF001).count() == 5
+    assert used == [found]
