@@ -29,6 +29,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,38 @@ class Model:
     weights: dict = field(default_factory=dict)      # (labeler, vote) or kind -> weight
 
 
+def logistic(rows: list, post: list[float], steps: int) -> tuple[dict, float]:
+    """(weights, bias) of the logistic regression of ``post`` on votes and kinds, patterns weighted by their share of all spans.
+
+    Newton's method on a convex loss: the end depends on the shares, not on how many spans there are.
+    """
+    keys = [(x, y) for x in LABELERS for y in (1, -1)] + list(KINDS)
+    if not rows:
+        return dict.fromkeys(keys, 0.0), 0.0
+    on = [{(x, y) for x, y in zip(LABELERS, vote, strict=True)} | {kind} for kind, vote, _ in rows]
+    x = np.array([[float(k in o) for k in keys] + [1.0] for o in on])
+    share, p = np.array([n for _, _, n in rows], float), np.array(post)
+    share /= share.sum()
+    ridge = np.array([1e-3] * len(keys) + [1e-9])
+
+    def loss(w):
+        z = x @ w
+        return share @ (np.logaddexp(0, z) - p * z) + ridge @ (w * w) / 2
+
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        z = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (share * (z - p)) + ridge * w
+        move = np.linalg.solve((x.T * (share * z * (1 - z))) @ x + np.diag(ridge), grad)
+        gain, size = grad @ move, 1.0
+        if gain < 1e-16:
+            break
+        while size > 1e-9 and loss(w - size * move) > loss(w) - size * gain / 4:
+            size /= 2
+        w -= size * move
+    return dict(zip(keys, map(float, w[:-1]), strict=True)), float(w[-1])
+
+
 def fit(candidates: DataFrame, rounds: int = 25, steps: int = 400) -> Model:
     """EM over the counts of vote patterns, then logistic regression on its posteriors; both on the bounded table of patterns."""
     spans = candidates.select(F.explode("_found").alias("s"))
@@ -189,21 +222,7 @@ def fit(candidates: DataFrame, rounds: int = 25, steps: int = 400) -> Model:
                 no = sum((1 - p) * n for p, (_, vote, n) in zip(post, rows, strict=True) if vote[k] == y)
                 m.reliability[x][y, True] = (yes + 20 * prior[y, True]) / (personal + 20)
                 m.reliability[x][y, False] = (no + 20 * prior[y, False]) / (total - personal + 20)
-    keys = [(x, y) for x in LABELERS for y in (1, -1)] + list(KINDS)
-    weights, bias = dict.fromkeys(keys, 0.0), 0.0
-    active = [[(x, y) for x, y in zip(LABELERS, vote, strict=True) if y] + [kind] for kind, vote, _ in rows]
-    for _ in range(steps if rows else 0):
-        grad, at = dict.fromkeys(keys, 0.0), 0.0
-        for on, p, (_, _, n) in zip(active, post, rows, strict=True):
-            z = bias + sum(weights[k] for k in on)
-            e = (1 / (1 + math.exp(-max(min(z, 30), -30))) - p) * min(n, 1000)  # a pattern weighs its spans, up to a thousand
-            at += e
-            for k in on:
-                grad[k] += e
-        size = sum(min(n, 1000) for _, _, n in rows)
-        bias -= 2.0 * at / size
-        for k in keys:
-            weights[k] -= 2.0 * (grad[k] / size + 1e-3 * weights[k])
+    weights, bias = logistic(rows, post, steps)
     m.weights, m.bias = weights, bias
     return m
 

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from odd_rows import SF001, docs, labels, none  # noqa: F401
@@ -109,3 +110,21 @@ def test_method_adds_spans(spark):
     assert "email_masked" in row and "phone_local" in row and "name" in row
     good = model.reliability["edges"]
     assert good[1, True] > good[1, False]
+
+
+def test_span_classifier_depends_on_shares_not_on_size():
+    rng = np.random.default_rng(3)
+    rows = [(kind, tuple(int(v) for v in rng.integers(-1, 2, 5)), int(n)) for kind in pii.KINDS for n in rng.integers(1, 900, 20)]
+    post = [1 / (1 + np.exp(-float(sum(vote)))) for _, vote, _ in rows]
+    rows += [("name", (0, 0, 0, 0, 1), 900_000), ("name", (0, 0, 0, 0, -1), 9_000)]  # far beyond a thousand, and apart
+    post += [0.2, 0.9]
+    one, bias = pii.logistic(rows, post, 400)
+    many, bias_many = pii.logistic([(k, v, n * 1000) for k, v, n in rows], post, 400)
+    assert abs(bias - bias_many) < 1e-6 and all(abs(one[k] - many[k]) < 1e-6 for k in one)
+    z = lambda vote: bias + one["name"] + sum(one.get((x, y), 0.0) for x, y in zip(pii.LABELERS, vote, strict=True))
+    grad = {k: 1e-3 * w for k, w in one.items()}  # the gradient vanishes: it is the end, not a step on the way
+    for (kind, vote, n), p in zip(rows, post, strict=True):
+        e = 1 / (1 + np.exp(-(z(vote) - one["name"] + one[kind]))) - p
+        for k in [(x, y) for x, y in zip(pii.LABELERS, vote, strict=True) if y] + [kind]:
+            grad[k] += e * n / sum(n for _, _, n in rows)
+    assert max(abs(g) for g in grad.values()) < 1e-6
