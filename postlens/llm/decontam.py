@@ -137,7 +137,7 @@ def proximity_matches(index: Index, windows: DataFrame, slop: int = 8) -> DataFr
     pivots = index.postings.join(maybe_broadcast(ranked.where("rank = 1").select("term", "wid", "n")), "term").select(
         "row", "wid", "n", F.col("pos").alias("pivot"))
     asked = pivots.join(maybe_broadcast(ranked.select("wid", "term")), "wid")
-    longest = WINDOW + slop
+    longest = (windows.agg(F.max("n")).first()[0] or WINDOW) + slop  # no partner is more than a cell away
     cell = F.floor(F.col("pivot") / longest)
     asked = asked.select("*", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     near = index.postings.withColumn("cell", F.floor(F.col("pos") / longest))

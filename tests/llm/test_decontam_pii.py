@@ -112,6 +112,18 @@ def test_method_adds_spans(spark):
     assert good[1, True] > good[1, False]
 
 
+def test_proximity_of_long_windows_looks_as_far_as_it_reaches(spark):
+    many = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join(many)), (2, " ".join(many[1:])), (3, " ".join([many[0], *["x"] * 31, *many[1:]]))]  # w0 is the rarest
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    windows, _ = D.test_windows(spark.createDataFrame([("t", " ".join(many))], "item_id string, text string"), size=30)
+    index = D.build_index(docs, windows.select(F.explode("words").alias("word")))
+    # w29 is 29 words from w0 in the first text and 60 in the third; reach 30, then 60
+    for slop, want in ((0, [1]), (29, [1]), (31, [1, 3])):
+        got = D.proximity_matches(index, windows, slop=slop).join(index.documents, "row").select("id", "pos").collect()
+        assert sorted(tuple(r) for r in got) == [(k, 0) for k in want]
+
+
 def test_span_classifier_depends_on_shares_not_on_size():
     rng = np.random.default_rng(3)
     rows = [(kind, tuple(int(v) for v in rng.integers(-1, 2, 5)), int(n)) for kind in pii.KINDS for n in rng.integers(1, 900, 20)]
