@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import decontam, embed_dedup, langid, lbl_lm, pii, quality, simhash, sp_wfst, token_records, toxicity
+from postlens.llm import (decontam, divergence, embed_dedup, langid, lbl_lm, pii, quality, quality_rules, simhash, sp_wfst,
+                          token_records, toxicity, whitening)
 from postlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,42 @@ def op10(spark, d):
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"),
                         pii.listed(F.col("spans")).alias("spans"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+keep AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) JOIN keep USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM keep GROUP BY lang),
+m AS (SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n FROM g JOIN keep k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS gn, sum(n) OVER (PARTITION BY lang) AS ln,
+  sum(n) OVER (PARTITION BY lang, term) AS tn FROM m),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 2)) // (gn + 2 * v) AS HUGEINT) AS p,
+  CAST(1 + (1000000000 * (tn + 2)) // (ln + 2 * v) AS HUGEINT) AS q FROM t JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark, d):
+    return divergence.report(table(spark, d, "documents"), min_docs=10, top=10)
+
+
+@query("op12_embedding_whitening")
+def op12(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@query("op13_quality_rules")
+def op13(spark, d):
+    r, _ = quality_rules.judged(table(spark, d, "documents"), keep=["doc_id"])
+    return r.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
