@@ -2,83 +2,152 @@
 
 A plain ``Window.partitionBy(user).orderBy(...)`` puts every row of a user into one
 task, so one user holding a third of the data would sort a third of the data in a
-single task. ``running_sum`` instead cuts the (keys, order) sequence into value
-ranges ("buckets") whose boundaries come from a small seeded sample; a hot key
-spans many buckets. Each (bucket, key) group computes local running sums, and a
-table of per-(bucket, key) totals (one row per bucket a key touches) supplies the
-offsets. Buckets are a deterministic function of the row's values, so every
-branch of the plan and every recomputation after an executor loss agree.
+single task. ``running_sums`` is a prefix scan over partitions instead: rows are dealt
+out once by ranges of (keys, order) and sorted there, each partition adds up its own
+rows in one pass, and only its first and its last key can go on beyond it. Those two
+sums of every partition, the carry, are one small table; it is scanned by key and
+broadcast (two rows a partition at most, whatever the data holds) and adds to each
+partition's first key what came before. A hot key is spread over as many partitions
+as its rows fill, nothing reaches the driver, and no job runs before the action.
+
+The rows' branch and the carry's branch read one and the same exchange (Spark reuses
+it), so the source is read once. Should a session switch that reuse off, the two could
+be cut at different bounds: every partition is named by its first row, and a name that
+the carry lacks fails the job instead of giving a wrong sum.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BKT, LOCAL, TOT, OFF, KEYTOT = "_pl_bkt", "_pl_local", "_pl_tot", "_pl_off", "_pl_keytot"
-SAMPLE_PER_BUCKET = 20
 
+def _partitions(df: DataFrame, n: int | None) -> int:
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
 
+def _changes(columns) -> np.ndarray:
+    """Whether each row but the first differs from the one before in any of the Arrow ``columns`` (null equals null)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = len(columns[0]) if columns else 0
+    out = np.zeros(max(n - 1, 0), bool)
+    for c in columns if n > 1 else []:
+        if pa.types.is_nested(c.type):
+            v = c.to_pylist()
+            out |= np.array([x != y for x, y in zip(v, v[1:])], bool)
+            continue
+        a, b = c[1:], c[:-1]
+        out |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        out |= pc.not_equal(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    return out
 
 
-def range_bucket(df: DataFrame, cols: Sequence[str], n: int, seed: int = 17) -> Column:
-    """Deterministic bucket id in [0, n) of the row's position in ``cols`` order.
+def _name(batch, columns: Sequence[int]) -> tuple[list, int, int]:
+    """The values of a partition's first row in ``columns``, and 128 bits that name the partition."""
+    first = [batch.column(c)[0].as_py() for c in columns]
+    digest = hashlib.md5(repr(first).encode()).digest()
+    return first, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
 
-    Boundaries are quantiles of the SAMPLE_PER_BUCKET * n rows with the smallest seeded
-    hash: one pass, a top-n in every task, the same rows however the data is
-    partitioned. They are the only data brought to the driver, bounded by n; the bucket
-    is found with a balanced CASE tree (log2 n comparisons per row, JVM-side).
-    """
-    n = max(1, n)
-    if n == 1:
-        return F.lit(0)
-    proj = df.select(*cols)
-    rows = proj.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(SAMPLE_PER_BUCKET * n).collect()
-    if not rows:
-        return F.lit(0)
-    key = [tuple((v is not None, v) for v in r) for r in rows]
-    key.sort()
-    bounds = []
-    for i in range(1, n):
-        if key:
-            b = key[min(len(key) - 1, i * len(key) // n)]
-            if not bounds or b != bounds[-1]:
-                bounds.append(b)
-    if not bounds:
-        return F.lit(0)
-    types = {f.name: f.dataType for f in proj.schema.fields}
-
-    def ge(bound) -> Column:
-        # row >= bound in lexicographic order, nulls first (as in the sort above)
-        cond = F.lit(True)
-        for c, (present, v) in reversed(list(zip(cols, bound))):
-            col = F.col(c)
-            lit = F.lit(v).cast(types[c]) if present else None
-            if not present:
-                gt, eq = col.isNotNull(), col.isNull()
-            else:
-                gt, eq = F.coalesce(col > lit, F.lit(False)), F.coalesce(col == lit, F.lit(False))
-            cond = gt | (eq & cond)
-        return cond
-
-    def tree(lo: int, hi: int) -> Column:
-        # bucket index = number of bounds <= row, searched in bounds[lo:hi]
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(ge(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(bounds))
+
+class _Scan:
+    """Running sums over the sorted batches of one partition; a key's number grows from 0 in order of appearance."""
+
+    def __init__(self, keys: Sequence[int], values: Sequence[int]):
+        self.keys, self.values = keys, values
+        self.number, self.last, self.carry = -1, None, [0] * len(values)
+
+    def add(self, batch) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(number of each row's key, running sum of each value)."""
+        import pandas as pd
+
+        cols = [batch.column(k) for k in self.keys]
+        now = [c[0].as_py() for c in cols]
+        goes_on = self.number >= 0 and now == self.last
+        start = self.number if goes_on else self.number + 1
+        changed = _changes(cols)
+        at = start + np.concatenate([[0], np.cumsum(changed)]).astype(np.int64) if cols else np.zeros(batch.num_rows, np.int64)
+        sums = []
+        for k, v in enumerate(self.values):
+            s = pd.Series(batch.column(v).to_numpy(zero_copy_only=False)).groupby(at).cumsum().to_numpy(copy=True)
+            if goes_on:
+                s[at == start] += self.carry[k]
+            self.carry[k] = s[-1]
+            sums.append(s)
+        self.number, self.last = int(at[-1]), [c[-1].as_py() for c in cols]
+        return at, sums
+
+
+def _rows_with_sums(keys, named, values, totals: bool, schema):
+    """What ``mapInArrow`` runs for the rows: local running sums, the partition's name, whose key may go on."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        scan, name, held, ends = _Scan(keys, values), None, [], {}
+        names = [f.name for f in schema.fields]
+
+        def out(batch, at, sums, last):
+            extra = [pa.array(np.full(len(at), name[1])), pa.array(np.full(len(at), name[2])), pa.array(at == 0), *map(pa.array, sums)]
+            if totals:
+                extra += [pa.array(np.full(len(at), False) if last is None else at == last)]
+                extra += [pa.array(np.array([ends[x][k] for x in range(at[0], at[-1] + 1)])[at - at[0]]) for k in range(len(values))]
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = name or _name(batch, named)
+            at, sums = scan.add(batch)
+            if not totals:
+                yield out(batch, at, sums, None)
+                continue
+            for k in np.append(np.flatnonzero(np.diff(at)), len(at) - 1):
+                ends[int(at[k])] = [s[k] for s in sums]
+            # a batch waits until its last key has ended: only then are that key's totals known
+            if held and at[-1] > held[-1][1][-1]:
+                for h in held:
+                    yield out(*h, None)
+                held, ends = [], {x: v for x, v in ends.items() if x >= at[0]}
+            held.append((batch, at, sums))
+        for h in held:
+            yield out(*h, scan.number)
+
+    return run
+
+
+def _carries(keys, named, values, schema):
+    """What ``mapInArrow`` runs for the carry: the sums of a partition's first and last key."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        scan, name, first, first_key = _Scan(keys, values), None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if name is None:
+                name, first_key = _name(batch, named), [batch.column(k)[0].as_py() for k in keys]
+            at, sums = scan.add(batch)
+            if at[0] == 0:
+                k = int(np.searchsorted(at, 0, "right")) - 1
+                first = [s[k] for s in sums]
+        if name is None:
+            return
+        rows = [(first_key, True, first)] + ([(scan.last, False, scan.carry)] if scan.number else [])
+        columns = list(zip(*[(name[1], name[2], is_first, *name[0], *key, *[x.item() for x in sums]) for key, is_first, sums in rows]))
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fields = to_arrow_schema(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields)
+
+    return run
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict,
@@ -86,43 +155,47 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     """Inclusive running sums of several values (``{out: column}``) over ``order`` within ``keys``.
 
     ``order`` must be column names forming a total order within a key (add a
-    tie-break column). With ``key_totals`` every ``out`` also gets ``out + '_total'``,
-    the key's grand total.
+    tie-break column). Integers are added up as 64-bit integers, other numbers as
+    doubles; null values count as 0; rows with a null key are a key of their own. With
+    ``key_totals`` every ``out`` also gets ``out + '_total'``, the key's grand total (a
+    task then holds the rows of one key that its partition has).
     """
     keys, order = list(keys), list(order)
-    n = _partitions(df, num_partitions)
-    vals = {f"_pl_v{i}": (out, F.col(v) if isinstance(v, str) else v) for i, (out, v) in enumerate(values.items())}
-    base = df
-    for tmp, (_, col) in vals.items():
-        base = base.withColumn(tmp, col)
-    base = base.withColumn(BKT, range_bucket(base, [*keys, *order], n))
-    w_local = (Window.partitionBy(BKT, *keys).orderBy(*_cols(order))
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = base
-    for tmp in vals:
-        local = local.withColumn(tmp + LOCAL, F.coalesce(F.sum(tmp).over(w_local), F.lit(0)))
-    totals = base.groupBy(BKT, *keys).agg(*[F.coalesce(F.sum(tmp), F.lit(0)).alias(tmp + TOT) for tmp in vals])
-    w_off = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*keys)
-    sel = [BKT, *keys]
-    for tmp in vals:
-        sel.append(F.coalesce(F.sum(tmp + TOT).over(w_off), F.lit(0)).alias(tmp + OFF))
-        if key_totals:
-            sel.append(F.sum(tmp + TOT).over(w_all).alias(tmp + KEYTOT))
-    # null-safe: rows with a null key are a key of their own
-    offsets = totals.select(*sel)
-    offsets = offsets.select(*[F.col(c).alias("_pl_r_" + c) if c in (BKT, *keys) else F.col(c) for c in offsets.columns])
-    same = F.col(BKT) == F.col("_pl_r_" + BKT)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("_pl_r_" + k))
-    res = local.join(offsets, same, "inner")
-    drop = [BKT, "_pl_r_" + BKT, *["_pl_r_" + k for k in keys]]
-    for tmp, (out, _) in vals.items():
-        res = res.withColumn(out, F.col(tmp + LOCAL) + F.col(tmp + OFF))
+    col = lambda c: F.col(f"`{c}`")
+    base = df.select("*", *[F.col(v).alias(f"_pl_v{i}") if isinstance(v, str) else v.alias(f"_pl_v{i}") for i, v in enumerate(values.values())])
+    vals = [f"_pl_v{i}" for i in range(len(values))]
+    kinds = [T.LongType() if isinstance(base.schema[v].dataType, T.IntegralType) else T.DoubleType() for v in vals]
+    base = base.withColumns({v: F.coalesce(F.col(v).cast(k), F.lit(0).cast(k)) for v, k in zip(vals, kinds, strict=True)})
+    by = list(dict.fromkeys([*keys, *order]))
+    dealt = base.repartitionByRange(_partitions(df, num_partitions), *map(col, by)).sortWithinPartitions(*map(col, by))
+    at = lambda names: [base.columns.index(c) for c in names]
+    flag, name = [T.StructField(f"_pl_{x}", T.BooleanType()) for x in ("in", "out")], [T.StructField(x, T.LongType()) for x in ("_pl_a", "_pl_b")]
+    sums = [T.StructField(f"_pl_s{i}", k) for i, k in enumerate(kinds)]
+    ends = [T.StructField(f"_pl_t{i}", k) for i, k in enumerate(kinds)]
+    rows_schema = T.StructType([*base.schema.fields, *name, flag[0], *sums, *([flag[1], *ends] if key_totals else [])])
+    rows = dealt.mapInArrow(_rows_with_sums(at(keys), at(by), at(vals), key_totals, rows_schema), rows_schema)
+
+    own = lambda names, p: [T.StructField(f"_pl_{p}{i}", base.schema[c].dataType) for i, c in enumerate(names)]
+    carry_schema = T.StructType([*name, flag[0], *own(by, "f"), *own(keys, "k"), *sums])
+    carry = dealt.mapInArrow(_carries(at(keys), at(by), at(vals), carry_schema), carry_schema)
+    same = Window.partitionBy(*[f"_pl_k{i}" for i in range(len(keys))])
+    before = same.orderBy(*[f"_pl_f{i}" for i in range(len(by))]).rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.withColumns({f"_pl_o{i}": F.coalesce(F.sum(f"_pl_s{i}").over(before), F.lit(0)) for i in range(len(vals))}
+                              | {f"_pl_all{i}": F.sum(f"_pl_s{i}").over(same) for i in range(len(vals))})
+    pick = lambda c, first: F.max(F.when(F.col("_pl_in") if first else ~F.col("_pl_in"), F.col(c)))
+    carry = carry.groupBy("_pl_a", "_pl_b").agg(
+        *[pick(f"_pl_o{i}", True).alias(f"_pl_o{i}") for i in range(len(vals))],
+        *[pick(f"_pl_all{i}", True).alias(f"_pl_first{i}") for i in range(len(vals))],
+        *[pick(f"_pl_all{i}", False).alias(f"_pl_last{i}") for i in range(len(vals))])
+    found = rows.join(F.broadcast(carry), ["_pl_a", "_pl_b"], "left")
+    lost = F.raise_error(F.lit("running sums: rows and carry were dealt out differently; spark.sql.exchange.reuse must be on"))
+    new = {}
+    for i, out in enumerate(values):
+        offset = F.when(F.col("_pl_o0").isNull(), lost.cast(kinds[i])).when(F.col("_pl_in"), F.col(f"_pl_o{i}")).otherwise(F.lit(0))
+        new[out] = F.col(f"_pl_s{i}") + offset
         if key_totals:
-            res = res.withColumn(out + "_total", F.col(tmp + KEYTOT))
-        drop += [tmp, tmp + LOCAL, tmp + OFF, tmp + KEYTOT]
-    return res.drop(*drop)
+            new[out + "_total"] = F.when(F.col("_pl_in"), F.col(f"_pl_first{i}")).when(F.col("_pl_out"), F.col(f"_pl_last{i}")).otherwise(F.col(f"_pl_t{i}"))
+    return found.select(*[col(c) for c in df.columns if c not in new], *[c.alias(n) for n, c in new.items()])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
