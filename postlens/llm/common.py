@@ -66,27 +66,50 @@ def word_pieces(text: bytes, size: int = 1 << 20):
 
 
 class Memo(dict):
-    """``make(key)`` kept for keys used lately: two generations of at most ``cap`` entries each."""
+    """``make(key)`` kept for keys used lately: two generations of at most ``cap`` entries and ``size`` bytes of keys each."""
 
-    def __init__(self, make, cap: int = 400_000):
+    def __init__(self, make, cap: int = 100_000, size: int = 8 << 20):
         super().__init__()
-        self.make, self.cap, self.old = make, cap, {}
+        self.make, self.cap, self.size, self.old, self.held = make, cap, size, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.cap:
-            self.old = dict(self)
+        if len(self) >= self.cap or self.held >= self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += len(key) if isinstance(key, (bytes, str)) else 8
         return value
 
 
 def worker_store(key: str) -> dict:
-    """A dict that lives as long as this Python worker process, so that tasks share what they cache."""
+    """What the tasks of one operator share in this Python worker process; asking for another key drops it."""
     mod = sys.modules.setdefault("_postlens_worker_store", types.ModuleType("_postlens_worker_store"))
-    return mod.__dict__.setdefault(key, {})
+    if getattr(mod, "live", (None,))[0] != key:
+        mod.live = (key, {})
+    return mod.live[1]
+
+
+def lean(run, key: str = ""):
+    """``run`` for mapInArrow; a worker drops what other operators cached before it and gives unused memory back after it."""
+
+    def task(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        worker_store(key)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+            if trim:
+                trim(0)
+
+    return task
 
 
 def binary_texts(docs: DataFrame, id_col: str, text_col: str, extra: tuple | list = ()) -> DataFrame:

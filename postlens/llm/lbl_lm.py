@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Memo, binary_texts, crc_mod, stored, word_pieces, worker_store
+from postlens.llm.common import Memo, binary_texts, crc_mod, lean, stored, word_pieces, worker_store
 
 WORDS, RARE = 1792, 256
 CLASSES = WORDS + RARE
@@ -45,8 +45,9 @@ DIM = 24
 NOISE = 64
 BATCH = 4096
 WARM_UP, WARM_EPOCHS = 3000, 3
-HOT = 300_000
-FLUSH = 400_000
+HOT = 200_000
+FLUSH = 200_000
+KEPT = 50_000  # words whose class a worker keeps at hand
 BLOCKS = 32
 END = b"\n"  # no word holds white space
 
@@ -82,7 +83,7 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if counts:
             yield rows(counts)
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -214,7 +215,7 @@ class ClassMap:
     """Classes of the tokens of texts; the rare ones' checksums are kept while in use."""
 
     def __init__(self, rank: dict):
-        self.known = Memo(lambda w: rank[w] if w in rank else rare_class(w), 200_000)
+        self.known = Memo(lambda w: rank[w] if w in rank else rare_class(w), KEPT)
         self.end = rank.get(END, 0)
 
     def classes(self, text: bytes) -> np.ndarray:
@@ -266,7 +267,7 @@ def fit(texts: DataFrame, counts: Counts) -> Model:
                 [pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()),
                  pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "tokens", "weights"])
 
-        return run
+        return lean(run)
 
     def add_up(batches):
         import pyarrow as pa
@@ -305,24 +306,25 @@ def score(docs: DataFrame, counts: Counts, model: Model, id_col: str = "doc_id",
     id_type = src.schema["id"].dataType.simpleString()
     per_base = float(np.log10(n + v + 1)) if n else 0.0
     store_key = f"lbl-{zlib.crc32(model.flat().tobytes()):08x}"
+    # number of a word: a class of its own or a hot rare word, in the order of ``hot``; the end, which holds the line break, apart
+    names = [w for w in hot if w != END]
+    if END in hot:
+        names.insert(list(hot).index(END), b"")
+    joined, some = b"\n".join(names), bool(names)
+    cls = np.array([rank[w] if w in rank else rare_class(w) for w in hot] or [0], np.int32)
+    base = np.log10(np.array(list(hot.values()) or [0], np.float64) + 1)
+    inside = np.array([0.0 if w in rank else np.log10((c - d) / classes[rare_class(w)]) for w, c in hot.items()] or [0.0])
 
     def run(batches):
         import pyarrow as pa
 
         store = worker_store(store_key)
         if not store:
-            # number of a word: a class of its own, or a hot rare word, or (negative) the rare class of an unknown-count word
-            number, cls, base, inside = {}, [], [], []
-            for w, c in hot.items():
-                k = rank.get(w)
-                number[w] = len(cls)
-                cls.append(rare_class(w) if k is None else k)
-                base.append(np.log10(c + 1))
-                inside.append(np.log10((c - d) / classes[cls[-1]]) if k is None else 0.0)
-            store.update(known=Memo(lambda w: number[w] if w in number else WORDS - 1 - rare_class(w), 200_000), end=number.get(END, -1),
-                         cls=np.array(cls or [0], np.int64), base=np.array(base or [0.0]), inside=np.array(inside or [0.0]),
+            number = {w or END: k for k, w in enumerate(joined.split(b"\n"))} if some else {}
+            # a word of unknown count is its rare class, negative
+            store.update(known=Memo(lambda w: number[w] if w in number else WORDS - 1 - rare_class(w), KEPT), end=number.get(END, -1),
                          norms=np.full(CLASSES * CLASSES, np.nan, np.float32))
-        known, cls, base, inside, norms = (store[k] for k in ("known", "cls", "base", "inside", "norms"))
+        known, norms = store["known"], store["norms"]
         end = rank.get(END, 0)
 
         def group(texts):
@@ -375,7 +377,7 @@ def score(docs: DataFrame, counts: Counts, model: Model, id_col: str = "doc_id",
                                              ["id", "n_tokens", "hits", "base", "logs", "tail"])
 
     kind = f"id {id_type}, n_tokens long, hits long, base double, logs double, tail array<struct<w: binary, k: bigint>>"
-    part = src.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
+    part = src.mapInArrow(lean(run, store_key), kind).withColumn("row", F.monotonically_increasing_id())
     part = stored(part, "scored-texts")
     tail = part.select("row", F.explode("tail").alias("t")).select("row", F.col("t.w").alias("w"), F.col("t.k").alias("k"))
     joined = tail.join(counts.table, F.col("w") == F.col("word"), "left")

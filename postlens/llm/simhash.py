@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import binary_texts, connected_components, stored, word_pieces
+from postlens.llm.common import binary_texts, connected_components, lean, stored, word_pieces
 
 MAX_BUCKET = 64
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], [k for k, _ in kinds])
 
-    return src.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds))
+    return src.mapInArrow(lean(run), ", ".join(f"`{k}` {t}" for k, t in kinds))
 
 
 def block_keys(fp: Column, blocks: int, max_bits: int) -> Column:
@@ -101,8 +101,8 @@ def near_links(nodes: DataFrame, max_bits: int = 2, blocks: int = 4, max_bucket:
     Small buckets give every close pair. Large buckets (``max_bits`` up to 2) give a star per one-bit
     neighbour, whose closure is the same; no group is ever paired off.
     """
-    if max_bits > 2:
-        max_bucket = 1 << 60  # the neighbour construction below holds for up to 2 bits
+    if max_bits > 2:  # the neighbour construction below holds for up to 2 bits
+        raise ValueError("max_bits up to 2: a large bucket cannot be linked without pairing it off beyond that")
     keys = nodes.select("fp", F.explode(block_keys(F.col("fp"), blocks, max_bits)).alias("b")).select("fp", "b.*")
     sizes = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # sizes holds only shared buckets; most keys meet none of them

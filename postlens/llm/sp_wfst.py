@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Memo, binary_texts, worker_store
+from postlens.llm.common import Memo, binary_texts, lean, worker_store
 
 BLANK = "▁"
 LONG = 48  # chunks over so many characters are not kept
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, *part.columns[2:]], [k for k, _ in kinds])
 
-    return src.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds))
+    return src.mapInArrow(lean(run, "sentencepiece"), ", ".join(f"`{k}` {t}" for k, t in kinds))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

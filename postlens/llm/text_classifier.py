@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm import pu
-from postlens.llm.common import Memo, binary_texts, word_pieces, worker_store
+from postlens.llm.common import Memo, binary_texts, lean, word_pieces, worker_store
 
 FEATURES = 1 << 20
 STYLE = 4096  # the first numbers are those of style
@@ -103,7 +103,7 @@ def _feature_rows(sample: DataFrame) -> tuple[pu.Rows, pu.Rows]:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary())],
                                              ["positive", "unlabelled", "ids"])
 
-    got = sample.mapInArrow(run, "positive boolean, unlabelled boolean, ids binary").toArrow()
+    got = sample.mapInArrow(lean(run), "positive boolean, unlabelled boolean, ids binary").toArrow()
     ids = [np.frombuffer(x, "<i4") for x in got.column("ids").to_pylist()]
     pos, unl = got.column("positive").to_pylist(), got.column("unlabelled").to_pylist()
     return (pu.Rows.of([x for x, y in zip(ids, pos, strict=True) if y]),
@@ -138,12 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, id_col: s
     return Model(new, pu.fit(p, u, size, prior, **optimiser), prior)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple | list = ()) -> DataFrame:
-    """(id, score, *extra) of every whole text; null and empty texts are scored as having no words."""
-    src = binary_texts(docs, id_col, text_col, extra)
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple | list = (),
+          keep_text: str | None = None) -> DataFrame:
+    """(id, score, *extra) of every whole text; null and empty texts are scored as having no words.
+
+    ``keep_text`` names a column for the text itself, which then travels once.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
     used, weights, bias = model.table()
     kinds = [(f.name, f.dataType.simpleString()) for f in src.schema if f.name != "text"]
-    kinds.insert(1, ("score", "double"))
+    kinds[1:1] = [("score", "double")] + ([(keep_text, "string")] if keep_text else [])
     key = f"text-classifier-{zlib.crc32(used.tobytes() + weights.tobytes()):08x}"
 
     def run(batches):
@@ -154,11 +158,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             out = np.empty(b.num_rows)
             for k, t in enumerate(b.column(1)):
-                text = t.as_py()
+                text = t.as_buffer().to_pybytes() if t.is_valid else b""
                 counts, n, same = text_words(text)
                 ids = {i for i in style_features(text, counts, n, same) if i in weight}
                 ids.update(*filter(None, map(cache.__getitem__, counts)))
                 out[k] = bias + sum(map(weight.__getitem__, sorted(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pu.sigmoid(out)), *b.columns[2:]], [k for k, _ in kinds])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pu.sigmoid(out)), *b.columns[1 if keep_text else 2:]], [k for k, _ in kinds])
 
-    return src.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds))
+    return src.mapInArrow(lean(run, key), ", ".join(f"`{k}` {t}" for k, t in kinds))

@@ -29,7 +29,7 @@ def scored(docs: DataFrame, model: T.Model, id_col: str = "doc_id") -> DataFrame
 
 def without_toxic(docs: DataFrame, model: T.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those predicted toxic; all columns stay as they are, scored in one pass, no join."""
-    names = docs.columns
-    carried = docs.withColumns({f"_postlens_{k}": F.col(c) for k, c in enumerate(names)})
-    s = T.score(carried, model, id_col, text_col, extra=[f"_postlens_{k}" for k in range(len(names))])
-    return s.where(F.col("score") < THRESHOLD).select(*[F.col(f"_postlens_{k}").alias(c) for k, c in enumerate(names)])
+    own = {c: f"_postlens_{k}" for k, c in enumerate(docs.columns)}
+    extra = [F.col(f"`{c}`").alias(n) for c, n in own.items() if c != text_col]
+    s = T.score(docs, model, id_col, text_col, extra, keep_text=own[text_col])
+    return s.where(F.col("score") < THRESHOLD).select(*[F.col(n).alias(c) for c, n in own.items()])
