@@ -1,16 +1,19 @@
 """Embeddings: encode, cluster, cosine similarity and cluster-based example retrieval.
 
 Vectors are ``array<double>`` columns; MLlib vectors appear only at the ML edge.
-Retrieval never forms persona x member rows: requests and members are packed
-into bounded blocks per cluster, and each (request block, member block) pair is
-scored with one numpy matrix product inside a task, so a cluster holding a
-third of all members is spread over many block pairs and tasks.
+Retrieval never forms persona x member rows: members are packed into bounded blocks of
+near neighbours with a ball around each, a request meets only the blocks whose ball
+can hold a winner, and the requests that visit a block together are scored with one
+numpy matrix product inside a task, so a cluster holding a third of all members is
+spread over many block pairs and tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +21,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.session import stored
+
 MAX_CENTROID_VALUES = 4_000_000  # k * dim allowed as a plan literal (about 32 MB of doubles)
 
 
@@ -128,78 +133,225 @@ def diverse_clusters(sims: DataFrame, id_col: str = "persona_id") -> DataFrame:
                        F.element_at(asc, 1)["cluster"].alias("bottom_cluster"))
 
 
-def member_blocks(members: DataFrame, block_size: int = 256, id_col: str = "vec_id", vec_col: str = "embedding",
-                  label_col: str = "cluster") -> tuple[DataFrame, DataFrame]:
-    """(blocks, counts): members packed into hash blocks of about ``block_size`` per cluster.
+def _vectors(rows, field: str) -> np.ndarray:
+    """The equal-length vectors ``field`` of an Arrow array of structs, as a matrix."""
+    flat = rows.field(field).flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(rows), -1)
 
-    counts has one row per cluster; AQE broadcasts it where it is small.
-    """
-    counts = members.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_nblk", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(block_size)))).cast("long"))
-    m = members.join(counts, label_col).withColumn(
-        "_blk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nblk")))
-    blocks = m.groupBy(label_col, "_blk").agg(F.collect_list(F.struct(
-        F.col(id_col).alias("id"), unit(as_double_array(vec_col)).alias("u"))).alias("_members"))
-    return blocks, counts
+
+def _farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` rows of x, each the one least similar to all before it."""
+    chosen, nearest = [0], x @ x[0]
+    while len(chosen) < k and nearest.min() < 1 - 1e-9:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+    return x[chosen]
 
 
-def _block_top(top: int, lowest: bool):
-    """mapInPandas body: one row = (request block, member block) of one cluster.
+def member_index(members: DataFrame, block_size: int = 256, member_id: str = "vec_id", vec_col: str = "embedding",
+                 label_col: str = "cluster") -> DataFrame:
+    """(cluster, block, n, centre, radius, members): members in blocks of near neighbours, each inside a ball of angles.
 
-    Scores the block pair with one matrix product and emits, per request, the ``top`` most
-    similar members of the block and, with ``lowest``, the least similar one (ties: lowest
-    member id). Ids are carried as they are.
+    A cluster of n members gets about min(n / block_size, 4 sqrt(n)) pivots, each the farthest from those before it in a
+    sample of four times as many members (by id hash; fewer where the samples of all clusters
+    would pass ``MAX_CENTROID_VALUES``); every member goes to the cell of its nearest pivot. A cell over
+    twice the block size is split by id hash, so a block is bounded whatever one cluster or one vector holds. ``radius`` is the
+    largest angle between the block's unit mean and a member. Members without a direction (null, zero) are
+    left out. Written to the shared folder.
     """
+    has = F.exists(F.col("u"), lambda x: x.isNotNull() & (F.abs(x) > 0))
+    src = members.select(F.col(label_col).cast("long").alias("cluster"), F.col(member_id).alias("id"),
+                         unit(as_double_array(vec_col)).alias("u")).where(F.coalesce(has, F.lit(False)) & F.col("cluster").isNotNull())
+    counts = src.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("u")).alias("dim"),
+                                        F.min(F.xxhash64("id")).alias("least"))
+    sizes = counts.collect()  # one row a cluster
+    if len(sizes) > MAX_CENTROID_VALUES // 4:
+        raise ValueError(f"{len(sizes)} clusters: too many to name their pivots in one table")
+    wanted = {r["cluster"]: min(r["n"] / block_size, 4 * math.sqrt(r["n"])) for r in sizes}
+    dim = max((r["dim"] for r in sizes), default=1)
+    share = min(1.0, MAX_CENTROID_VALUES / max(4 * sum(wanted.values()) * dim, 1))
+    several = [(r["cluster"], 4 * max(2, round(wanted[r["cluster"]] * share)) / r["n"], r["least"]) for r in sizes if r["n"] > block_size]
+    pivots: dict = {}
+    if several:
+        plan = members.sparkSession.createDataFrame(several, "cluster long, share double, least long")
+        h = F.xxhash64("id")
+        chosen = src.join(F.broadcast(plan), "cluster").where(
+            (F.pmod(h, F.lit(1 << 32)) < F.col("share") * float(1 << 32)) | (h == F.col("least"))).select("cluster", "id", "u")
+        found = chosen.orderBy("cluster", "id").toPandas()
+        pivots = {int(c): _farthest_first(np.stack(g["u"].to_numpy()), -(-len(g) // 4)) for c, g in found.groupby("cluster")}
+
+    def assign(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            cluster, u = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            cell = np.zeros(b.num_rows, np.int64)
+            for c in np.intersect1d(np.unique(cluster), list(pivots)):
+                at = np.flatnonzero(cluster == c)
+                x = u.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                for k in range(0, len(at), 1024):
+                    cell[at[k:k + 1024]] = np.argmax(x[k:k + 1024] @ pivots[c].T, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["cluster", "id", "u", "cell"])
+
+    kind = src.schema["id"].dataType.simpleString()
+    held = stored(src.mapInArrow(assign, f"cluster long, id {kind}, u array<double>, cell long"), "cells")
+    cells = held.groupBy("cluster", "cell").agg(F.count(F.lit(1)).alias("cn"))
+    part = F.pmod(F.xxhash64(F.lit(1), "id"), F.greatest(F.ceil(F.col("cn") / (2.0 * block_size)), F.lit(1)))
+    packed = held.join(cells, ["cluster", "cell"]).groupBy("cluster", F.xxhash64("cell", part).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("id", "u"))).alias("members"))
+
+    def ball(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            centres, radii, ns = [], [], []
+            for m in b.column(2):
+                x = _vectors(m.values, "u")
+                c = x.mean(axis=0)
+                size = np.linalg.norm(c)
+                c = c / size if size > 1e-9 else x[0]
+                centres.append(c.tolist())
+                radii.append(float(np.arccos(np.clip((x @ c).min(), -1, 1))))
+                ns.append(len(x))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(centres, pa.list_(pa.float64())),
+                                              pa.array(radii), b.column(2)], ["cluster", "block", "n", "centre", "radius", "members"])
+
+    return stored(packed.mapInArrow(ball, "cluster long, block long, n long, centre array<double>, radius double, "
+                                          f"members array<struct<id: {kind}, u: array<double>>>"), "member-index")
+
+
+SLACK = 1e-7  # angles near 0 are known to about the square root of rounding
+
+
+def _routes(top: int, lowest: bool, first: bool):
+    """mapInArrow body over (cluster, rblk, reqs, balls): which blocks each request must visit.
+
+    A block's members lie within ``radius`` of its centre, so their similarity lies between cos(angle + radius) and
+    cos(angle - radius). First round: the blocks of the highest upper bounds until they hold ``top`` members, and with
+    ``lowest`` the one of the lowest lower bound. Second round: every other block whose bound can
+    still reach what the first round found.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out: list[tuple] = []
+            for cluster, rblk, reqs, balls in zip(*b.columns, strict=True):
+                reqs, balls = reqs.values, balls.values
+                names, n = balls.field("block").to_numpy(zero_copy_only=False), balls.field("n").to_numpy(zero_copy_only=False)
+                u = _vectors(reqs, "u")
+                angle = np.arccos(np.clip(u @ _vectors(balls, "centre").T, -1, 1))
+                radius = balls.field("radius").to_numpy(zero_copy_only=False)
+                upper = np.cos(np.maximum(angle - radius, 0))
+                lower = np.cos(np.minimum(angle + radius, np.pi))
+                if first:
+                    order = np.argsort(-upper, axis=1, kind="stable")
+                    need = np.cumsum(n[order], axis=1) - n[order] < top
+                    go = np.zeros(upper.shape, bool)
+                    np.put_along_axis(go, order, need, axis=1)
+                    if lowest:
+                        go[np.arange(len(u)), lower.argmin(axis=1)] = True
+                else:
+                    go = upper >= reqs.field("hi").to_numpy(zero_copy_only=False)[:, None] - SLACK
+                    if lowest:
+                        go |= lower <= reqs.field("lo").to_numpy(zero_copy_only=False)[:, None] + SLACK
+                    place = {x: k for k, x in enumerate(names.tolist())}
+                    for i, seen in enumerate(reqs.field("seen").to_pylist()):
+                        go[i, [place[x] for x in seen if x in place]] = False
+                i, j = np.nonzero(go)
+                if len(i):
+                    at = pa.array(i)
+                    out.append((pa.array(np.full(len(i), cluster.as_py())), pa.array(np.full(len(i), rblk.as_py())), pa.array(names[j]),
+                                reqs.field("pid").take(at), reqs.field("u").take(at)))
+            for parts in out:
+                yield pa.RecordBatch.from_arrays(list(parts), ["cluster", "rblk", "block", "pid", "u"])
+
+    return run
+
+
+def _visits(top: int, lowest: bool):
+    """mapInArrow body over (cluster, block, reqs, members): one matrix product; per request the ``top`` most similar
+    members of the block and, with ``lowest``, the least similar one (members come sorted by id: ties go to the lowest)."""
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for cluster, reqs, mems in zip(pdf["cluster"], pdf["_reqs"], pdf["_members"]):
-                if len(reqs) == 0 or len(mems) == 0:
-                    continue
-                mems = sorted(mems, key=lambda m: m["id"])
-                sims = np.array([r["pu"] for r in reqs], dtype=float) @ np.array([m["u"] for m in mems], dtype=float).T
+        import pyarrow as pa
+
+        for b in batches:
+            for cluster, block, reqs, members in zip(*b.columns, strict=True):
+                reqs, members = reqs.values, members.values
+                sims = _vectors(reqs, "u") @ _vectors(members, "u").T
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :top]
-                rows = [(reqs[i]["pid"], cluster, mems[j]["id"], float(sims[i, j]), True) for i in range(len(reqs)) for j in best[i]]
+                i, j = np.repeat(np.arange(len(sims)), best.shape[1]), best.ravel()
+                high = np.ones(len(i), bool)
                 if lowest:
-                    rows += [(reqs[i]["pid"], cluster, mems[j]["id"], float(sims[i, j]), False)
-                             for i, j in enumerate(sims.argmin(axis=1))]
-                yield pd.DataFrame(rows, columns=["pid", "cluster", "member", "sim", "high"])
+                    i, j = np.concatenate([i, np.arange(len(sims))]), np.concatenate([j, sims.argmin(axis=1)])
+                    high = np.concatenate([high, np.zeros(len(sims), bool)])
+                yield pa.RecordBatch.from_arrays(
+                    [reqs.field("pid").take(pa.array(i)), pa.array(np.full(len(i), cluster.as_py())), pa.array(np.full(len(i), block.as_py())),
+                     members.field("id").take(pa.array(j)), pa.array(sims[i, j]), pa.array(high)],
+                    ["pid", "cluster", "block", "member", "sim", "high"])
 
     return run
 
 
-def _scored(requests: DataFrame, members: DataFrame, id_col: str, block_size: int, member_id: str, vec_col: str,
-            label_col: str, top: int, lowest: bool) -> DataFrame:
-    """(pid, cluster, member, sim, high): what each pair of blocks of a cluster has to offer."""
-    blocks, counts = member_blocks(members, block_size, member_id, vec_col, label_col)
-    rcounts = requests.groupBy(label_col).agg(F.count(F.lit(1)).alias("_rn")).withColumn(
-        "_nrblk", F.greatest(F.lit(1), F.ceil(F.col("_rn") / F.lit(float(block_size)))).cast("long"))
-    req = requests.join(rcounts, label_col).withColumn("_rblk", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nrblk")))
-    rblocks = req.groupBy(label_col, "_rblk").agg(F.collect_list(F.struct(
-        F.col(id_col).alias("pid"), unit(F.col("_p")).alias("pu"))).alias("_reqs"))
-    # every request block meets every member block of its cluster (block pairs, not row pairs)
-    pairs = (rblocks.join(counts.select(label_col, "_nblk"), label_col)
-             .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nblk") - 1)))
-             .join(blocks, [label_col, "_blk"]).select(F.col(label_col).cast("long").alias("cluster"), "_reqs", "_members"))
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    return pairs.mapInPandas(_block_top(top, lowest), f"pid {kind(requests, id_col)}, cluster long, "
-                                                      f"member {kind(members, member_id)}, sim double, high boolean")
+def _search(requests: DataFrame, index: DataFrame, id_col: str, block_size: int, label_col: str, top: int, lowest: bool) -> DataFrame:
+    """(pid, cluster, block, member, sim, high): what the visited blocks have to offer; every possible winner is among them."""
+    has = F.coalesce(F.exists(F.col("u"), lambda x: x.isNotNull() & (F.abs(x) > 0)), F.lit(False))
+    req = requests.select(F.col(id_col).alias("pid"), F.col(label_col).cast("long").alias("cluster"), unit(as_double_array("_p")).alias("u")).where(
+        has).dropDuplicates(["pid", "cluster"])
+    counts = req.groupBy("cluster").agg(F.count(F.lit(1)).alias("rn"))
+    req = req.join(counts, "cluster").withColumn("rblk", F.pmod(F.xxhash64("pid"), F.greatest(
+        F.ceil(F.col("rn") / F.lit(float(block_size))), F.lit(1))).cast("long")).drop("rn")
+    # a cluster's balls, some thousand a row; members stay behind
+    per = index.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / 4096.0).cast("long").alias("chunks"))
+    balls = index.select("cluster", "block", "n", "centre", "radius").join(per, "cluster").groupBy("cluster", F.pmod("block", F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct("block", "n", "centre", "radius")).alias("balls"))
+    pid, member = req.schema["pid"].dataType.simpleString(), index.schema["members"].dataType.elementType["id"].dataType.simpleString()
+
+    def visited(r: DataFrame, first: bool) -> DataFrame:
+        extra = [] if first else ["hi", "lo", "seen"]
+        packed = r.groupBy("cluster", "rblk").agg(F.collect_list(F.struct("pid", "u", *extra)).alias("reqs"))
+        go = packed.join(balls, "cluster").select("cluster", "rblk", "reqs", "balls").mapInArrow(
+            _routes(top, lowest, first), f"cluster long, rblk long, block long, pid {pid}, u array<double>")
+        # those of one request block that visit one member block meet it together
+        pairs = go.groupBy("cluster", "block", "rblk").agg(F.collect_list(F.struct("pid", "u")).alias("reqs"))
+        pairs = pairs.join(index.select("cluster", "block", "members"), ["cluster", "block"]).select("cluster", "block", "reqs", "members")
+        return pairs.mapInArrow(_visits(top, lowest), f"pid {pid}, cluster long, block long, member {member}, sim double, high boolean")
+
+    one = stored(visited(req, True), "visited")
+    high = F.sort_array(F.collect_list(F.when(F.col("high"), F.col("sim"))), asc=False)
+    state = one.groupBy("pid", "cluster").agg(high.alias("sims"), F.min("sim").alias("lo"), F.collect_set("block").alias("seen")).select(
+        "pid", "cluster", F.when(F.size("sims") >= top, F.element_at("sims", F.least(F.size("sims"), F.lit(top)))).otherwise(-2.0).alias("hi"), "lo", "seen")
+    # requests whose cluster is one block are done
+    blocks = index.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    two = visited(req.join(blocks, "cluster", "left_semi").join(state, ["pid", "cluster"]), False)
+    return one.unionByName(two)
+
+
+def search_work(requests: DataFrame, members: DataFrame, id_col: str = "persona_id", block_size: int = 256, member_id: str = "vec_id",
+                vec_col: str = "embedding", label_col: str = "cluster", top: int = 1, lowest: bool = True) -> DataFrame:
+    """(cluster, requests, blocks, visited, share): how many (request, block) pairs the bounds leave of all of a cluster."""
+    index = member_index(members, block_size, member_id, vec_col, label_col)
+    found = _search(requests, index, id_col, block_size, label_col, top, lowest)
+    done = found.select("pid", "cluster", "block").distinct().groupBy("cluster").agg(
+        F.count_distinct("pid").alias("requests"), F.count(F.lit(1)).alias("visited"))
+    blocks = index.groupBy("cluster").agg(F.count(F.lit(1)).alias("blocks"))
+    return done.join(blocks, "cluster").select(F.col("cluster").alias(label_col), "requests", "blocks", "visited",
+                                               (F.col("visited") / (F.col("requests") * F.col("blocks"))).alias("share"))
 
 
 def cluster_extremes(requests: DataFrame, members: DataFrame, id_col: str = "persona_id", block_size: int = 256,
                      member_id: str = "vec_id", vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
     """Most and least similar member of the requested cluster for each (persona, cluster) request.
 
-    ``requests``: (id_col, cluster, _p) with ``_p`` the persona vector. Requests and members are
-    packed into hash blocks of about ``block_size`` per cluster; each pair of blocks of a cluster is
-    one row, scored with a single matrix product, then reduced per request with a partial
-    aggregate, so a hot cluster is spread over many block pairs. The work is requests times cluster
-    size: let k grow with the members so that clusters stay bounded. Ids of any type. Ties: lowest id.
+    ``requests``: (id_col, cluster, _p) with ``_p`` the persona vector. Exact: a request visits the block
+    of its cluster with the best bound, then every block that can still win (``member_index``, ``_routes``);
+    the requests of one request block that visit a member block are scored with one matrix product, so a
+    hot cluster is spread over many block pairs. On clustered data a request meets about sqrt(n) centres and
+    a few blocks; where vectors point evenly in all directions no bound holds and it meets all blocks. Requests
+    and members without a direction (null, zero) give no rows. Ids of any type. Ties: lowest id.
     """
-    scored = _scored(requests, members, id_col, block_size, member_id, vec_col, label_col, 1, True)
+    scored = _search(requests, member_index(members, block_size, member_id, vec_col, label_col), id_col, block_size, label_col, 1, True)
     agg = scored.groupBy("pid", "cluster").agg(
         F.min(F.when(F.col("high"), F.struct((-F.col("sim")).alias("neg"), "member"))).alias("b"),
         F.min(F.when(~F.col("high"), F.struct("sim", "member"))).alias("w"))
@@ -212,9 +364,9 @@ def cluster_top_n(requests: DataFrame, members: DataFrame, n: int = 3, id_col: s
                   member_id: str = "vec_id", vec_col: str = "embedding", label_col: str = "cluster") -> DataFrame:
     """The n most similar members of the requested cluster: (id, cluster, rank, member_id, sim); ties: lowest id.
 
-    Each pair of blocks offers n members, so a request ranks n rows per block of its cluster.
+    Exact, by the same search: each visited block offers n members, so a request ranks n rows per visited block.
     """
-    scored = _scored(requests, members, id_col, block_size, member_id, vec_col, label_col, n, False)
+    scored = _search(requests, member_index(members, block_size, member_id, vec_col, label_col), id_col, block_size, label_col, n, False)
     packed = scored.groupBy("pid", "cluster").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("sim")).alias("neg"), "member"))), 1, n).alias("_t"))
     return packed.select(F.col("pid").alias(id_col), F.col("cluster").alias(label_col), F.posexplode("_t").alias("_k", "_e")).select(
@@ -264,8 +416,6 @@ def mmd2(df: DataFrame, group: Column, dim: int, vec_col: str = "embedding", gam
     """
     import json
 
-    import numpy as np
-
     gamma = 1.0 / dim if gamma is None else gamma
     rng = np.random.default_rng(seed)
     rows = [{"w": w.tolist(), "b": float(b)} for w, b in zip(rng.normal(0, np.sqrt(2 * gamma), (features, dim)),

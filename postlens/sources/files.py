@@ -7,21 +7,18 @@ folder; nothing is written to a machine-local temporary directory.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.session import ensure_checkpoint_dir
+from postlens.session import scratch
 
 SEP_CANDIDATES = [",", "    ", ";"]  # comma, four spaces, semicolon; comma is the fallback
 NULL_SENTINEL = "\u0000__postlens_null__"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/io-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, f"io-{name}")
 
 
 def all_string_schema(cols) -> T.StructType:
