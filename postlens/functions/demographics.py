@@ -3,16 +3,19 @@
 The pattern texts, phrase lists and lexicons below are fixed values: they must be
 identical to the published extraction rules for the results to agree. They are
 stated once, in their natural order. Everything else (how they are evaluated) is
-expressed with Spark column functions, so extraction and normalisation stay in
-the JVM and inside whole-stage codegen.
+expressed with Spark column functions in the JVM; one automaton over the patterns'
+required strings (``triggers``) says first which of the 43 can match a text at all.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlens.functions.text import py_strip
+from postlens.functions.triggers import Triggers
 
 TRAITS = ("age", "gender", "education")
 
@@ -187,11 +190,17 @@ def normalize_trait(trait_col, phrase_col, compat: bool = True) -> Column:
             .otherwise(normalize_education(phrase_col)))
 
 
-def extract_matches(text_col) -> Column:
-    """Array of struct(pattern_ord, matches) for all 43 patterns, in pattern order."""
-    t = _col(text_col)
-    return F.array(*[
-        F.struct(F.lit(i).alias("pattern_ord"),
-                 F.regexp_extract_all(t, F.lit(spark_pattern(p, ic)), F.lit(0)).alias("matches"))
+@cache
+def triggers() -> Triggers:
+    return Triggers([p for _, _, p, _ in PATTERNS])
+
+
+def extract_matches(text_col, mask_col) -> Column:
+    """Array of struct(pattern_ord, matches) in pattern order, for the patterns that the mask of ``triggers`` allows."""
+    t, mask = _col(text_col), _col(mask_col)
+    return F.array_compact(F.array(*[
+        F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0,
+               F.struct(F.lit(i).alias("pattern_ord"),
+                        F.regexp_extract_all(t, F.lit(spark_pattern(p, ic)), F.lit(0)).alias("matches")))
         for i, (_, _, p, ic) in enumerate(PATTERNS)
-    ])
+    ]))

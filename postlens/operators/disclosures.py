@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.functions.demographics import PATTERNS, TRAITS, extract_matches, normalize_trait
+from postlens.functions.demographics import PATTERNS, TRAITS, extract_matches, normalize_trait, triggers
 from postlens.functions.text import truncate_text
 from postlens.operators.ordered import first_by_order
 from postlens.operators.segments import user_sliding_chunks
@@ -27,11 +27,13 @@ def extract_disclosures(df: DataFrame, text_col: str = "text", keep: Sequence[st
     """One row per match of any of the 43 patterns, in extraction order.
 
     Adds pattern_ord (trait -> explicit/implicit -> pattern order) and match_idx
-    (position among the pattern's non-overlapping matches).
+    (position among the pattern's non-overlapping matches). Each text is read once by an
+    automaton of what the patterns require; only patterns that can match are run.
     """
     traits = F.array(*[F.lit(t) for t, _, _, _ in PATTERNS])
     dtypes = F.array(*[F.lit(d) for _, d, _, _ in PATTERNS])
-    m = df.select(*keep, F.explode(extract_matches(text_col)).alias("_m"))
+    masked = df.select(*keep, F.col(text_col).alias("_text"), triggers().column(F.col(text_col)).alias("_mask")).where("_mask <> 0")
+    m = masked.select(*keep, F.explode(extract_matches("_text", "_mask")).alias("_m"))
     m = m.where(F.size("_m.matches") > 0)
     m = m.select(*keep, F.col("_m.pattern_ord").alias("pattern_ord"),
                  F.posexplode("_m.matches").alias("match_idx", "MatchedPhrase"))

@@ -80,19 +80,14 @@ def centroids_by_label(df: DataFrame, vec_col: str = "embedding", label_col: str
 
 def cluster_vectors(df: DataFrame, vec_col: str = "embedding", k: int = 200, seed: int = 42, starts: int = 3,
                     max_iter: int = 20):
-    """k-means, best of ``starts`` seeds by training cost; returns (model, assigned frame)."""
+    """Full-batch k-means, best of ``starts`` seeds by training cost; returns (model, assigned frame).
+
+    Every step reads all rows; ``clustering.mini_batch_kmeans`` is the published way and reads far fewer.
+    """
     v = df.drop("cluster").withColumn("_pl_features", array_to_vector(as_double_array(vec_col)))
-    v = v.cache()
-    best, best_cost = None, None
-    for i in range(starts):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_pl_features",
-                   predictionCol="cluster").fit(v)
-        cost = m.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = m, cost
-    out = best.transform(v).drop("_pl_features")
-    v.unpersist()
-    return best, out
+    models = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_pl_features", predictionCol="cluster").fit(v) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best, best.transform(v).drop("_pl_features")
 
 
 def centroid_literal(centroids: DataFrame, label_col: str = "cluster") -> Column:

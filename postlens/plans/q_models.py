@@ -8,6 +8,7 @@ from postlens.functions.text import user_from_tid
 from postlens.operators import model as M
 from postlens.operators import prep
 from postlens.operators import vectors as VEC
+from postlens.operators.clustering import mini_batch_kmeans
 from postlens.operators.ordered import md5_rank_key_sql
 from postlens.plans import views as V
 from postlens.plans.oracle_views import define, with_views
@@ -156,8 +157,9 @@ def q_embed_text(spark, d):
 
 @query("cluster_embeddings")
 def q_cluster_embeddings(spark, d):
-    _, out = VEC.cluster_vectors(emb(spark, d), k=200, seed=SEED, starts=3)
-    return out.select("vec_id", "cluster")
+    """Mini-batch k-means as published: k = 200, batches of 1,000, best of 3 starts."""
+    e = emb(spark, d)
+    return mini_batch_kmeans(e, "vec_id", "embedding", k=200, seed=SEED, starts=3, batch=1000).assign(e).select("vec_id", "cluster")
 
 
 # -------------------------------------------------------------- classifiers ---

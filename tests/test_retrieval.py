@@ -59,9 +59,9 @@ def test_search_without_structure_is_still_exact(spark):
 
 def test_work_grows_slower_than_a_cluster(spark):
     share = []
-    for per in (40, 320):
+    for groups in (12, 96):
         rng = np.random.default_rng(4)
-        x = clustered(rng, 12, per, 8, 0.05)
+        x = clustered(rng, groups, 40, 8, 0.02)
         p = x[:: len(x) // 60]
         work = V.search_work(frame(spark, p, np.zeros(len(p)), ("persona_id", "_p", "cluster")), frame(spark, x, np.zeros(len(x))),
                              block_size=20, lowest=False).first()
