@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import struct
 import sys
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -71,13 +72,18 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path[5:])
 
 
+def _letters(text: str) -> bool:
+    """Whether a chunk is letters only, also once it is normalised (NFC, lower case): some letters turn into letter and mark."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).lower()).isalpha())
+
+
 class Encoder:
     """Token ids of whole texts, as bytes, through the tokenizer library.
 
     The tokenizer drops white space and never joins characters across it, so a
     text's ids are those of its white-space chunks in order; each distinct chunk is
-    encoded once and kept while in use. A chunk of letters and a final full stop or
-    comma is two pre-tokens, encoded apart. Lower-cased Latin-1 letters alone are one
+    encoded once and kept while in use. A chunk of letters (normalised, too) and a final
+    full stop or comma is two pre-tokens, encoded apart. Lower-cased Latin-1 letters alone are one
     pre-token that the normaliser leaves as it is: the library's model takes it
     directly, as the byte-level alphabet spells it. All else goes through ``encode``.
     """
@@ -106,7 +112,7 @@ class Encoder:
 
     def ids(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if len(text) > 1 and text[-1] in ".," and text[:-1].isalpha():
+        if text[-1] in ".," and _letters(text[:-1]):
             return self.known[chunk[:-1]] + self.known[chunk[-1:]]
         low = text.lower()
         if self.direct and self.letters(low):

@@ -55,3 +55,20 @@ def test_damage_is_noticed(tmp_path):
             list(R.frames(io.BytesIO(bytes(bad))))
     with pytest.raises(ValueError):
         list(R.frames(io.BytesIO(good[:-3])))
+
+
+def test_ids_of_all_letters_and_random_strings_equal_the_library():
+    import random
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    enc, lib = R.Encoder(spec, 2), Tokenizer.from_str(spec)
+    texts = [x for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LMN" for x in (f"a{chr(c)},", f"{chr(c)}.")]
+    pool = [chr(c) for c in [*range(33, 0x250), 0x130, 0x131, 0x307, 0x301, 0x308, 0x958, 0x9DC, 0xFB1D, 0x3A3, 0x1E9E, 0x212A, 0xAC00, 0x4E00]]
+    rng = random.Random(1)
+    texts += ["".join(rng.choices(pool, k=rng.randint(1, 6))) + rng.choice(["", ".", ","]) for _ in range(50_000)]
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    assert all(enc.encode(t.encode()) == b"".join(i.to_bytes(2, "little") for i in w.ids) for t, w in zip(texts, want, strict=True))
