@@ -12,8 +12,12 @@ are finished in double precision. A tile pair returns the number of links of eac
 vector and a spanning forest, never the links themselves, so a dense group costs
 rows in proportion to its members.
 
+A tile holds up to ``TILE`` vectors (``TILE_BYTES`` at most), so where no box is apart
+from another and all T tiles meet, each travels T times, not once for every 2,048 vectors.
+
 Vectors that are null, zero, empty or hold null or non-finite components link with
-nothing and come back alone. Vectors of different lengths are never compared.
+nothing and come back alone. Components of any finite size are right: a vector is divided by
+its largest one before its length is taken. An empty table gives no rows. Vectors of different lengths are never compared.
 Repeated rows are links of one another. Rows without an id keep their row; a group's
 id is the smallest there is. Other columns (labels) are not read.
 """
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import connected_components, stored
 
-TILE = 2048
+TILE = 8192             # vectors of a tile, and at most so many bytes of them: a tile of T travels to T / TILE pairs
+TILE_BYTES = 16 << 20
 LEAD = 16
 BOX_AXES = 8
 PCA_SAMPLE = 20_000
@@ -37,10 +42,16 @@ def principal_axes(vectors: DataFrame, dim: int, sample: int = PCA_SAMPLE) -> np
     """(dim, dim) orthonormal axes, leading first, of at most ``sample`` unit vectors (those of smallest hash)."""
     rows = vectors.select("v").orderBy(F.xxhash64("v")).limit(sample).toArrow().column("v").combine_chunks()
     x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit_rows(x)
     return np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; each is divided by its largest entry first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def pack_tiles(nodes: DataFrame, axes: np.ndarray, radius: float, tiles: int, size: int = TILE) -> DataFrame:
     """(tile, n, keys, copies, y, low, high): turned unit vectors in tiles of at most ``size``, in cell order."""
 
@@ -49,7 +60,7 @@ def pack_tiles(nodes: DataFrame, axes: np.ndarray, radius: float, tiles: int, si
 
         for b in batches:
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
+            y = unit_rows(x) @ axes
             cells = np.floor(y[:, :3] / radius).astype(np.int64)
             cells = np.pad(cells, ((0, 0), (0, 3 - cells.shape[1])))
             yield pa.RecordBatch.from_arrays(
@@ -113,13 +124,13 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, lead: int = LEAD
     lead = min(lead, dim)
     suffix = [np.sqrt((z[:, ::-1] ** 2).cumsum(axis=1)[:, ::-1]) for z in (x, y)]
     rest = lambda k, z, at: suffix[z][at, k] if k < dim else np.zeros(len(at))
-    x32, y32 = x[:, :lead].astype(np.float32), y[:, :lead].astype(np.float32)
-    tx = (suffix[0][:, lead] if lead < dim else np.zeros(len(x))).astype(np.float32)
-    ty = (suffix[1][:, lead] if lead < dim else np.zeros(len(y))).astype(np.float32)
-    for r in range(0, len(x), 256):
-        bound = x32[r:r + 256] @ y32.T
-        bound += np.outer(tx[r:r + 256], ty)
-        i, j = np.nonzero(bound >= threshold - SLACK)
+    # the product of the suffix norms is one more coordinate of the leading product
+    tail = lambda z, at: z[:, lead] if lead < dim else np.zeros(at)
+    x32 = np.column_stack([x[:, :lead], tail(suffix[0], len(x))]).astype(np.float32)
+    y32 = np.ascontiguousarray(np.column_stack([y[:, :lead], tail(suffix[1], len(y))]).astype(np.float32).T)
+    step = max(1, min(256, (1 << 21) // max(len(y), 1)))  # a slice that stays in cache
+    for r in range(0, len(x), step):
+        i, j = np.nonzero((x32[r:r + step] @ y32) >= np.float32(threshold - SLACK))
         for at in range(0, len(i), 50_000):
             ii, jj = i[at:at + 50_000] + r, j[at:at + 50_000]
             got = np.einsum("ij,ij->i", x[ii, :lead], y[jj, :lead])
@@ -205,14 +216,15 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     for dim, n in sorted(nodes.groupBy(F.size("v")).count().toPandas().itertuples(index=False, name=None)):
         own = nodes.where(F.size("v") == int(dim))
         axes = principal_axes(own, int(dim))
-        tiles = stored(pack_tiles(own, axes, radius, max(1, -(-int(n) // tile)), tile), "tiles")
+        size = max(1, min(tile, TILE_BYTES // (8 * int(dim))))
+        tiles = stored(pack_tiles(own, axes, radius, max(1, -(-int(n) // size)), size), "tiles")
         names = ("tile", "keys", "copies", "y")
         a = tiles.select(*[F.col(c).alias("a" + c) for c in names]).withColumnRenamed("atile", "a")
         b = tiles.select(*[F.col(c).alias("b" + c) for c in names]).withColumnRenamed("btile", "b")
         pairs = stored(tile_pairs(tiles, radius), "tile-pairs")
         count = max(pairs.count(), 1)
-        # pairs are dealt out by a key of their own: work per task is a few tile pairs, whatever tile is frequent
-        both = pairs.join(a, "a").join(b, "b").repartition(min(count, 4096), "a", "b")
+        # pairs are dealt out by a key of their own: work per task is a pair of tiles or a few, whatever tile is frequent
+        both = pairs.join(a, "a").join(b, "b").repartition(count, "a", "b")
         one = tile_links(both, threshold, int(dim))
         links = one if links is None else links.unionByName(one)
     if links is None:

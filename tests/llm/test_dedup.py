@@ -101,3 +101,10 @@ def test_embeddings_against_all_pairs(spark):
         ((ids[i], int(links[i]), low[root[i]], ids[i] == low[root[i]]) for i in range(len(rows))), key=key)
     assert E.near_duplicates(df.where("false")).count() == 0
     assert E.near_duplicates(df.where("vec_id = 900")).collect()[0][1:] == (0, 900, True)
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(i, [s * v for v in (3.0, 4.0, 0.5)]) for i, s in enumerate((1.0, 1e-200, 1e200, 5e-324, 1e307))] + [(10, [1.0, 0.0, 0.0]), (11, [1e300, 1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()}
+    assert got == {**dict.fromkeys(range(5), (4, 0)), 10: (1, 10), 11: (1, 10)}
