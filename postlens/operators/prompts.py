@@ -149,6 +149,7 @@ SAMPLER = {  # setting -> max_tokens, temperature, top_p, top_k, repeat_penalty,
     "MAFS": (3000, 0.95, 0.95, 40, 1.1, 0.0, 0.0), "MAZS": (270, 0.95, 0.95, 40, 1.1, 0.0, 0.0),
     "MIFS": (2048, 0.9, 0.95, 40, 1.05, 0.0, 0.0), "MIZS": (270, 0.95, 0.95, 40, 1.1, 0.0, 0.0),
 }
+SAMPLER_CONTROL = {"MAFS": (2000, 0.95, 0.95, 40, 1.1, 0.0, 0.0)}  # control settings that differ from the positive ones
 SAMPLER_NAMES = ("max_tokens", "temperature", "top_p", "top_k", "repeat_penalty", "presence_penalty", "frequency_penalty")
 # ---------------------------------------------------------------------------
 
@@ -246,20 +247,44 @@ def diversity_text(setting: str) -> str:
     return "\n" + AZS_DIVERSITY + IFS_TAIL if setting == "IFS" else "\n\n" + AZS_DIVERSITY
 
 
+def prompt_parts(setting: str, index_col: str = "prompt_index", examples: Column | None = None, persona_text_col: str = "persona_text",
+                 control: bool = False) -> tuple[Column, Column]:
+    """(persona line, full prompt) of one setting; every k-th prompt (1-based index) gets the diversity text."""
+    every_k = {s[0]: s[2] for s in SETTINGS}[setting]
+    diverse = F.when(F.pmod(F.col(index_col), F.lit(every_k)) == 0, diversity_text(setting)).otherwise("")
+    line = persona_line(PERSONA_STYLE[setting], not control, persona_text_col)
+    given = {"persona": line, "sub": F.col("subreddit"), "diversity": diverse, "examples": F.lit("") if examples is None else examples}
+    parts = [given[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(persona|sub|diversity|examples)\}",
+                                                                         prompt_template(setting, control))) if x]
+    return line, F.concat(*parts)
+
+
 def build_prompts(df: DataFrame, setting: str, index_col: str = "prompt_index", examples_col: str | None = None,
                   persona_text_col: str = "persona_text", control: bool = False) -> DataFrame:
-    """Full prompt text per row for one setting; every k-th prompt (1-based index) gets the diversity text.
+    """Full prompt text per row for one setting.
 
     ``examples_col`` holds the row's examples block (``examples_block`` or ``few_shot_texts``).
     """
-    every_k = {s[0]: s[2] for s in SETTINGS}[setting]
-    diverse = F.when(F.pmod(F.col(index_col), F.lit(every_k)) == 0, diversity_text(setting)).otherwise("")
-    given = {"persona": F.col("persona_line"), "sub": F.col("subreddit"), "diversity": diverse,
-             "examples": F.col(examples_col) if examples_col else F.lit("")}
-    parts = [given[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(persona|sub|diversity|examples)\}",
-                                                                         prompt_template(setting, control))) if x]
-    line = persona_line(PERSONA_STYLE[setting], not control, persona_text_col)
-    return df.withColumn("persona_line", line).withColumn("Prompt", F.concat(*parts))
+    line, prompt = prompt_parts(setting, index_col, F.col(examples_col) if examples_col else None, persona_text_col, control)
+    return df.withColumn("persona_line", line).withColumn("Prompt", prompt)
+
+
+def build_variants(df: DataFrame, variants: Sequence[tuple[str, bool]], examples: dict | None = None, index_col: str = "prompt_index",
+                   persona_text_col: str = "persona_text") -> DataFrame:
+    """One row per row of ``df`` and (setting, control) variant: setting, control, model, sampler settings, persona_line, Prompt.
+
+    ``examples`` maps variants to their examples block. Profiles are read once and multiplied by one
+    ``explode``, not by a branch of the plan for every variant.
+    """
+    spec = {s[0]: s for s in SETTINGS}
+    made = []
+    for setting, control in variants:
+        line, prompt = prompt_parts(setting, index_col, (examples or {}).get((setting, control)), persona_text_col, control)
+        sampler = SAMPLER_CONTROL.get(setting, SAMPLER[setting]) if control else SAMPLER[setting]
+        made.append(F.struct(F.lit(setting).alias("setting"), F.lit(control).alias("control"), F.lit(spec[setting][1]).alias("model"),
+                             *[F.lit(v).alias(n) for v, n in zip(sampler, SAMPLER_NAMES, strict=True)],
+                             line.alias("persona_line"), prompt.alias("Prompt")))
+    return df.withColumn("_v", F.explode(F.array(*made))).select("*", "_v.*").drop("_v")
 
 
 def examples_block(setting: str, control: bool, first: Column, second: Column | None = None) -> Column:
@@ -320,22 +345,39 @@ def first_valid_attempt(attempts: DataFrame, setting: str, prompt_col: str = "pr
                         F.coalesce(F.col("first.text"), F.lit(NO_COMMENT)).alias("Generated Text"))
 
 
-def generation_records(prompts: DataFrame, results: DataFrame, setting: str, id_cols: Sequence[str],
-                       key: str = "prompt_id") -> DataFrame:
-    """Result rows: ids, profile columns, persona, prompt, generated text, sampler settings, model base name.
-
-    Control records carry the condition as the positive ones do where it is in the profile (published so).
+def first_valid_attempts(attempts: DataFrame, settings: Sequence[str], prompt_col: str = "prompt_id", attempt_col: str = "attempt",
+                         text_col: str = "text") -> DataFrame:
+    """``first_valid_attempt`` for several settings in one pass and one shuffle: (prompt, setting, accepted_attempt, Generated Text)."""
+    spec = {s[0]: s for s in SETTINGS}
+    kinds = sorted({spec[s][5] for s in settings})
+    cleaned = attempts.select(prompt_col, attempt_col, *[strip_quotes(text_col, k).alias(f"_c{k}") for k in kinds])
+    cleaned = cleaned.select("*", *[F.lower(f"_c{k}").alias(f"_l{k}") for k in kinds])
+    firsts = []
+    for s in settings:
+        _, _, _, tries, words_at_least, kind, openers = spec[s]
+        ok = F.coalesce(screen(F.col(f"_c{kind}"), words_at_least, openers == "short", low=F.col(f"_l{kind}")), F.lit(False))
+        one = F.struct(F.col(attempt_col).alias("attempt"), F.col(f"_c{kind}").alias("text"))
+        firsts.append(F.min(F.when(ok & (F.col(attempt_col) <= tries), one)).alias(f"_f{s}"))
+    got = cleaned.groupBy(prompt_col).agg(*firsts)
+    got = got.select(prompt_col, F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), F.col(f"_f{s}").alias("first")) for s in settings])).alias("_x"))
+    return got.select(prompt_col, F.col("_x.setting").alias("setting"), F.col("_x.first.attempt").alias("accepted_attempt"),
+                      F.coalesce(F.col("_x.first.text"), F.lit(NO_COMMENT)).alias("Generated Text"))
+
+
+def generation_records(prompts: DataFrame, results: DataFrame, id_cols: Sequence[str], key: str = "prompt_id") -> DataFrame:
+    """Result rows of ``build_variants`` rows and ``first_valid_attempts``: ids, profile columns, persona, prompt, generated
+    text, sampler settings, model base name, setting, control.
+
+    Control records carry the condition as the positive ones do (it is in the profile; published so).
     """
-    spec = {s[0]: s for s in SETTINGS}[setting]
-    j = prompts.join(results, key, "left")
+    j = prompts.join(results, [key, "setting"], "left")
     return j.select(*id_cols, F.col("age").alias("Age"), F.col("gender").alias("Gender"),
                     F.col("education").alias("Education"), F.col("occupation").alias("Occupation"),
                     F.array_join("interests", ", ").alias("Interests"), F.col("subreddit").alias("Subreddit"),
                     F.col("nationality").alias("Nationality"), F.col("marital_status").alias("Marital Status"),
                     F.col("condition").alias("Condition"), F.col("persona_line").alias("Persona"), "Prompt",
                     F.coalesce(F.col("Generated Text"), F.lit(NO_COMMENT)).alias("Generated Text"),
-                    *[F.lit(v).alias(n) for v, n in zip(SAMPLER[setting], SAMPLER_NAMES, strict=True)],
-                    F.lit(spec[1]).alias("model"), F.lit(setting).alias("setting"))
+                    *SAMPLER_NAMES, "model", "setting", "control")
 
 
 def generation_error_rate(df: DataFrame, text_col: str = "text", group_cols: Sequence[str] = ()) -> DataFrame:

@@ -48,6 +48,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                text || ' ' || ({sql_list(DISCLOSURE_PHRASES)})[CAST((conv_id * 7 + turn) % {len(DISCLOSURE_PHRASES)} AS INTEGER) + 1] AS text,
                language, conv_id, turn
         FROM v_posts"""),
+    "v_sent": ([], """
+        SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS TID,
+               l_suppkey AS sid, l_returnflag AS label, 'corpus' AS source, 'none' AS model,
+               CAST(l_linenumber AS DOUBLE) AS wid, l_quantity, l_extendedprice, l_discount, l_tax
+        FROM lineitem"""),
     "v_sent_auth": ([], """
         SELECT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS TID,
                l_suppkey AS sid, l_returnflag AS label, 'corpus' AS source, 'none' AS model,
@@ -63,6 +68,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "v_personas": ([], """
         SELECT e.vec_id AS persona_id, e.embedding, d.text AS persona_text
         FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id"""),
+    "v_member_texts": (["v_personas"], """
+        SELECT persona_id AS vec_id, coalesce(persona_text, '') AS text FROM v_personas"""),
     "v_generated": ([], """
         SELECT conv_id AS prompt_id, turn + 1 AS attempt,
           CASE (conv_id * 3 + turn) % 11

@@ -116,15 +116,22 @@ def q_cluster_top_n(spark, d):
     return t.select("persona_id", "cluster", "rank", "member_id", r6("sim").alias("sim"))
 
 
-@query("few_shot_examples", with_views("dv", "ext") + """
-, slots AS (SELECT persona_id, unnest([top_cluster, mid_cluster, bottom_cluster]) AS cluster, unnest([0, 1, 2]) AS slot FROM dv)
+define("fse", ["dv", "ext"], """
 SELECT s.persona_id, CAST(s.slot * 2 + k.k + 1 AS BIGINT) AS example_no, s.cluster,
        CASE WHEN k.k = 0 THEN x.most_id ELSE x.least_id END AS member_id,
        round(CASE WHEN k.k = 0 THEN x.most_sim ELSE x.least_sim END, 6) AS sim
-FROM slots s JOIN ext x ON x.persona_id = s.persona_id AND x.cluster = s.cluster, (SELECT unnest([0, 1]) AS k) k""",
+FROM (SELECT persona_id, unnest([top_cluster, mid_cluster, bottom_cluster]) AS cluster, unnest([0, 1, 2]) AS slot FROM dv) s
+JOIN ext x ON x.persona_id = s.persona_id AND x.cluster = s.cluster, (SELECT unnest([0, 1]) AS k) k""")
+
+
+def few_shot(spark, d):
+    return VEC.few_shot_examples(personas(spark, d), emb(spark, d), centroids(spark, d))
+
+
+@query("few_shot_examples", with_views("fse") + "SELECT * FROM fse",
        headline=True)
 def q_few_shot_examples(spark, d):
-    f = VEC.few_shot_examples(personas(spark, d), emb(spark, d), centroids(spark, d))
+    f = few_shot(spark, d)
     return f.select("persona_id", "example_no", "cluster", "member_id", r6("sim").alias("sim"))
 
 

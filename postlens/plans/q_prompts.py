@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postlens.operators import prompts as P
 from postlens.operators import sampling
 from postlens.operators.ordered import md5_rank_key_sql, row_position
+from postlens.plans import q_models
 from postlens.plans import views as V
 from postlens.plans.oracle_text import strip_quotes_sql
 from postlens.plans.oracle_views import define, sql_list, sql_str, with_views
@@ -88,6 +89,7 @@ CONTROL_PERSONA_SQL = {
     "inferred": PERSONA_SQL["inferred"],
     "reddit_user": "'You are a Reddit user with the following persona: ' || persona_text || '.'",
 }
+RETRIEVED = ("IFS", "MIFS")  # settings whose examples are the persona's own six retrieved texts
 VARIANTS = [(s[0], c) for s in P.SETTINGS for c in (False, True)]
 
 
@@ -97,7 +99,7 @@ def _prompt_expr(setting: str, control: bool) -> str:
         ex = (f"{sql_str(P.EXAMPLES_INTRO[setting][0] + P.EXAMPLES_POSITIVE)} || pos || "
               f"{sql_str(chr(10) * 2 + P.EXAMPLES_CONTROL)} || ctl || {sql_str(chr(10) * 2)}")
     elif setting in P.EXAMPLES_INTRO:
-        ex = f"{sql_str(P.EXAMPLES_INTRO[setting][control])} || ctl || {sql_str(chr(10) * (1 if setting == 'MIFS' else 2))}"
+        ex = f"{sql_str(P.EXAMPLES_INTRO[setting][control])} || {'few' if setting in RETRIEVED else 'ctl'} || {sql_str(chr(10) * (1 if setting == 'MIFS' else 2))}"
     else:
         ex = "''"
     k = {s[0]: s[2] for s in P.SETTINGS}[setting]
@@ -111,26 +113,40 @@ def _prompt_expr(setting: str, control: bool) -> str:
 
 def _prompt_sql(setting: str, control: bool) -> str:
     return (f"SELECT persona_id, '{setting}' AS setting, {str(control).lower()} AS control, "
-            f"{_prompt_expr(setting, control)} AS Prompt FROM prof, b")
+            f"{_prompt_expr(setting, control)} AS Prompt FROM pf, b")
 
 
-@query("build_prompts", with_views("prof", "v_posts") + f"""
-, b AS (SELECT {_numbered_sql("type = 'post'")} AS pos, {_numbered_sql("type <> 'post'")} AS ctl)
-""" + " UNION ALL ".join(_prompt_sql(*v) for v in VARIANTS))
-def q_build_prompts(spark, d):
-    """All sixteen variants: eight settings, positive and control."""
-    p = profiles(spark, d).withColumn("_pos", numbered(spark, d, True)).withColumn("_ctl", numbered(spark, d, False))
-    out = None
+EXAMPLES_SQL = f""", b AS (SELECT {_numbered_sql("type = 'post'")} AS pos, {_numbered_sql("type <> 'post'")} AS ctl),
+fs AS (SELECT f.persona_id, string_agg(CAST(f.example_no AS VARCHAR) || '. ' || t.text, chr(10) ORDER BY f.example_no) AS few
+  FROM fse f JOIN v_member_texts t ON t.vec_id = f.member_id GROUP BY f.persona_id),
+pf AS (SELECT prof.*, fs.few FROM prof LEFT JOIN fs USING (persona_id))
+"""
+
+
+def variants(spark, d):
+    """All sixteen variants: eight settings, positive and control; retrieved texts where the setting asks for them."""
+    few = P.few_shot_texts(q_models.few_shot(spark, d), V.v_member_texts(spark, d), out="_few")
+    p = profiles(spark, d).join(few, "persona_id", "left").withColumn("_pos", numbered(spark, d, True)).withColumn("_ctl", numbered(spark, d, False))
+    examples = {}
     for setting, control in VARIANTS:
-        both = setting in ("AFS", "MAFS") and not control
-        src = p
         if setting in P.EXAMPLES_INTRO:
-            first = F.col("_pos" if both else "_ctl")
-            src = p.withColumn("_block", P.examples_block(setting, control, first, F.col("_ctl")))
-        b = P.build_prompts(src, setting, examples_col="_block" if setting in P.EXAMPLES_INTRO else None, control=control)
-        b = b.select("persona_id", F.lit(setting).alias("setting"), F.lit(control).alias("control"), "Prompt")
-        out = b if out is None else out.unionByName(b)
-    return out
+            first = "_few" if setting in RETRIEVED else "_ctl" if control else "_pos"
+            examples[setting, control] = P.examples_block(setting, control, F.col(first), F.col("_ctl"))
+    return P.build_variants(p, VARIANTS, examples)
+
+
+@query("few_shot_texts", with_views("fse", "v_member_texts") + """
+SELECT f.persona_id, string_agg(CAST(f.example_no AS VARCHAR) || '. ' || t.text, chr(10) ORDER BY f.example_no) AS examples
+FROM fse f JOIN v_member_texts t ON t.vec_id = f.member_id GROUP BY f.persona_id""")
+def q_few_shot_texts(spark, d):
+    """Each persona's six retrieved texts, numbered."""
+    return P.few_shot_texts(q_models.few_shot(spark, d), V.v_member_texts(spark, d))
+
+
+@query("build_prompts", with_views("prof", "v_posts", "fse", "v_member_texts") + EXAMPLES_SQL + " UNION ALL ".join(_prompt_sql(*v) for v in VARIANTS))
+def q_build_prompts(spark, d):
+    """All sixteen variants: eight settings, positive and control."""
+    return variants(spark, d).select("persona_id", "setting", "control", "Prompt")
 
 
 def _screen_sql(text: str, min_words: int, short: bool) -> str:
@@ -140,7 +156,8 @@ def _screen_sql(text: str, min_words: int, short: bool) -> str:
     bad += [f"starts_with({low}, {sql_str(s)})" for s in starts]
     bad += [f"contains({low}, {sql_str(s)})" for s in P.BANNED_CONTAINS]
     bad += [f"ends_with({low}, {sql_str(s)})" for s in P.BANNED_ENDS]
-    bad.append(rf"len(regexp_extract_all({text}, '[^\s\x1c-\x1f]+')) < {min_words}")
+    if min_words:
+        bad.append(rf"len(regexp_extract_all({text}, '[^\s\x1c-\x1f]+')) < {min_words}")
     return "NOT coalesce(" + " OR ".join(bad) + ", false)"
 
 
@@ -182,18 +199,26 @@ def q_first_valid_attempt(spark, d):
     return out
 
 
-@query("generation_records", with_views("prof", "v_generated") + f"""
+def _record_sql(setting: str, control: bool) -> str:
+    persona = (CONTROL_PERSONA_SQL if control else PERSONA_SQL)[P.PERSONA_STYLE[setting]]
+    sampler = P.SAMPLER_CONTROL.get(setting, P.SAMPLER[setting]) if control else P.SAMPLER[setting]
+    model = {s[0]: s[1] for s in P.SETTINGS}[setting]
+    return f"""
 SELECT persona_id, age AS Age, gender AS Gender, education AS Education, occupation AS Occupation, interests AS Interests,
        subreddit AS Subreddit, nationality AS Nationality, marital_status AS "Marital Status", condition AS Condition,
-       ({PERSONA_SQL['inferred']}) AS Persona, {_prompt_expr('MIZS', False)} AS Prompt,
+       ({persona}) AS Persona, {_prompt_expr(setting, control)} AS Prompt,
        coalesce(r."Generated Text", {sql_str(P.NO_COMMENT)}) AS "Generated Text",
-       {", ".join(f"CAST({v} AS {'INTEGER' if isinstance(v, int) else 'DOUBLE'}) AS {n}" for v, n in zip(P.SAMPLER['MIZS'], P.SAMPLER_NAMES))},
-       'Llama-3-70B' AS model, 'MIZS' AS setting
-FROM prof LEFT JOIN {_first_sql('MIZS')} r ON r.prompt_id = prof.persona_id""")
+       {", ".join(f"CAST({v} AS {'INTEGER' if isinstance(v, int) else 'DOUBLE'}) AS {n}" for v, n in zip(sampler, P.SAMPLER_NAMES))},
+       '{model}' AS model, '{setting}' AS setting, {str(control).lower()} AS control
+FROM b, pf LEFT JOIN {_first_sql(setting)} r ON r.prompt_id = pf.persona_id"""
+
+
+@query("generation_records", with_views("prof", "v_posts", "fse", "v_member_texts", "v_generated") + EXAMPLES_SQL
+       + " UNION ALL ".join(_record_sql(*v) for v in VARIANTS))
 def q_generation_records(spark, d):
-    p = P.build_prompts(profiles(spark, d), "MIZS").withColumn("prompt_id", F.col("persona_id"))
-    res = P.first_valid_attempt(V.v_generated(spark, d), "MIZS")
-    return P.generation_records(p, res, "MIZS", ["persona_id"])
+    """Result records of all sixteen variants, positive and control."""
+    res = P.first_valid_attempts(V.v_generated(spark, d), [s[0] for s in P.SETTINGS])
+    return P.generation_records(variants(spark, d).withColumn("prompt_id", F.col("persona_id")), res, ["persona_id"])
 
 
 @query("generation_error_rate", with_views("v_generated") + """

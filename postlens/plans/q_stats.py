@@ -93,10 +93,13 @@ GROUP BY feature""")
 define("summary", ["js", "wd"], "SELECT feature, JS_divergence, Wasserstein FROM js FULL OUTER JOIN wd USING (feature)")
 
 
-@query("user_feature_means", with_views("auth_means") + "SELECT user_id, " + ", ".join(
-    f"round({f}, 6) AS {f}" for f in FEATS) + " FROM auth_means")
+define("all_means", ["v_sent"], f"SELECT split_part(TID, '_', 1) AS user_id, {_avg} FROM v_sent GROUP BY 1")
+
+
+@query("user_feature_means", with_views("all_means") + "SELECT user_id, " + ", ".join(
+    f"round({f}, 6) AS {f}" for f in FEATS) + " FROM all_means")
 def q_user_feature_means(spark, d):
-    return user_means(V.v_sent_auth(spark, d)).select("user_id", *[r6(f).alias(f) for f in FEATS])
+    return user_means(V.v_sent(spark, d)).select("user_id", *[r6(f).alias(f) for f in FEATS])
 
 
 @query("first_n_users_lexical", with_views("auth_means") +
@@ -144,11 +147,11 @@ def q_top10_features(spark, d):
     return t.select("metric", "feature", r6("value").alias("value"))
 
 
-@query("feature_columns", with_views("v_sent_auth") + "SELECT feature, CAST(count(value) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM v_sent_auth" for f in FEATS) + ") GROUP BY feature")
+@query("feature_columns", with_views("v_sent") + "SELECT feature, CAST(count(value) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM v_sent" for f in FEATS) + ") GROUP BY feature")
 def q_feature_columns(spark, d):
     """The columns that count as features, found by exclusion, and how many values each has."""
-    df = V.v_sent_auth(spark, d)
+    df = V.v_sent(spark, d)
     n = df.agg(*[F.count(c).alias(c) for c in prep.feature_columns(df)])
     return n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in n.columns])).alias("s")).select("s.*")
 
@@ -176,17 +179,7 @@ def q_density_subset(spark, d):
     return dc.select("feature", "kind", "point", r6("x").alias("x"), r6("density").alias("density"))
 
 
-@query("density_curve", with_views("a_long", "b_long") + """
-, l AS (SELECT feature, value, 'authentic' AS kind FROM a_long UNION ALL SELECT feature, value, 'synthetic' FROM b_long),
-  st AS (SELECT feature, kind, count(*) AS n, stddev_samp(value) * pow(count(*), -0.2) AS h, min(value) AS lo, max(value) AS hi
-         FROM l GROUP BY ALL),
-  g AS (SELECT *, lo - 3 * h AS g0, ((hi + 3 * h) - (lo - 3 * h)) / 199 AS dg FROM st WHERE h IS NOT NULL AND h > 0),
-  pts AS (SELECT feature, kind, n, h, g0, dg, CAST(unnest(range(200)) AS BIGINT) AS point FROM g),
-  v AS (SELECT feature, kind, value, count(*) AS c FROM l GROUP BY ALL)
-SELECT p.feature, p.kind, p.point, round(p.g0 + p.point * p.dg, 6) AS x,
-       round(sum(v.c * exp(-0.5 * pow((p.g0 + p.point * p.dg - v.value) / p.h, 2))) / (p.n * p.h * sqrt(2 * pi())), 6) AS density
-FROM pts p JOIN v ON v.feature = p.feature AND v.kind = p.kind
-GROUP BY p.feature, p.kind, p.point, p.g0, p.dg, p.n, p.h""")
+@query("density_curve", with_views("a_long", "b_long") + DENSITY_SQL.replace("KEPT", "true"))
 def q_density_curve(spark, d):
     a, b = longs(spark, d)
     long = a.withColumn("kind", F.lit("authentic")).unionByName(b.withColumn("kind", F.lit("synthetic")))

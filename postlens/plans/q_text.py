@@ -40,14 +40,14 @@ def q_concat_user_text(spark, d):
     return S.user_word_offsets(V.v_posts(spark, d), ["conv_id", "turn"]).select("user_id", "TID", "word_offset", "n_words")
 
 
-USER_WORDS = f"""(SELECT user_id, regexp_extract_all(string_agg(text, ' ' ORDER BY conv_id, turn), '{WORDS_RE2}') AS w
-  FROM v_disclosure_posts WHERE user_id IN (SELECT user_id FROM v_posts WHERE type = 'post') GROUP BY user_id)"""
+def _user_words(cond: str = "user_id IS NOT NULL") -> str:
+    return f"""(SELECT user_id, regexp_extract_all(string_agg(text, ' ' ORDER BY conv_id, turn), '{WORDS_RE2}') AS w
+  FROM v_disclosure_posts WHERE {cond} GROUP BY user_id)"""
 
 
-@query("user_sliding_chunks", with_views("v_disclosure_posts") + "SELECT * FROM " + windows_sql(USER_WORDS, "user_id", 50, 25))
+@query("user_sliding_chunks", with_views("v_disclosure_posts") + "SELECT * FROM " + windows_sql(_user_words(), "user_id", 50, 25))
 def q_user_sliding_chunks(spark, d):
-    posts = V.v_disclosure_posts(spark, d).join(post_users(spark, d), "user_id", "left_semi")
-    return S.user_sliding_chunks(posts, ["conv_id", "turn"], 50, 25).select("user_id", "ChunkID", "text")
+    return S.user_sliding_chunks(V.v_disclosure_posts(spark, d), ["conv_id", "turn"], 50, 25).select("user_id", "ChunkID", "text")
 
 
 @query("word_budget", with_views("v_doc_posts") + f"""
@@ -71,10 +71,6 @@ def q_median_post(spark, d):
     return W.median_post(V.v_doc_posts(spark, d), ["doc_id"]).select("user_id", "post_id", "word_count", "posts")
 
 
-def all_sentences(spark, d):
-    return V.v_sent_auth(spark, d).unionByName(V.v_sent_syn(spark, d))
-
-
 SENT_ORDER = ["_ok", "_ln", "_pk", "sid"]
 
 
@@ -98,9 +94,9 @@ def q_cut_whole_user(spark, d):
     return W.cut_whole_user(sentences_ordered(spark, d), SENT_ORDER, 4_000).select("TID")
 
 
-@query("user_from_tid", with_views("v_sent_auth") + "SELECT TID, split_part(TID, '_', 1) AS user_id FROM v_sent_auth")
+@query("user_from_tid", with_views("v_sent") + "SELECT TID, split_part(TID, '_', 1) AS user_id FROM v_sent")
 def q_user_from_tid(spark, d):
-    return V.v_sent_auth(spark, d).select("TID", user_from_tid("TID").alias("user_id"))
+    return V.v_sent(spark, d).select("TID", user_from_tid("TID").alias("user_id"))
 
 
 @query("truncate_text", with_views("v_doc_posts") + """
@@ -129,7 +125,7 @@ def _extract_posts_sql():
     keep = "TID, user_id, conv_id, turn, created_utc, OriginalText"
     src = (f"(SELECT TID, user_id, conv_id, turn, created_utc, text, "
            f"CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS OriginalText "
-           f"FROM v_disclosure_posts WHERE user_id IN {POST_USERS_SQL})")
+           "FROM v_disclosure_posts)")
     return extract_sql(src, "text", keep.split(", "))
 
 
@@ -139,14 +135,12 @@ define("ex_posts", ["v_disclosure_posts", "v_posts"], _extract_posts_sql())
 @query("extract_disclosures", with_views("ex_posts") +
        "SELECT TID, pattern_ord, match_idx, Trait, DisclosureType, MatchedPhrase, Normalized FROM ex_posts")
 def q_extract_disclosures(spark, d):
-    posts = V.v_disclosure_posts(spark, d).join(post_users(spark, d), "user_id", "left_semi")
-    return X.extract_disclosures(posts, keep=["TID"]).select(
+    return X.extract_disclosures(V.v_disclosure_posts(spark, d), keep=["TID"]).select(
         "TID", "pattern_ord", "match_idx", "Trait", "DisclosureType", "MatchedPhrase", "Normalized")
 
 
 def _phrases(spark, d):
-    posts = V.v_disclosure_posts(spark, d).join(post_users(spark, d), "user_id", "left_semi")
-    return X.extract_disclosures(posts, keep=["TID"]).select("TID", "pattern_ord", "match_idx", "MatchedPhrase")
+    return X.extract_disclosures(V.v_disclosure_posts(spark, d), keep=["TID"]).select("TID", "pattern_ord", "match_idx", "MatchedPhrase")
 
 
 @query("bin_age", with_views("ex_posts") +
@@ -183,9 +177,9 @@ SELECT UserID, Trait, DisclosureType, MatchedPhrase, Normalized, CreatedUTC, Ori
          CAST(coalesce(created_utc, 0) AS BIGINT) AS CreatedUTC, OriginalText,
          row_number() OVER (PARTITION BY user_id, Trait
                             ORDER BY coalesce(created_utc, 0) DESC, conv_id, turn, pattern_ord, match_idx) AS rn
-  FROM ex_posts) WHERE rn = 1""")
+  FROM ex_posts WHERE user_id IN """ + POST_USERS_SQL + """) WHERE rn = 1""")
 
-define("user_chunks", ["v_disclosure_posts", "v_posts"], "SELECT * FROM " + windows_sql(USER_WORDS, "user_id", 50, 25))
+define("user_chunks", ["v_disclosure_posts", "v_posts"], "SELECT * FROM " + windows_sql(_user_words(f"user_id IN {POST_USERS_SQL}"), "user_id", 50, 25))
 define("ex_chunks", ["user_chunks"], extract_sql("user_chunks", "text", ["user_id", "ChunkID"]))
 define("automated", ["ex_chunks"], """
 SELECT UserID, Trait, DisclosureType, MatchedPhrase, Normalized, ChunkID FROM (

@@ -127,8 +127,9 @@ def v_disclosure_posts(spark, sf_dir) -> DataFrame:
 SENT_FEATURES = ["wid", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _sentences(spark, sf_dir, status: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status)
+def _sentences(spark, sf_dir, status: str | None = None) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    li = li if status is None else li.where(F.col("l_linestatus") == status)
     return li.select(
         F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("TID"),
         F.col("l_suppkey").alias("sid"),
@@ -140,6 +141,11 @@ def _sentences(spark, sf_dir, status: str) -> DataFrame:
     )
 
 
+def v_sent(spark, sf_dir) -> DataFrame:
+    """Sentence features of both corpora (all line items)."""
+    return _sentences(spark, sf_dir)
+
+
 def v_sent_auth(spark, sf_dir) -> DataFrame:
     """Sentence features of the authentic corpus (closed line items)."""
     return _sentences(spark, sf_dir, "F")
@@ -163,6 +169,12 @@ def v_personas(spark, sf_dir) -> DataFrame:
     return e.join(d, "vec_id", "left").select(F.col("vec_id").alias("persona_id"), "embedding", "persona_text")
 
 
+def v_member_texts(spark, sf_dir) -> DataFrame:
+    """The text behind every embedding: the document with the same id, empty if there is none."""
+    p = v_personas(spark, sf_dir)
+    return p.select(F.col("persona_id").alias("vec_id"), F.coalesce("persona_text", F.lit("")).alias("text"))
+
+
 def v_generated(spark, sf_dir) -> DataFrame:
     """Generation attempts: one conversation = one prompt, turn + 1 = attempt number.
 
