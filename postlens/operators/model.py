@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlens.operators.forests import Forest, class1_counts, predicted
 from postlens.operators.ordered import md5_rank_key, running_sum, running_sums
 from postlens.session import cut_lineage
 
@@ -81,11 +82,9 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
-def rf_params(max_depth, min_split: int, min_leaf: int, num_trees: int) -> dict:
-    """sklearn-style forest parameters -> Spark's (min_samples_split has no counterpart)."""
-    leaf = max(min_leaf, -(-min_split // 2))
-    return {"numTrees": num_trees, "maxDepth": UNLIMITED_DEPTH if max_depth is None else max_depth,
-            "minInstancesPerNode": leaf}
+def rf_params(max_depth, min_leaf: int, num_trees: int) -> dict:
+    """sklearn-style forest parameters -> Spark's; ``min_samples_split`` is applied to the fitted nodes (``forests``)."""
+    return {"numTrees": num_trees, "maxDepth": UNLIMITED_DEPTH if max_depth is None else max_depth, "minInstancesPerNode": min_leaf}
 
 
 def random_forest(train: DataFrame, features: Sequence[str], label_col: str = "y", seed: int = 42, **params):
@@ -108,40 +107,44 @@ def f1_of_class1(pred: DataFrame, label_col: str = "y", pred_col: str = "predict
 
 def rf_grid_search(train: DataFrame, dev: DataFrame, features: Sequence[str], label_col: str = "y", seed: int = 42,
                    grid: dict | None = None, parallelism: int = 4) -> tuple[list[dict], dict]:
-    """Fit every grid point on ``train``, score F1 of class 1 on ``dev``; first strictly better wins.
+    """F1 of class 1 on ``dev`` for every grid point; first strictly better wins.
 
-    The assembled training set is checkpointed once (lineage cut), and the fits
-    are submitted from a small driver thread pool so they share the cluster.
+    Grid points that differ only in number of trees, depth and ``min_samples_split`` are cut out of one forest (the most
+    trees, the deepest), so there are as many fits as leaf sizes (2 for the published 24 points), submitted
+    from a small driver thread pool, and one pass over ``dev`` scores all points of a fit.
     """
     g = grid or RF_GRID
     combos = list(itertools.product(g["numTrees"], g["maxDepth"], g["min_samples_split"], g["minInstancesPerNode"]))
     tr = cut_lineage(assemble(train, features).select("features", label_col))
-    dv = assemble(dev, features).select("features", label_col).cache()
+    dv = cut_lineage(dev.select(*features, label_col))
+    deepest = None if None in g["maxDepth"] else max(g["maxDepth"])
+    variants = list(itertools.product(g["numTrees"], g["maxDepth"], g["min_samples_split"]))
 
-    def fit(c):
-        nt, md, ms, ml = c
-        params = rf_params(md, ms, ml, nt)
-        m = RandomForestClassifier(featuresCol="features", labelCol=label_col, seed=seed, maxMemoryInMB=1024,
-                                   cacheNodeIds=True, **params).fit(tr)
-        f1 = f1_of_class1(m.transform(dv), label_col).first()["f1"]
-        return {"n_estimators": nt, "max_depth": md, "min_samples_split": ms, "min_samples_leaf": ml, "dev_f1": f1}
+    def fit(leaf):
+        params = rf_params(deepest, leaf, max(g["numTrees"]))
+        forest = Forest.read(RandomForestClassifier(featuresCol="features", labelCol=label_col, seed=seed, maxMemoryInMB=1024,
+                                                    cacheNodeIds=True, **params).fit(tr), train.sparkSession)
+        return dict(zip(variants, class1_counts(dv, forest, features, label_col, variants), strict=True))
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        results = list(ex.map(fit, combos))
-    best = None
-    for r in results:  # grid order, first strictly better wins
-        if best is None or r["dev_f1"] > best["dev_f1"]:
-            best = r
-    dv.unpersist()
+        counts = dict(zip(g["minInstancesPerNode"], ex.map(fit, g["minInstancesPerNode"]), strict=True))
+    results, best = [], None
+    for nt, md, ms, ml in combos:
+        tp, fp, fn = counts[ml][nt, md, ms]
+        f1 = 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0
+        results.append({"n_estimators": nt, "max_depth": md, "min_samples_split": ms, "min_samples_leaf": ml, "dev_f1": f1})
+        if best is None or f1 > best["dev_f1"]:  # grid order, first strictly better wins
+            best = results[-1]
     return results, best
 
 
 def final_fit(train: DataFrame, dev: DataFrame, test: DataFrame, features: Sequence[str], best: dict, label_col: str = "y",
               seed: int = 42) -> DataFrame:
     """Predictions on ``test`` of a forest with the best grid point's parameters, fitted again on train and dev."""
-    params = rf_params(best["max_depth"], best["min_samples_split"], best["min_samples_leaf"], best["n_estimators"])
+    params = rf_params(best["max_depth"], best["min_samples_leaf"], best["n_estimators"])
     both = train.select(label_col, *features).unionByName(dev.select(label_col, *features))
-    return predict(random_forest(both, features, label_col, seed, **params), test, features)
+    forest = Forest.read(random_forest(both, features, label_col, seed, **params), train.sparkSession)
+    return predicted(test, forest, features, (best["n_estimators"], best["max_depth"], best["min_samples_split"]))
 
 
 def classification_report(pred: DataFrame, label_col: str = "y", pred_col: str = "pred") -> DataFrame:
@@ -214,13 +217,8 @@ def project_2d(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("u
     return out.select(*keep, F.col("_pl_a")[0].alias("pc1"), F.col("_pl_a")[1].alias("pc2"))
 
 
-def linear_models(train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str = "y") -> DataFrame:
-    """Logistic regression and linear SVM fitted on ``train``; predictions on ``test``."""
-    tr = assemble(train, features)
-    te = assemble(test, features)
-    lr = LogisticRegression(featuresCol="features", labelCol=label_col, maxIter=50).fit(tr)
-    svm = LinearSVC(featuresCol="features", labelCol=label_col, maxIter=50).fit(tr)
-    a = lr.transform(te).select(*[c for c in test.columns], F.lit("logistic_regression").alias("model"),
-                                F.col("prediction"))
-    b = svm.transform(te).select(*[c for c in test.columns], F.lit("linear_svm").alias("model"), F.col("prediction"))
-    return a.unionByName(b)
+def linear_model(kind: str, train: DataFrame, test: DataFrame, features: Sequence[str], label_col: str = "y") -> DataFrame:
+    """``logistic_regression`` or ``linear_svm`` fitted on ``train``; predictions on ``test``."""
+    maker = {"logistic_regression": LogisticRegression, "linear_svm": LinearSVC}[kind]
+    model = maker(featuresCol="features", labelCol=label_col, maxIter=50).fit(assemble(train, features))
+    return model.transform(assemble(test, features)).select(*test.columns, F.lit(kind).alias("model"), "prediction")

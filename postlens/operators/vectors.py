@@ -10,6 +10,7 @@ spread over many block pairs and tasks.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -21,6 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.operators.ordered import md5_rank_key, row_position
 from postlens.session import stored
 
 MAX_CENTROID_VALUES = 4_000_000  # k * dim allowed as a plan literal (about 32 MB of doubles)
@@ -402,11 +404,64 @@ def centroid_cosine(df: DataFrame, group: Column, vec_col: str = "embedding") ->
     return two.select(cosine("ma", "mb").alias("centroid_cosine"))
 
 
-def mmd2(df: DataFrame, group: Column, dim: int, vec_col: str = "embedding", gamma: float | None = None, features: int = 256,
+def _rank_key(seed, *parts) -> int:
+    """``ordered.md5_rank_key`` of the same parts."""
+    return int(hashlib.md5("|".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16)
+
+
+def mmd2(df: DataFrame, group: Column, key_col: str = "vec_id", vec_col: str = "embedding", gamma: float = 1.0, block: int = 16,
+         permutations: int = 99, seed: int = 42) -> DataFrame:
+    """(mmd2, p_value, blocks): squared maximum mean discrepancy (kernel exp(-gamma d^2)) of the sets ``group`` = 0 / 1.
+
+    The block estimator: both sets in order of the md5 rank of their keys are cut into blocks of ``block``
+    rows each, a block gives the unbiased estimate over its own pairs, and the mean over blocks is
+    unbiased, too. Work is rows times ``block``; no more than 2 ``block`` rows ever meet. The p-value is
+    that of ``permutations`` random relabelings inside the blocks (the share, counting the true one, that
+    reach the observed value). Rows without a vector or of another group are left out, a last incomplete
+    block as well; null where there is no full block. Positions come from the prefix scan of ``ordered``.
+    """
+    src = df.select(group.cast("int").alias("g"), F.col(key_col).alias("key"), as_double_array(vec_col).alias("v"))
+    src = src.where(F.col("v").isNotNull() & F.col("g").isin(0, 1)).withColumn("h", md5_rank_key(seed, "key"))
+    placed = row_position(src, ["h", "key"], out="pos", keys=["g"]).withColumn("block", F.floor((F.col("pos") - 1) / F.lit(block)))
+    blocks = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("g", "key", "v"))).alias("rows")).where(F.size("rows") == 2 * block)
+    blocks = blocks.where(F.size(F.filter("rows", lambda r: r["g"] == 0)) == block)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for rows in b.column(1):
+                rows = rows.values
+                x = rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(2 * block, -1)
+                keys = rows.field("key").to_pylist()
+                k = np.exp(-gamma * np.maximum(((x[:, None, :] - x[None]) ** 2).sum(2), 0))
+                np.fill_diagonal(k, 0)
+                first = [np.arange(2 * block) < block]  # rows come sorted by group
+                for p in range(permutations):
+                    order = sorted(range(2 * block), key=lambda i: (_rank_key(seed, p, keys[i]), keys[i]))
+                    one = np.zeros(2 * block, bool)
+                    one[order[:block]] = True
+                    first.append(one)
+                same = [(k[m][:, m].sum() + k[~m][:, ~m].sum()) / (block * (block - 1)) for m in first]
+                out.append([s - 2 * k[m][:, ~m].sum() / block ** 2 for s, m in zip(same, first, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], ["h"])
+
+    h = blocks.select("block", "rows").mapInArrow(run, "h array<double>")
+    means = h.select(F.posexplode("h").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    # one row a permutation
+    both = means.agg(F.max(F.when(F.col("p") == 0, F.col("x"))).alias("mmd2"), F.max("n").alias("blocks"),
+                     F.collect_list(F.when(F.col("p") > 0, F.col("x"))).alias("others"))
+    reach = F.size(F.filter("others", lambda x: x >= F.col("mmd2") - 1e-12))
+    return both.select("mmd2", F.when(F.col("mmd2").isNotNull(), (1 + reach) / F.lit(permutations + 1.0)).alias("p_value"),
+                       F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"))
+
+
+def mmd2_features(df: DataFrame, group: Column, dim: int, vec_col: str = "embedding", gamma: float | None = None, features: int = 256,
          seed: int = 42) -> DataFrame:
-    """Squared maximum mean discrepancy (RBF kernel exp(-gamma d^2)) of the sets ``group`` = 0 / 1, one aggregation.
+    """(mmd2, error): squared maximum mean discrepancy (RBF kernel exp(-gamma d^2)) of the sets ``group`` = 0 / 1, one aggregation.
 
-    Random Fourier features turn the kernel into a dot product, so each set enters as one mean of
+    ``error`` is the standard error that the random features leave, from the spread over features. Random Fourier features turn the kernel into a dot product, so each set enters as one mean of
     ``features`` numbers instead of pairs; the error falls with the square root of ``features``.
     """
     import json
@@ -421,4 +476,7 @@ def mmd2(df: DataFrame, group: Column, dim: int, vec_col: str = "embedding", gam
     m = v.select("_g", array_to_vector(z).alias("_z")).groupBy("_g").agg(Summarizer.mean(F.col("_z")).alias("_m")).select(
         "_g", vector_to_array("_m").alias("_m"))
     two = m.agg(F.max(F.when(F.col("_g") == 0, F.col("_m"))).alias("a"), F.max(F.when(F.col("_g") == 1, F.col("_m"))).alias("b"))
-    return two.select(F.aggregate(F.zip_with("a", "b", lambda x, y: F.pow(x - y, F.lit(2.0))), F.lit(0.0), lambda t, x: t + x).alias("mmd2"))
+    parts = F.zip_with("a", "b", lambda x, y: F.pow(x - y, F.lit(2.0)))
+    total = lambda f: F.aggregate(parts, F.lit(0.0), lambda t, x: t + f(x))
+    mean, square = total(lambda x: x), total(lambda x: x * x)
+    return two.select(mean.alias("mmd2"), F.sqrt(F.greatest(square - mean * mean / features, F.lit(0.0))).alias("error"))

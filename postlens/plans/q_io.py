@@ -33,7 +33,7 @@ SELECT type, count(*) AS rows, count(DISTINCT user_id) AS users, CAST(sum({wc_sq
 @query("scan_csv", POSTS_SUMMARY_SQL)
 def q_scan_csv(spark, d):
     path = files.write_csv(V.v_posts(spark, d).select(*POST_COLS, "created_utc"), files.scratch_path(spark, "csv"))
-    return _posts_summary(files.read_csv(spark, path, POST_SCHEMA))
+    return _posts_summary(files.read_csv(spark, path, POST_SCHEMA, multi_line=True))
 
 
 @query("sink_csv_roundtrip", with_views("v_posts") + """
@@ -42,7 +42,7 @@ SELECT count(*) AS rows, CAST(sum(created_utc) AS BIGINT) AS created_sum,
 FROM v_posts""")
 def q_sink_csv_roundtrip(spark, d):
     path = files.write_csv(V.v_posts(spark, d).select(*POST_COLS, "created_utc"), files.scratch_path(spark, "sink"))
-    back = files.read_csv(spark, path, POST_SCHEMA)
+    back = files.read_csv(spark, path, POST_SCHEMA, multi_line=True)
     t = F.col("text")
     quoted = t.contains("\n") | t.contains('"') | t.contains(",")
     return back.agg(F.count(F.lit(1)).alias("rows"), F.sum("created_utc").cast("long").alias("created_sum"),
@@ -102,11 +102,20 @@ def q_scan_detect_sep(spark, d):
     return df.groupBy("gender_identity").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("scan_four_blanks", with_views("v_gender_csv") + """
+SELECT " Gender Identity " AS gender_identity, "Row ID" % 10 AS tens, count(*) AS rows FROM v_gender_csv GROUP BY ALL""")
+def q_scan_four_blanks(spark, d):
+    """A file whose columns are parted by four blanks."""
+    path = files.write_csv(V.v_gender_csv(spark, d), files.scratch_path(spark, "blanks"), sep="    ", quote_all=True)
+    df = prep.normalize_columns(files.read_detect_sep(spark, path))
+    return df.groupBy("gender_identity", (F.col("row_id").cast("long") % 10).alias("tens")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("scan_all_string", with_views("v_posts") + """
 SELECT count(*) AS rows, count(DISTINCT created_utc) AS distinct_created, max(length(CAST(created_utc AS VARCHAR))) AS max_len
 FROM v_posts""")
 def q_scan_all_string(spark, d):
     path = files.write_csv(V.v_posts(spark, d).select(*POST_COLS, "created_utc"), files.scratch_path(spark, "allstr"))
-    df = files.read_csv(spark, path, files.all_string_schema(POST_COLS + ["created_utc"]))
+    df = files.read_csv(spark, path, files.all_string_schema(POST_COLS + ["created_utc"]), multi_line=True)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("created_utc").alias("distinct_created"),
                   F.max(F.length("created_utc")).cast("long").alias("max_len"))

@@ -226,6 +226,13 @@ def q_fraction_sample(spark, d):
     return M.fraction_sample(auth_users(spark, d), 0.5, seed=SEED).select("user_id", "y")
 
 
+@query("fraction_sample_round", with_views("auth_u") + "SELECT user_id, y FROM " + _frac_sql("auth_u", 0.3).replace(
+    "floor(n * 0.3)", "round_even(n * 0.3, 0)"))
+def q_fraction_sample_round(spark, d):
+    """The other published rule: the share of a class rounded, half to even."""
+    return M.fraction_sample(auth_users(spark, d), 0.3, seed=SEED, rounding="round").select("user_id", "y")
+
+
 @query("augment_sample", with_views("syn_u") + "SELECT user_id, y FROM " + _frac_sql("(SELECT * FROM syn_u WHERE y = 1)", 0.5))
 def q_augment_sample(spark, d):
     pos = syn_users(spark, d).where(F.col("y") == 1)
@@ -270,9 +277,35 @@ def q_final_model(spark, d):
     return M.classification_report(pred, "y", "prediction")
 
 
-@query("mmd2")
+MMD_BLOCK, MMD_PERMUTATIONS = 16, 99
+MMD_SQL = f"""
+WITH e AS (SELECT vec_id, label % 2 AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL AND label % 2 IN (0, 1)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY {md5_rank_key_sql(SEED, "vec_id")}, vec_id) - 1) // {MMD_BLOCK} AS blk FROM e),
+f AS (SELECT * FROM r WHERE blk < (SELECT min(n) // {MMD_BLOCK} FROM (SELECT count(*) AS n FROM e GROUP BY g))),
+k AS (SELECT a.blk, a.vec_id AS ia, b.vec_id AS ib, a.g = b.g AS same,
+        exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS k
+      FROM f a JOIN f b ON a.blk = b.blk AND a.vec_id <> b.vec_id),
+h AS (SELECT avg(h) AS mmd2, count(*) AS blocks FROM (SELECT blk, sum(k) FILTER (same) / {MMD_BLOCK * (MMD_BLOCK - 1)}
+        - sum(k) FILTER (NOT same) / {MMD_BLOCK ** 2} AS h FROM k GROUP BY blk)),
+q AS (SELECT p, blk, vec_id, row_number() OVER (PARTITION BY p, blk ORDER BY {md5_rank_key_sql(SEED, "p", "vec_id")}, vec_id) <= {MMD_BLOCK} AS x
+      FROM f, (SELECT unnest(range({MMD_PERMUTATIONS})) AS p)),
+o AS (SELECT p, avg(h) AS h FROM (SELECT a.p, k.blk, sum(k.k) FILTER (a.x = b.x) / {MMD_BLOCK * (MMD_BLOCK - 1)}
+        - sum(k.k) FILTER (a.x <> b.x) / {MMD_BLOCK ** 2} AS h
+      FROM k JOIN q a ON a.blk = k.blk AND a.vec_id = k.ia JOIN q b ON b.blk = k.blk AND b.vec_id = k.ib AND b.p = a.p GROUP BY ALL) GROUP BY p)
+SELECT round(h.mmd2, 6) AS mmd2, (1 + (SELECT count(*) FROM o WHERE o.h >= h.mmd2 - 1e-12)) / {MMD_PERMUTATIONS + 1}.0 AS p_value, h.blocks
+FROM h"""
+
+
+@query("mmd2", MMD_SQL)
 def q_mmd2(spark, d):
-    return VEC.mmd2(V.table(spark, d, "embeddings"), F.pmod("label", F.lit(2)), 64)
+    m = VEC.mmd2(V.table(spark, d, "embeddings"), F.pmod("label", F.lit(2)), block=MMD_BLOCK, permutations=MMD_PERMUTATIONS, seed=SEED)
+    return m.select(r6("mmd2").alias("mmd2"), "p_value", "blocks")
+
+
+@query("mmd2_features")
+def q_mmd2_features(spark, d):
+    """The same distance by random features, and the error that they leave."""
+    return VEC.mmd2_features(V.table(spark, d, "embeddings"), F.pmod("label", F.lit(2)), 64, gamma=1.0)
 
 
 @query("first_n_personas", with_views("v_personas") + "SELECT persona_id, persona_text FROM v_personas ORDER BY persona_id LIMIT 20")
@@ -348,7 +381,7 @@ def _train_test(spark, d):
 @query("random_forest")
 def q_random_forest(spark, d):
     train, test = _train_test(spark, d)
-    m = M.random_forest(train, FEATS, "y", SEED, **M.rf_params(None, 2, 1, 100))
+    m = M.random_forest(train, FEATS, "y", SEED, **M.rf_params(None, 1, 100))
     return M.predict(m, test, FEATS).select("user_id", "y", "prediction", "score")
 
 
@@ -371,12 +404,10 @@ def q_project_2d(spark, d):
 @query("logistic_regression")
 def q_logistic_regression(spark, d):
     train, test = _train_test(spark, d)
-    return M.linear_models(train, test.select("user_id", "y", *FEATS), FEATS).where(
-        F.col("model") == "logistic_regression").select("user_id", "y", "prediction")
+    return M.linear_model("logistic_regression", train, test.select("user_id", "y", *FEATS), FEATS).select("user_id", "y", "prediction")
 
 
 @query("linear_svm")
 def q_linear_svm(spark, d):
     train, test = _train_test(spark, d)
-    return M.linear_models(train, test.select("user_id", "y", *FEATS), FEATS).where(
-        F.col("model") == "linear_svm").select("user_id", "y", "prediction")
+    return M.linear_model("linear_svm", train, test.select("user_id", "y", *FEATS), FEATS).select("user_id", "y", "prediction")

@@ -206,6 +206,27 @@ def q_resolve_persona_column(spark, d):
         "persona_id", "persona_text")
 
 
+@query("resolve_persona_exact", with_views("v_personas") + "SELECT persona_id, persona_text FROM v_personas")
+def q_resolve_persona_exact(spark, d):
+    """The case-sensitive form: ``Persona`` is not ``persona``, so the original text is taken."""
+    df = V.v_personas(spark, d).withColumnRenamed("persona_text", "original_text").withColumn("Persona", F.lit("another case"))
+    return prep.resolve_column(df, ["model_response", "persona", "original_text"], "persona_text", case_insensitive=False).select(
+        "persona_id", "persona_text")
+
+
+@query("resolve_text", with_views("v_posts") + """
+SELECT TID, 'text' AS found, text FROM v_posts
+UNION ALL SELECT TID, 'comment_text', text || '!' FROM v_posts
+UNION ALL SELECT TID, 'none', 'Comment ' || CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS VARCHAR) FROM v_posts""")
+def q_resolve_text(spark, d):
+    """A text column of either name, and rows without one."""
+    posts = V.v_posts(spark, d)
+    other = posts.withColumn("comment_text", F.concat("text", F.lit("!"))).drop("text")
+    out = [prep.resolve_text(df, ["conv_id", "turn"]).select("TID", F.lit(found).alias("found"), "text")
+           for found, df in (("text", posts.withColumn("comment_text", F.lit("not this"))), ("comment_text", other), ("none", posts.drop("text")))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("drop_nulls", with_views("v_personas") + "SELECT persona_id FROM v_personas WHERE persona_text IS NOT NULL")
 def q_drop_nulls(spark, d):
     return prep.drop_nulls(V.v_personas(spark, d), ["persona_text"]).select("persona_id")

@@ -25,21 +25,21 @@ def all_string_schema(cols) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
-    """Header, RFC-4180 quoting (quote and escape ``"``); no index column."""
-    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"')
+def write_csv(df: DataFrame, path: str, sep: str = ",", quote_all: bool = False) -> str:
+    """Header, RFC-4180 quoting (quote and escape ``"``); no index column. ``quote_all`` for separators that values may touch."""
+    (df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("quoteAll", quote_all)
      .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-             keep_empty: bool = False, multi_line: bool = True) -> DataFrame:
+             keep_empty: bool = False, multi_line: bool = False) -> DataFrame:
     """CSV with a header and quoted fields.
 
     ``keep_empty`` keeps empty fields as '' (not null), like an all-string read.
-    ``multi_line`` allows line ends inside quoted fields; a file is then read by one
-    task, so write such data as many files. Without it large files are split.
+    Large files are split over tasks. ``multi_line`` allows line ends inside quoted fields; a
+    file is then read by one task, so write such data as many files.
     """
     r = (spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", '"')
          .option("escape", '"').option("multiLine", multi_line).option("ignoreLeadingWhiteSpace", False)
@@ -107,7 +107,9 @@ def header_columns(spark: SparkSession, path: str, sep: str) -> list[str]:
     import io
 
     first = spark.read.text(path).limit(1).collect()[0][0]
-    return first.split(sep) if len(sep) > 1 else next(csv.reader(io.StringIO(first), delimiter=sep))
+    if len(sep) == 1:
+        return next(csv.reader(io.StringIO(first), delimiter=sep))
+    return [c[1:-1].replace('""', '"') if len(c) > 1 and c[0] == c[-1] == '"' else c for c in first.split(sep)]
 
 
 def read_detect_sep(spark: SparkSession, path: str) -> DataFrame:
