@@ -19,18 +19,26 @@ def tokens_no_stopwords(df: DataFrame, text_col: str = "text", out: str = "token
     return rm.transform(tok.transform(df.na.fill("", [text_col]))).withColumnRenamed("_pl_all", "all_tokens")
 
 
-def tf_idf(tokens: DataFrame, doc_col: str, tokens_col: str = "tokens") -> DataFrame:
+HEAVY_TERMS = 1000
+
+
+def tf_idf(tokens: DataFrame, doc_col: str, tokens_col: str = "tokens", heavy_terms: int = HEAVY_TERMS) -> DataFrame:
     """(doc, term, tf, df, tf_idf) with idf = ln((N + 1) / (df + 1)), MLlib's formula, in SQL form.
 
-    Document frequency is a grouped count per term; the term join is a plain
-    shuffle join (AQE splits a skewed frequent term).
+    A term with a ``heavy_terms``-th of all (doc, term) rows or more is heavy. There are at most ``heavy_terms`` of
+    them whatever the data (their rows add up to no more than all), so their document frequencies are broadcast and
+    their rows stay where they are; only the other terms are joined by a shuffle, in which no term has
+    more than that share. Nothing rests on AQE's skew join. The counts by (doc, term) are shuffled once and read by all branches.
     """
     tf = tokens.select(doc_col, F.explode(tokens_col).alias("term")).groupBy(doc_col, "term").agg(
         F.count(F.lit(1)).alias("tf"))
     n_docs = tokens.select(F.count(F.lit(1))).scalar()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    j = tf.join(dfreq, "term")
-    return j.withColumn("tf_idf", F.col("tf") * F.log((n_docs + 1) / (F.col("df") + 1)))
+    is_heavy = F.col("df") * heavy_terms >= dfreq.agg(F.sum("df")).scalar()
+    heavy = F.broadcast(dfreq.where(is_heavy))
+    many = tf.join(heavy, "term")
+    few = tf.join(heavy, "term", "left_anti").join(dfreq.where(~is_heavy), "term")
+    return many.unionByName(few).withColumn("tf_idf", F.col("tf") * F.log((n_docs + 1) / (F.col("df") + 1)))
 
 
 def lexical_diversity(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -111,3 +111,17 @@ def test_final_model_refits_the_best_grid_point(spark, monkeypatch):
     monkeypatch.setattr(M, "final_fit", lambda *a: used.append(a[4]) or fit(*a))
     assert q_final_model(spark, SF001).count() == 5
     assert used == [found]
+
+
+def test_tf_idf_keeps_heavy_terms_out_of_the_shuffle(spark):
+    from postlens.operators.lexical import tf_idf
+    docs = spark.createDataFrame([(i, ["the", "of", f"w{i % 37}", f"x{i}", "the"]) for i in range(400)], "d long, tokens array<string>").repartition(5)
+    got = tf_idf(docs, "d", heavy_terms=10)
+    rows = {(r.d, r.term): (r.tf, r.df) for r in got.collect()}
+    assert len(rows) == 1600 and rows[3, "the"] == (2, 400) and rows[3, "of"] == (1, 400) and rows[3, "x3"] == (1, 1) and rows[3, "w3"] == (1, 11)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        assert tf_idf(docs, "d", heavy_terms=1).count() == tf_idf(docs, "d", heavy_terms=100_000).count() == 1600
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
