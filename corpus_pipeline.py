@@ -5,6 +5,11 @@ kept. Toxic documents go, one document of each near-duplicate group stays,
 contaminated documents go, personal data is masked, and what is left is encoded. Each
 result is a table in the shared folder, read again as the next stage's documents, so
 a lost executor costs no more than the running stage's tasks.
+
+Null and empty texts are documents like any other (near-duplicates of one another, so one stays). Rows that
+repeat an id and a text are one document from near_dedup on; repeated or null ids with different texts
+stay apart. Ties go to the smallest id. Very long texts are worked on whole, in pieces. Further columns, also
+of clashing names, pass unchanged up to the last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_pieces, ids): the encoded corpus."""
-    extra = [F.col(c).alias(f"_{c}") for c in ("lang", "source")]
+    """(doc_id, lang, source, n_pieces, ids): the encoded corpus; lang and source are null where ``docs`` has no such column."""
+    extra = [(F.col(c) if c in docs.columns else F.lit(None).cast("string")).alias(f"_{c}") for c in ("lang", "source")]
     e = sp_wfst.encode(docs, tokenizer("piece_bpe_32k.model"), "doc_id", "text", extra)
     return e.select(F.col("id").alias("doc_id"), F.col("_lang").alias("lang"), F.col("_source").alias("source"),
                     F.size("ids").cast("long").alias("n_pieces"), "ids")
