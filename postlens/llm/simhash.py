@@ -152,11 +152,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows repeating both id and text are one document. Rows without an id go if any
     member of their group has one; a group of rows without ids stays whole.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.withColumn("_postlens_hash", text_hash)
-    near = near_duplicates(marked, id_col, text_col, width, max_bits, extra=["_postlens_hash"])
+    mark = "_postlens_hash"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    near = near_duplicates(marked, id_col, text_col, width, max_bits, extra=[mark])
     drop = near.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias("_drop_id"), F.col("_postlens_hash").alias("_drop_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_postlens_hash") == F.col("_drop_hash"))
+        F.col("id").alias("_drop_id"), F.col(mark).alias("_drop_hash")).distinct()
+    same = marked[id_col].eqNullSafe(drop["_drop_id"]) & (marked[mark] == drop["_drop_hash"])
     kept = marked.join(drop, same, "left_anti")
-    return kept.dropDuplicates([id_col, "_postlens_hash"]).drop("_postlens_hash")
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
