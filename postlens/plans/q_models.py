@@ -9,6 +9,7 @@ from postlens.operators import model as M
 from postlens.operators import prep
 from postlens.operators import vectors as VEC
 from postlens.operators.clustering import mini_batch_kmeans
+from postlens.operators.layout import landmark_layout
 from postlens.operators.ordered import md5_rank_key_sql
 from postlens.plans import views as V
 from postlens.plans.oracle_views import define, with_views
@@ -401,6 +402,12 @@ def q_project_2d(spark, d):
     return M.project_2d(auth_users(spark, d), FEATS, keep=["user_id", "label"])
 
 
+@query("project_layout")
+def q_project_layout(spark, d):
+    """Every user's place in a non-linear two-column layout."""
+    return landmark_layout(auth_users(spark, d), FEATS).select("user_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
 @query("logistic_regression")
 def q_logistic_regression(spark, d):
     train, test = _train_test(spark, d)
