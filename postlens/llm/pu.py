@@ -5,7 +5,8 @@ Only confirmed positives and unlabelled rows are used. The risk of a classifier
     prior * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - prior * E_P[loss(g, -)])
 
 with the logistic loss, so that sigmoid(g) is a probability. Rows are sets of
-feature numbers (present or absent) in compressed rows: ``ptr`` and ``idx``.
+feature numbers (present or absent) in compressed rows: ``ptr`` and ``idx``. Rows may be
+empty or repeat; callers see to it that there is at least one of either kind.
 """
 
 from __future__ import annotations

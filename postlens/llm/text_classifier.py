@@ -9,6 +9,13 @@ Fit: at most ``MAX_POSITIVE`` confirmed positives and ``MAX_UNLABELLED`` documen
 (those with the smallest hash of the id), so the driver holds a bounded sample
 whatever the corpus size; weights are numpy arrays. Scoring reads every document
 once, inside Arrow batches, without a shuffle.
+
+Features hash into ``FEATURES`` numbers, so rare words may share one, and at most ``SELECTED`` of them are kept:
+those that the bounded sample tells apart best. Null, empty and blank texts score as texts without words. Rows
+that repeat an id are one row of the sample and are scored one by one; null ids and null
+labels teach nothing and are scored. Ties in the sample's hash go to the smaller id. Very long texts are read whole, in
+pieces. Without positives or without documents (an empty table) every text scores a quarter. Only the named id,
+text and label columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
