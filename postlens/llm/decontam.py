@@ -14,7 +14,8 @@ rarer one. ``proximity_matches`` asks for all terms of a window near its rarest
 Words: A-Z in lower case, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Null and empty
 texts have no words and give a result row with zeros; test items without words are
 never found. Every row of ``documents`` has its own row number, so repeated ids and
-rows are reported one by one. Only the named columns are read. Empty tables give
+rows are reported one by one; windows that tie in rarity take the earlier term. Very long texts are indexed whole:
+their words are split in one row, their postings are rows of their own. Only the named columns are read. Empty tables give
 empty lists. Broadcasts are asked for after a count; beyond ``BROADCAST_ROWS`` the
 join is left to Spark as a shuffle join, where skewed terms are split.
 """

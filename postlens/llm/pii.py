@@ -17,6 +17,8 @@ these counts expectation-maximisation estimates how reliable each labeler is and
 probability of each pattern, and a logistic span classifier is trained on those
 probabilities; it is applied as a column expression.
 
+An empty table gives no rows and a model without evidence. Of a caller's columns ``detect`` replaces ``spans``,
+``_found`` and the working columns ``_m0`` ... and ``_g0`` ...; ``redact`` leaves all columns but the text alone.
 Null and empty texts have no spans. A text's spans stay in its row (no shuffle of
 texts, no group to gather); rows may repeat. Quantifiers are possessive where
 nothing can be given back, and a match may only begin where a longer one cannot, so

@@ -3,7 +3,8 @@
 Trusted good documents against unlabelled web text, with a class prior estimated
 from the two; see ``pu`` for the risk and ``text_classifier`` for features and bounds.
 Junk shows in its form more than in its words: style features are all used, words
-only where they differ strongly.
+only where they differ strongly. Odd rows (null and empty texts, repeated or null ids, ties, empty tables,
+clashing columns, very long texts) are treated as ``text_classifier`` states.
 """
 
 from __future__ import annotations

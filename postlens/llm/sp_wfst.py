@@ -16,7 +16,7 @@ No piece runs from another character into a blank, so a text's path is the conca
 the paths of its chunks (blanks, then other characters; line ends alone), and each worker keeps
 the paths of the chunks in use. Decoding is the inverse transducer: pieces to bytes, bytes to text, dummy
 blank off. Null and empty texts have no pieces. Texts of any length are read whole. U+2581 in
-a text reads as a blank, as the library has it. Repeated rows and ids are encoded one by one;
+a text reads as a blank, as the library has it. An empty table gives no rows. Repeated rows and ids are encoded one by one;
 columns other than id and text are not read.
 """
 

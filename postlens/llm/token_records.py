@@ -18,7 +18,7 @@ hold ascending ids; rows that repeat an id follow by hash of the text, null ids
 come first, null texts are empty (the end id alone). Files carry a fresh name per
 attempt; only the manifest rows that Spark commits make a file count, so lost
 executors and repeated tasks leave no double records. Only the id and text columns
-are read. An empty table gives an empty manifest.
+are read. An empty table gives an empty manifest. An id whose text takes 65,535 bytes or more raises an error.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 Confirmed toxic documents against unlabelled text, with a class prior estimated
 from the two; see ``pu`` for the risk and ``text_classifier`` for features and
-bounds. A text without words scores as the features of an empty text do.
+bounds. A text without words scores as the features of an empty text do; repeated or null ids, ties,
+empty tables, clashing columns and very long texts are treated as ``text_classifier`` states.
+``without_toxic`` returns exactly the columns that it was given, whatever their names.
 """
 
 from __future__ import annotations
