@@ -9,6 +9,7 @@ from postlens.operators import model as M
 from postlens.operators import prep
 from postlens.operators import vectors as VEC
 from postlens.operators.clustering import mini_batch_kmeans
+from postlens.operators.encoder import train_encoder
 from postlens.operators.layout import landmark_layout
 from postlens.operators.ordered import md5_rank_key_sql
 from postlens.plans import views as V
@@ -163,6 +164,13 @@ def q_embed_text(spark, d):
     return VEC.embed_text(V.v_doc_posts(spark, d), dim=384).select("TID", "embedding")
 
 
+@query("embed_text_trained")
+def q_embed_text_trained(spark, d):
+    """The same texts along the leading directions of the corpus."""
+    posts = V.v_doc_posts(spark, d).select("TID", "text")
+    return train_encoder(posts, dim=64, seed=SEED).encode(posts).select("TID", "embedding")
+
+
 @query("cluster_embeddings")
 def q_cluster_embeddings(spark, d):
     """Mini-batch k-means as published: k = 200, batches of 1,000, best of 3 starts."""
