@@ -364,20 +364,29 @@ def first_valid_attempts(attempts: DataFrame, settings: Sequence[str], prompt_co
                       F.coalesce(F.col("_x.first.text"), F.lit(NO_COMMENT)).alias("Generated Text"))
 
 
-def generation_records(prompts: DataFrame, results: DataFrame, id_cols: Sequence[str], key: str = "prompt_id") -> DataFrame:
-    """Result rows of ``build_variants`` rows and ``first_valid_attempts``: ids, profile columns, persona, prompt, generated
+def with_results(profiles: DataFrame, results: DataFrame, id_col: str, key: str = "prompt_id", out: str = "_results") -> DataFrame:
+    """``profiles`` with the map setting -> generated text of ``first_valid_attempts`` rows, at most one entry a setting.
+
+    Joined before ``build_variants`` multiplies the rows: prompts, which repeat a profile's texts in every variant, are never shuffled.
+    """
+    packed = results.groupBy(F.col(key).alias(id_col)).agg(F.map_from_entries(F.collect_list(F.struct("setting", "Generated Text"))).alias(out))
+    return profiles.join(packed, id_col, "left")
+
+
+def generation_records(prompts: DataFrame, id_cols: Sequence[str], results_col: str = "_results") -> DataFrame:
+    """Result rows of ``build_variants`` rows over ``with_results`` profiles: ids, profile columns, persona, prompt, generated
     text, sampler settings, model base name, setting, control.
 
     Control records carry the condition as the positive ones do (it is in the profile; published so).
     """
-    j = prompts.join(results, [key, "setting"], "left")
-    return j.select(*id_cols, F.col("age").alias("Age"), F.col("gender").alias("Gender"),
-                    F.col("education").alias("Education"), F.col("occupation").alias("Occupation"),
-                    F.array_join("interests", ", ").alias("Interests"), F.col("subreddit").alias("Subreddit"),
-                    F.col("nationality").alias("Nationality"), F.col("marital_status").alias("Marital Status"),
-                    F.col("condition").alias("Condition"), F.col("persona_line").alias("Persona"), "Prompt",
-                    F.coalesce(F.col("Generated Text"), F.lit(NO_COMMENT)).alias("Generated Text"),
-                    *SAMPLER_NAMES, "model", "setting", "control")
+    text = F.try_element_at(F.col(results_col), F.col("setting"))
+    return prompts.select(*id_cols, F.col("age").alias("Age"), F.col("gender").alias("Gender"),
+                          F.col("education").alias("Education"), F.col("occupation").alias("Occupation"),
+                          F.array_join("interests", ", ").alias("Interests"), F.col("subreddit").alias("Subreddit"),
+                          F.col("nationality").alias("Nationality"), F.col("marital_status").alias("Marital Status"),
+                          F.col("condition").alias("Condition"), F.col("persona_line").alias("Persona"), "Prompt",
+                          F.coalesce(text, F.lit(NO_COMMENT)).alias("Generated Text"),
+                          *SAMPLER_NAMES, "model", "setting", "control")
 
 
 def generation_error_rate(df: DataFrame, text_col: str = "text", group_cols: Sequence[str] = ()) -> DataFrame:

@@ -123,10 +123,11 @@ pf AS (SELECT prof.*, fs.few FROM prof LEFT JOIN fs USING (persona_id))
 """
 
 
-def variants(spark, d):
+def variants(spark, d, results=None):
     """All sixteen variants: eight settings, positive and control; retrieved texts where the setting asks for them."""
     few = P.few_shot_texts(q_models.few_shot(spark, d), V.v_member_texts(spark, d), out="_few")
     p = profiles(spark, d).join(few, "persona_id", "left").withColumn("_pos", numbered(spark, d, True)).withColumn("_ctl", numbered(spark, d, False))
+    p = p if results is None else P.with_results(p, results, "persona_id")
     examples = {}
     for setting, control in VARIANTS:
         if setting in P.EXAMPLES_INTRO:
@@ -218,7 +219,7 @@ FROM b, pf LEFT JOIN {_first_sql(setting)} r ON r.prompt_id = pf.persona_id"""
 def q_generation_records(spark, d):
     """Result records of all sixteen variants, positive and control."""
     res = P.first_valid_attempts(V.v_generated(spark, d), [s[0] for s in P.SETTINGS])
-    return P.generation_records(variants(spark, d).withColumn("prompt_id", F.col("persona_id")), res, ["persona_id"])
+    return P.generation_records(variants(spark, d, res), ["persona_id"])
 
 
 @query("generation_error_rate", with_views("v_generated") + """

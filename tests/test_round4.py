@@ -34,3 +34,18 @@ def test_search_takes_vectors_that_are_not_finite_for_none(spark):
     members = vectors(spark, [[1, 0], [float("nan"), 1], [0, float("inf")], [1, 1]], [0, 0, 0, 0])
     got = V.cluster_extremes(vectors(spark, [[2, 0], [float("nan"), 1]], [0, 0], ("persona_id", "_p", "cluster")), members).collect()
     assert [(r.persona_id, r.most_id, r.least_id) for r in got] == [(0, 0, 3)]
+
+
+def test_records_join_before_prompts_multiply(spark):
+    settings = [s[0] for s in P.SETTINGS]
+    profiles = P.sample_profiles(spark.createDataFrame([(1, "likes tea", 1), (2, None, 2)], "persona_id long, persona_text string, prompt_index long"), "persona_id")
+    tries = spark.createDataFrame([(1, 1, "word " * 60)], "prompt_id long, attempt long, text string")
+    made = P.build_variants(P.with_results(profiles, P.first_valid_attempts(tries, settings), "persona_id"), [(s, c) for s in settings for c in (False, True)])
+    out = P.generation_records(made, ["persona_id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # the tree's first explode (of the variants) stands over the join: prompts are not shuffled
+    assert min(k for k, x in enumerate(plan) if "Generate" in x) < min(k for k, x in enumerate(plan) if "Join" in x)
+    rows = out.collect()
+    assert len(rows) == 32
+    texts = {(r["persona_id"], r["Generated Text"]) for r in rows}
+    assert (2, P.NO_COMMENT) in texts and (1, ("word " * 60).strip()) in {(i, t.strip()) for i, t in texts}
