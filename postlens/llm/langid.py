@@ -15,9 +15,9 @@ the contexts to back off with. So one binary search serves all languages. The la
 is that of the lowest cross-entropy per character. Margins per character times a power of the
 number of characters, over a temperature, become probabilities; power, temperature and each
 language's usual range of cross-entropies (mean plus 4 deviations; beyond it a text is
-rejected) are fitted on at most ``CALIBRATION`` training documents that the counts leave out:
-one in ``KEPT_OUT`` of the languages with ``LEAST`` documents, by a hash of the id (without such
-languages, on documents that were counted).
+rejected) are fitted on all training documents, each measured by a model of the half (by a hash
+of the id) that it is not in; tasks add up the losses of all settings. A language of fewer than ``LEAST`` documents
+has no range; where all are such, documents are measured by the model that counted them.
 
 Null texts and texts without letters: ``und``, score 0, not accepted. Training rows
 with null lang or without letters teach nothing; without any training row every text
@@ -40,10 +40,9 @@ from postlens.llm.common import binary_texts, crc_mod, stored, text_pieces, work
 
 ORDER = 4
 FLUSH_WORDS = 200_000
-CALIBRATION = 2000
 KNOWN_WORDS = 400_000
-KEPT_OUT = 20           # one in so many rows of a language is kept out of the counts, for calibration,
-LEAST = 100             # where a language has at least so many rows
+LEAST = 100  # rows of a language that has a usual range, and that makes halves large enough to measure each other
+SETTINGS = [(power, float(t)) for power in (0.0, 0.25, 0.5, 0.75, 1.0) for t in np.geomspace(50, 0.02, 41)]
 
 
 @cache
@@ -184,12 +183,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         (F.col("discount") * F.col("kinds") / F.col("total")).alias("gamma"))
 
 
-def _estimate(counts: DataFrame, order: int) -> Model | None:
-    """Interpolated Kneser-Ney from the summed counts; None if there are none."""
-    counts = stored(counts, "langid-counts")
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    if not languages:
-        return None
+def _estimate(counts: DataFrame, order: int, languages: list[str]) -> Model:
+    """Interpolated Kneser-Ney from the summed counts."""
     shares = stored(kneser_ney(counts), "langid-shares")
     lang = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
     model, L = Model(languages, order), len(languages)
@@ -284,43 +279,84 @@ def measured(docs: DataFrame, model: Model, id_col: str, text_col: str, extra: t
     return src.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds))
 
 
+def _halves(rows: DataFrame, id_col: str, text_col: str, lang_col: str, order: int) -> DataFrame:
+    """``count_ngrams`` of the two halves of the rows, with ``half``; one reading."""
+    half = F.pmod(F.xxhash64(F.lit("calibration"), F.col(id_col)), F.lit(2)).cast("string")
+    counts = count_ngrams(rows.withColumn(lang_col, F.concat(half, F.col(lang_col).cast("string"))), lang_col, id_col, text_col, order)
+    return stored(counts.withColumn("half", F.substring("lang", 1, 1).cast("int")).withColumn("lang", F.expr("substring(lang, 2)")), "langid-counts")
+
+
+def calibration(m: DataFrame, languages: list[str], known: list[str]) -> DataFrame:
+    """(k, v): what the ``measured`` rows (with ``_lang``) of languages the model knows add up to: the losses of ``SETTINGS``, then of each
+    language the rows, cross-entropies and their squares."""
+    width, size, first = len(languages), len(SETTINGS), {x: k for k, x in enumerate(languages)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(size + 3 * width)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column(0).to_numpy().astype(float)
+            h = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            true = np.array([first[x] for x in b.column(2).to_pylist()])
+            own = h[np.arange(len(h)), true]
+            for at, (power, t) in enumerate(SETTINGS):
+                d = (own[:, None] - h) * (n ** power / t)[:, None]
+                top = d.max(axis=1)
+                loss = top + np.log(np.exp(d - top[:, None]).sum(axis=1))
+                total[at] += np.minimum(loss, -np.log(1e-6)).sum()
+            for k, w in enumerate((np.ones(len(own)), own, own * own)):
+                total[size + k * width:size + (k + 1) * width] += np.bincount(true, weights=w, minlength=width)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+
+    rows = m.where((F.col("scored") > 0) & F.col("_lang").isin(known)).select("scored", "entropies", "_lang")
+    return rows.mapInArrow(run, "k int, v double")
+
+
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           order: int = ORDER) -> Model | None:
     """The model of all rows where ``where`` holds and the language is known; None if there are none."""
     rows = docs.where(where & F.col(lang_col).isNotNull())
-    # a row for each language
-    large = [r[0] for r in rows.groupBy(F.col(lang_col).cast("string")).count().where(F.col("count") >= LEAST).collect()]
-    out = F.col(lang_col).cast("string").isin(large) & (F.pmod(F.xxhash64(F.lit("calibration"), F.col(id_col)), F.lit(KEPT_OUT)) == 0)
-    model = _estimate(count_ngrams(rows.where(~out), lang_col, id_col, text_col, order), order)
-    if model is None:
+    halves = _halves(rows, id_col, text_col, lang_col, order)
+    known: dict = {0: [], 1: []}
+    for r in halves.select("half", "lang").distinct().collect():  # a row for each language
+        known[r["half"]].append(r["lang"])
+    languages = sorted({*known[0], *known[1]})
+    if not languages:
         return None
-    languages = model.languages
-    kept = rows.where(out) if large else rows
-    chosen = kept.select(F.col(id_col).alias("_chosen")).distinct().orderBy(F.xxhash64("_chosen"), "_chosen").limit(CALIBRATION)
-    sample = kept.join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"), "left_semi")  # ids first: texts do not move
-    m = measured(sample, model, id_col, text_col, [F.col(lang_col).cast("string").alias("_lang")]).where("scored > 0").toArrow()
-    h = np.array(m.column("entropies").to_pylist()).reshape(-1, len(languages))
-    n = m.column("scored").to_numpy().astype(float)
-    true = np.array([languages.index(x) for x in m.column("_lang").to_pylist()], np.int64)
-    loss = np.inf
-    for power in (0.0, 0.25, 0.5, 0.75, 1.0):
-        for t in np.geomspace(50, 0.02, 41):  # of settings that do equally well the one with the more cautious probabilities
-            p = posterior(h, n, t, power)
-            now = -np.log(np.maximum(p[np.arange(len(true)), true], 1e-6)).mean() if len(true) else np.inf
-            if now < loss - 1e-4:
-                loss, model.temperature, model.power = now, float(t), power
-    model.limits = np.array([h[true == k, k].mean() + 4 * h[true == k, k].std() + 0.25 if (true == k).any() else np.inf
-                             for k in range(len(languages))])
+    lang = F.col(lang_col).cast("string")
+    per = {r["lang"]: r["count"] for r in rows.groupBy(lang.alias("lang")).count().collect()}
+    fitted = [(rows, None)]
+    if max(per[x] for x in languages) >= LEAST:
+        half = F.pmod(F.xxhash64(F.lit("calibration"), F.col(id_col)), F.lit(2))
+        fitted = [(rows.where(half == k), 1 - k) for k in (0, 1)]
+    whole = halves.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"),
+                                                    F.min("first").alias("first"), F.sum("count").alias("count"))
+    model, sums = None, np.zeros(len(SETTINGS) + 3 * len(languages))
+    for part, other in fitted:
+        if other is None:
+            by = model = _estimate(stored(whole, "langid-whole"), order, languages)
+        else:
+            by = _estimate(halves.where(F.col("half") == other).drop("half"), order, languages)
+        m = measured(part, by, id_col, text_col, [lang.alias("_lang")])
+        for r in calibration(m, languages, languages if other is None else known[other]).groupBy("k").agg(F.sum("v").alias("v")).collect():
+            sums[r["k"]] += r["v"]
+    if model is None:
+        model = _estimate(stored(whole, "langid-whole"), order, languages)
+    n, total, squares = sums[len(SETTINGS):].reshape(3, -1)
+    least = np.inf
+    for loss, (power, t) in zip(sums[:len(SETTINGS)] / max(n.sum(), 1), SETTINGS, strict=True):
+        if n.sum() and loss < least - 1e-4:  # of settings that do equally well the one with the more cautious probabilities
+            least, model.temperature, model.power = loss, t, power
+    mean = total / np.maximum(n, 1)
+    spread = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean * mean, 0))
+    enough = (n > 0) & np.array([fitted[0][1] is None or per[x] >= LEAST for x in languages])
+    model.limits = np.where(enough, mean + 4 * spread + 0.25, np.inf)
     return model
 
 
-def posterior(h: np.ndarray, n: np.ndarray, temperature: float, power: float) -> np.ndarray:
-    z = -h * (n ** power)[:, None] / temperature
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return e / e.sum(axis=1, keepdims=True)
-
-
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, accepted, entropy), one row per document row."""
     if model is None:

@@ -49,3 +49,19 @@ def test_records_join_before_prompts_multiply(spark):
     assert len(rows) == 32
     texts = {(r["persona_id"], r["Generated Text"]) for r in rows}
     assert (2, P.NO_COMMENT) in texts and (1, ("word " * 60).strip()) in {(i, t.strip()) for i, t in texts}
+
+
+def test_language_model_and_thresholds_use_every_training_row(spark):
+    from postlens.llm import langid
+
+    rng = np.random.default_rng(1)
+    # every text has a letter of its own; before, one row in twenty was in no count
+    rows = [(i, " ".join("".join(rng.choice(list("abcde" if i % 2 else "fghij"), 5)) for _ in range(8)) + " " + chr(0x4E00 + i), "en" if i % 2 else "xx") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs, F.lit(True))
+    gram = [g for _, g, *_ in langid.ngrams([t.split()[-1].encode() for _, t, _ in rows], 1)][0]
+    assert langid._find(m.grams[1][0], gram)[0].all()
+    got = langid.calibration(langid.measured(docs, m, "doc_id", "text", [F.col("lang").alias("_lang")]), m.languages, m.languages)
+    n = {r.k - len(langid.SETTINGS): r.v for r in got.groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    assert n[0] == n[1] == 150 and np.isfinite(m.limits).all()  # rows of each language, none left out
+    assert all(r.lang_pred == ("en" if r.id % 2 else "xx") and r.accepted for r in langid.predict(docs, m).collect())
