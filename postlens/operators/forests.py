@@ -9,7 +9,7 @@ variant's depth limit: Spark draws them in the order in which nodes are split, w
 splits above it are made by the same rule from other draws. Spark also merges sibling leaves that
 predict the same class when it fits a shallow tree; a tree that is cut keeps them apart.
 
-A forest must be small enough for a task (its nodes are at most twice its training rows for each tree).
+A forest must be small enough for a task (its nodes are at most twice its training rows for each tree); large training sets go to ``grown``.
 """
 
 from __future__ import annotations
