@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions.stop_words import STOP_WORDS
 from postlens.functions.text import words
+from postlens.session import stored
 
 TOKEN_PATTERN = r"\W+"
 
@@ -28,12 +29,14 @@ def tf_idf(tokens: DataFrame, doc_col: str, tokens_col: str = "tokens", heavy_te
     A term with a ``heavy_terms``-th of all (doc, term) rows or more is heavy. There are at most ``heavy_terms`` of
     them whatever the data (their rows add up to no more than all), so their document frequencies are broadcast and
     their rows stay where they are; only the other terms are joined by a shuffle, in which no term has
-    more than that share. Nothing rests on AQE's skew join. The counts by (doc, term) are shuffled once and read by all branches.
+    more than that share. Nothing rests on AQE's skew join. The counts by (doc, term), and by term, are written once to the shared
+    folder, so texts are read and cut into tokens once. Null terms are left out.
     """
-    tf = tokens.select(doc_col, F.explode(tokens_col).alias("term")).groupBy(doc_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    # the outer form, as Spark evaluates the tokens of the other twice more, to test for empty arrays
+    terms = tokens.select(doc_col, F.explode_outer(tokens_col).alias("term")).where(F.col("term").isNotNull())
+    tf = stored(terms.groupBy(doc_col, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     n_docs = tokens.select(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     is_heavy = F.col("df") * heavy_terms >= dfreq.agg(F.sum("df")).scalar()
     heavy = F.broadcast(dfreq.where(is_heavy))
     many = tf.join(heavy, "term")
