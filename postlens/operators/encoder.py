@@ -1,7 +1,7 @@
 """A trained text encoder: latent semantic directions of the corpus by randomised SVD, all products distributed.
 
-Texts become sparse rows once (distinct words hashed into ``buckets``, log-scaled counts times inverse document
-frequency, length one), written to the shared folder. With X these rows, a pass adds up X^T (X Q) for the
+Texts are counted once (distinct words hashed into ``buckets``, log-scaled counts) and become sparse rows (times inverse
+document frequency, length one), both written to the shared folder. With X these rows, a pass adds up X^T (X Q) for the
 current directions Q: each task multiplies its own rows and leaves one ``buckets`` x ``width`` sum, summed again in
 about sqrt(tasks) groups before it reaches the driver, which makes the directions orthonormal for the next
 pass. After ``passes`` of these the leading directions of X^T X in their span are the encoder; its size depends on
@@ -27,14 +27,16 @@ from pyspark.sql import types as T
 
 from postlens.session import stored
 
-CHUNK = 1 << 16  # entries of sparse rows multiplied at a time
+CHUNK = 1 << 16  # entries of sparse rows multiplied at a time,
+BLOCK = 512      # of at most this many rows
 
 
 def counted(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket numbers, ascending; log-scaled counts) of a text's words."""
-    found = Counter(zlib.crc32(w.encode()) % buckets for w in re.findall(r"\w+", (text or "").lower()))
-    idx = np.array(sorted(found), np.int32)
-    return idx, 1 + np.log(np.array([found[i] for i in idx.tolist()], float)) if len(idx) else np.zeros(0)
+    words = Counter(re.findall(r"\w+", (text or "").lower()))
+    at = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int32, len(words))
+    idx, place = np.unique(at, return_inverse=True)
+    return idx, 1 + np.log(np.bincount(place, np.fromiter(words.values(), float, len(words)), len(idx)))
 
 
 def weighed(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +68,6 @@ def _sums(df: DataFrame, make, size: int) -> np.ndarray:
     return sum((np.frombuffer(r["s"]) for r in rows), np.zeros(size))
 
 
-def _product(idx: np.ndarray, val: np.ndarray, ptr: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Rows (idx, val between ptr) times q, for rows with at least one entry."""
-    return np.add.reduceat(val[:, None] * q[idx], ptr[:-1], axis=0)
-
-
 def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """X^T (X q) over all sparse rows (idx, val)."""
 
@@ -82,13 +79,11 @@ def gram_times(rows: DataFrame, q: np.ndarray) -> np.ndarray:
             ends = np.concatenate([[0], np.cumsum(counts)])
             at = 0
             while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
-                i, v, ptr = idx[ends[at]:ends[to]], val[ends[at]:ends[to]], ends[at:to + 1] - ends[at]
-                y = _product(i, v, ptr, q)
-                part = v[:, None] * np.repeat(y, np.diff(ptr), axis=0)
-                order = np.argsort(i, kind="stable")
-                cuts = np.flatnonzero(np.diff(i[order], prepend=-1))
-                out[i[order][cuts]] += np.add.reduceat(part[order], cuts, axis=0)
+                to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1), at + BLOCK)
+                used, place = np.unique(idx[ends[at]:ends[to]], return_inverse=True)
+                x = np.zeros((to - at, len(used)))  # few rows and only their buckets, so full products are fast and small
+                x[np.repeat(np.arange(to - at), counts[at:to]), place] = val[ends[at]:ends[to]]
+                out[used] += x.T @ (x @ q[used])
                 at = to
         return out
 
@@ -125,31 +120,47 @@ class Encoder:
 
 
 def train_encoder(df: DataFrame, text_col: str = "text", dim: int = 64, buckets: int = 8192, passes: int = 4, extra: int = 16, seed: int = 42) -> Encoder:
-    """The encoder of a corpus: ``passes`` + 3 readings, of which only two read texts."""
+    """The encoder of a corpus: ``passes`` + 3 readings, of which only the first reads texts."""
     texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
 
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [counted(t.as_py(), buckets) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
+                                             ["idx", "val"])
+
+    kind = "idx array<int>, val array<double>"
+    counts = stored(texts.mapInArrow(count, kind), "encoder-counts")
+
     def documents(batches):
         out = np.zeros(buckets + 1)
         for b in batches:
-            for t in b.column(0):
-                idx, _ = counted(t.as_py(), buckets)
-                out[idx] += 1
-                out[-1] += 1
+            out[:-1] += np.bincount(b.column(0).flatten().to_numpy(), minlength=buckets)
+            out[-1] += b.num_rows
         return out
 
-    seen = _sums(texts, documents, buckets + 1)
+    seen = _sums(counts, documents, buckets + 1)
     idf = np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1
 
     def weigh(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            got = [weighed(t.as_py(), idf) for t in b.column(0)]
-            got = [g for g in got if len(g[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float64()))],
-                                             ["idx", "val"])
-
-    rows = stored(texts.mapInArrow(weigh, "idx array<int>, val array<double>"), "encoder-rows")
+            b = b.filter(pc.greater(pc.list_value_length(b.column(0)), 0))
+            if not b.num_rows:
+                continue
+            sizes = np.diff(b.column(0).offsets.to_numpy())
+            idx, val = b.column(0).flatten(), b.column(1).flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            val = val * idf[idx.to_numpy()]
+            val /= np.repeat(np.sqrt(np.add.reduceat(val * val, ends[:-1])), sizes)
+            ends = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, idx), pa.ListArray.from_arrays(ends, pa.array(val))], ["idx", "val"])
+
+    rows = stored(counts.mapInArrow(weigh, kind), "encoder-rows")
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(buckets, min(dim + extra, buckets))))[0]
     for _ in range(passes):
         q = np.linalg.qr(gram_times(rows, q))[0]

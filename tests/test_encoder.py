@@ -1,6 +1,9 @@
 """The trained encoder against numpy, and against hashed counts."""
 
+import zlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from postlens.operators import encoder as E
 from postlens.operators import vectors as V
@@ -42,3 +45,17 @@ def test_related_texts_without_shared_words_come_closer(spark):
     assert not a[3].any() and not a[4].any()
     empty = E.train_encoder(df.where("false"), dim=3, buckets=64)
     assert not empty.axes.any() and enc.encode(df.where("false")).count() == 0
+
+
+def test_texts_are_read_once_to_train(spark):
+    read = spark.sparkContext.accumulator(0)
+    texts = F.udf(lambda i: read.add(1) or (None if i == 7 else " ".join(f"w{i % k}" for k in range(1, 40))))
+    df = spark.range(60, numPartitions=3).select(texts("id").alias("text"))
+    enc = E.train_encoder(df, dim=5, buckets=256, passes=3)
+    assert read.value == 60
+    got = E.counted("b a B c", 256)
+    assert got[0].tolist() == sorted(zlib.crc32(w) % 256 for w in (b"a", b"b", b"c")) and sorted(got[1]) == [1, 1, 1 + np.log(2)]
+    x = dense([r.text for r in df.collect()], enc.idf)
+    q = np.random.default_rng(1).normal(size=(256, 4))
+    rows = spark.createDataFrame([(i.tolist(), v.tolist()) for i, v in (E.weighed(r.text, enc.idf) for r in df.collect()) if len(i)], "idx array<int>, val array<double>")
+    assert np.allclose(E.gram_times(rows, q), x.T @ (x @ q))
