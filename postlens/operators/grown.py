@@ -8,12 +8,14 @@ scored are dealt the same way, so no forest is ever read into one place. Gini ga
 node, a split only where the gain is positive and both sides keep the leaf size: Spark's rules.
 
 All draws are hashes of the seed, the tree and the row's number or the node's place, so ``ROWS`` and the order of the tasks do not change
-the forest; the rows' numbers follow the partitions of the training set. Missing values go right. Repeated rows are rows of their own.
-A node of equal rows is not split or dealt, however large. Null labels count as class 0.
+the forest; the rows' numbers follow the partitions of the training set. Training rows without a label or with a missing or infinite
+feature are refused, as by Spark's forest; missing values of rows to be scored go right. Repeated rows are rows of their own.
+A node of equal rows is not split or dealt, however large.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -150,9 +152,13 @@ class GrownForest:
 
     def __init__(self, train: DataFrame, features: Sequence[str], label_col: str, seed: int):
         plain = stored(train.select(*[F.col(f"`{f}`").cast("double").alias(f"f{k}") for k, f in enumerate(features)],
-                                    F.coalesce(F.col(f"`{label_col}`") == 1, F.lit(False)).cast("tinyint").alias("y"),
+                                    (F.col(f"`{label_col}`") == 1).cast("tinyint").alias("y"),
                                     F.monotonically_increasing_id().alias("id")), "forest-rows")
-        self.features, self.label, self.seed, self.rows, self.count = list(features), label_col, seed, plain, plain.count()
+        fit = [F.col("y").isNotNull(), *[F.coalesce(F.abs(f"f{k}") < F.lit(math.inf), F.lit(False)) for k in range(len(features))]]
+        count, bad = plain.agg(F.count(F.lit(1)), F.count_if(~functools.reduce(lambda a, b: a & b, fit))).first()
+        if bad:
+            raise ValueError(f"{bad} training rows without a label or with a missing or infinite feature")
+        self.features, self.seed, self.rows, self.count = list(features), seed, plain, count
         self.edges = bin_edges(plain, [f"f{k}" for k in range(len(features))])
         self.parallel = train.sparkSession.sparkContext.defaultParallelism
 
