@@ -128,33 +128,30 @@ def rf_grid_search(train: DataFrame, dev: DataFrame, features: Sequence[str], la
     """
     g = grid or RF_GRID
     combos = list(itertools.product(g["numTrees"], g["maxDepth"], g["min_samples_split"], g["minInstancesPerNode"]))
-    tr = cut_lineage(assemble(train, features).select("features", label_col))
-    dv = cut_lineage(dev.select(*features, label_col))
-    large = None
-    if tr.count() > SPARK_ROWS:
-        large = GrownForest(tr.select(label_col, vector_to_array("features").alias("_x")).select(
-            label_col, *[F.col("_x")[k].alias(f) for k, f in enumerate(features)]), features, label_col, seed)
+    rows, dv = (cut_lineage(df.select(*[F.col(f).cast("double").alias(f) for f in features], label_col)) for df in (train, dev))
     deepest = None if None in g["maxDepth"] else max(g["maxDepth"])
-    variants = list(itertools.product(g["numTrees"], g["maxDepth"], g["min_samples_split"]))
-
-    def grown(leaf):
-        y = F.coalesce(F.col(label_col) == 1, F.lit(False))
-        s = large.scores(dv, variants, UNLIMITED_DEPTH if deepest is None else deepest, leaf)
-        p = [F.col("_p")[k] > 0.5 for k in range(len(variants))]
-        got = s.agg(*[F.count_if(c) for x in p for c in (x & y, x & ~y, ~x & y)]).first()
-        return {v: tuple(got[3 * k:3 * k + 3]) for k, v in enumerate(variants)}
+    variants, leaves = list(itertools.product(g["numTrees"], g["maxDepth"], g["min_samples_split"])), list(g["minInstancesPerNode"])
+    tr = assemble(rows, features).select("features", label_col)
 
     def fit(leaf):
         params = rf_params(deepest, leaf, max(g["numTrees"]))
         forest = Forest.read(RandomForestClassifier(featuresCol="features", labelCol=label_col, seed=seed, maxMemoryInMB=1024,
                                                     cacheNodeIds=True, **params).fit(tr), train.sparkSession)
-        return dict(zip(variants, class1_counts(dv, forest, features, label_col, variants), strict=True))
+        return class1_counts(dv, forest, features, label_col, variants)
 
-    with ThreadPoolExecutor(max_workers=1 if large else parallelism) as ex:
-        counts = dict(zip(g["minInstancesPerNode"], ex.map(grown if large else fit, g["minInstancesPerNode"]), strict=True))
+    if rows.count() > SPARK_ROWS:
+        scored = GrownForest(rows, features, label_col, seed).scores(dv, variants, UNLIMITED_DEPTH if deepest is None else deepest, leaves)
+        y = F.coalesce(F.col(label_col) == 1, F.lit(False))
+        p = [F.col("_p")[k] > 0.5 for k in range(len(leaves) * len(variants))]
+        got = scored.agg(*[F.count_if(c) for x in p for c in (x & y, x & ~y, ~x & y)]).first()
+        found = [tuple(got[3 * k:3 * k + 3]) for k in range(len(p))]
+    else:
+        with ThreadPoolExecutor(max_workers=parallelism) as ex:
+            found = [c for counts in ex.map(fit, leaves) for c in counts]
+    counts = dict(zip(itertools.product(leaves, variants), found, strict=True))
     results, best = [], None
     for nt, md, ms, ml in combos:
-        tp, fp, fn = counts[ml][nt, md, ms]
+        tp, fp, fn = counts[ml, (nt, md, ms)]
         f1 = 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0
         results.append({"n_estimators": nt, "max_depth": md, "min_samples_split": ms, "min_samples_leaf": ml, "dev_f1": f1})
         if best is None or f1 > best["dev_f1"]:  # grid order, first strictly better wins
