@@ -1,19 +1,21 @@
 """Random forests grown by Spark tasks: large nodes from summed histograms, small ones where their rows are dealt to.
 
 Spark's own forest grows every tree level by level through the driver, which is slow once the trees have many leaves.
-Here features become bins (``BINS``, as Spark's ``maxBins``) and every tree draws its bootstrap as a Poisson count for each row.
+Here features become bins (``BINS``, as Spark's ``maxBins``) and rows of equal bins become one cell with its numbers of rows of each
+class, so the work is in proportion to the cells, which are no more than the rows or ``BINS ** features``. Every tree draws how often a
+cell's rows of a class are in its bootstrap as a Poisson count whose mean is their number: the sum of a Poisson count for each row.
 A node with more than ``ROWS`` rows is split from histograms that tasks leave and Spark adds up, a pass for each level; rows
 of a smaller node are dealt by (tree, node) and one task grows what is below it, down to pure leaves or the depth limit. Rows to be
 scored are dealt the same way, so no forest is ever read into one place. Gini gain, ceil(sqrt(features)) features drawn for each
 node, a split only where the gain is positive and both sides keep the leaf size: Spark's rules.
 
-A task holds a row as the bins of its features, five bits each, and one number for (rows, class 1); rows of equal bins are one.
-Rows of a node lie side by side. Nodes of a few rows try every row's bin as the cut, others add up a histogram of the drawn
+A task holds a cell as the bins of its features, five bits each, and one number for (rows, class 1).
+Cells of a node lie side by side. Nodes of a few cells try every cell's bin as the cut, others add up a histogram of the drawn
 features; both give the same split. Forests that differ only in leaf size share the draws, the nodes above and the dealt rows.
 What a task leaves of the rows to be scored is packed by (block of rows, tree) and added up block by block.
 
-All draws are hashes of the seed, the tree and the row's number or the node's place, so ``ROWS`` and the order of the tasks do not change
-the forest; the rows' numbers follow the partitions of the training set. Training rows without a label or with a missing or infinite
+All draws are hashes of the seed, the tree and the cell's bins or the node's place, so neither ``ROWS`` nor the order or partitions of
+the rows change the forest. Training rows without a label or with a missing or infinite
 feature are refused, as by Spark's forest; missing values of rows to be scored go right. Repeated rows are rows of their own.
 A node of equal rows is not split or dealt, however large.
 """
@@ -41,11 +43,7 @@ SMALL = (2, 4, 8)  # nodes of at most so many rows try every row's bin
 ONE = 2.0**26      # a row of class 1 counts as 1 + ONE
 FLUSH = 1 << 24    # bytes of dealt rows a task holds
 BLOCK = 12         # rows to be scored are added up 2 ** BLOCK at a time
-CDF = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
-# the count by the first 12 bits of a hash; 255 where they do not tell
-_ENDS = [np.searchsorted(CDF, np.arange(k, 4096 + k) / 4096 - k * 2.0**-53, side="right") for k in (0, 1)]
-COUNTS = np.where(_ENDS[0] == _ENDS[1], _ENDS[0], 255).astype(np.uint8)
-
+PART = 8           # Poisson counts are drawn for means of at most 2 ** PART
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
@@ -62,16 +60,56 @@ def _of_tree(seeded: np.ndarray, tree: int) -> np.ndarray:
     return _mixed(seeded + np.uint64(tree * 0x632BE59BD9B4E019 % 2**64))
 
 
-def _poisson(hashed: np.ndarray) -> np.ndarray:
-    out = COUNTS[hashed >> np.uint64(52)]
-    unsure = np.flatnonzero(out == 255)
-    out[unsure] = np.searchsorted(CDF, (hashed[unsure] >> np.uint64(11)) * 2.0**-53, side="right")
+def _cdf(bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distribution of a Poisson count of mean 2 ** bit, and the count by the first 12 bits of a hash (-1 where they do not tell)."""
+    mean = 2**bit
+    ends = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(mean + 16 + 12 * math.isqrt(mean))])
+    low, high = (np.searchsorted(ends, np.arange(k, 4096 + k) / 4096 - k * 2.0**-53, side="right") for k in (0, 1))
+    return ends, np.where(low == high, low, -1).astype(np.int16)
+
+
+CDFS = [_cdf(bit) for bit in range(PART + 1)]
+
+
+def _poisson(hashed: np.ndarray, bit: int) -> np.ndarray:
+    ends, counts = CDFS[bit]
+    out = counts[hashed >> np.uint64(52)]
+    unsure = np.flatnonzero(out < 0)
+    out[unsure] = np.searchsorted(ends, (hashed[unsure] >> np.uint64(11)) * 2.0**-53, side="right")
     return out
 
 
 def bootstrap(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row is in the tree's bootstrap: Poisson with mean 1."""
-    return _poisson(_of_tree(_seeded(ids, seed), tree))
+    return _poisson(_of_tree(_seeded(ids, seed), tree), 0)
+
+
+class Draws:
+    """Poisson counts for cells that stand for many rows: a count for each power of two in a number of rows."""
+
+    def __init__(self, code: np.ndarray, counts: Sequence[np.ndarray], seed: int):
+        cell = functools.reduce(lambda h, word: _seeded(_mixed(h) ^ word.astype(np.uint64), seed), code, np.zeros(code.shape[1], np.uint64))
+        self.cells, self.parts = code.shape[1], []
+        for label, n in enumerate(counts):
+            for bit in range(PART + 1):
+                times = n >> bit if bit == PART else n >> bit & 1
+                at = np.flatnonzero(times)
+                at = np.repeat(at, times[at])
+                if len(at):
+                    # which count of its cell it is: class, power of two, repetition
+                    again = np.arange(len(at)) - np.searchsorted(at, at)
+                    self.parts.append((label, bit, at, _mixed(cell[at] + (again * 64 + bit * 2 + label).astype(np.uint64))))
+
+    def of(self, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of class 0, of class 1) of each cell in the tree's bootstrap."""
+        out = np.zeros((2, self.cells), np.int64)
+        for label, bit, at, hashed in self.parts:
+            n = _poisson(_of_tree(hashed, tree), bit)
+            if bit < PART:
+                out[label, at] += n
+            else:
+                out[label] += np.bincount(at, n, self.cells).astype(np.int64)
+        return out
 
 
 def drawn(paths: np.ndarray, tree: int, seed: int, features: int) -> np.ndarray:
@@ -245,6 +283,12 @@ def stop_shares(forest: Forest, limits: Sequence[tuple]) -> np.ndarray:
     return out
 
 
+def cells(batch, seed: int) -> tuple[np.ndarray, Draws]:
+    """The bins and the draws of a batch of training cells."""
+    *code, n0, n1 = (c.to_numpy() for c in batch.columns)
+    return np.stack(code), Draws(np.stack(code), (n0, n1), seed)
+
+
 class Top:
     """The nodes of one tree that all tasks know: feature, cut, left, right, rows, class 1, path, depth, parent, whether still to be split."""
 
@@ -298,14 +342,14 @@ class GrownForest:
 
     def __init__(self, train: DataFrame, features: Sequence[str], label_col: str, seed: int):
         plain = stored(train.select(*[F.col(f"`{f}`").cast("double").alias(f"f{k}") for k, f in enumerate(features)],
-                                    (F.col(f"`{label_col}`") == 1).cast("tinyint").alias("y"),
-                                    F.monotonically_increasing_id().alias("id")), "forest-rows")
+                                    (F.col(f"`{label_col}`") == 1).cast("tinyint").alias("y")), "forest-rows")
         fit = [F.col("y").isNotNull(), *[F.coalesce(F.abs(f"f{k}") < F.lit(math.inf), F.lit(False)) for k in range(len(features))]]
         count, bad = plain.agg(F.count(F.lit(1)), F.count_if(~functools.reduce(lambda a, b: a & b, fit))).first()
         if bad:
             raise ValueError(f"{bad} training rows without a label or with a missing or infinite feature")
-        self.features, self.seed, self.rows, self.count = list(features), seed, plain, count
+        self.features, self.seed, self.count = list(features), seed, count
         self.edges = bin_edges(plain, [f"f{k}" for k in range(len(features))])
+        self.rows = stored(self._cells(plain), "forest-cells")
         self.parallel = train.sparkSession.sparkContext.defaultParallelism
 
     def _binned(self):
@@ -317,10 +361,26 @@ class GrownForest:
 
         return matrix
 
+    def _cells(self, plain: DataFrame) -> DataFrame:
+        """(c0, ... words of the bins, n0, n1 rows of each class)."""
+        matrix, width = self._binned(), len(self.features)
+        words = [f"c{k}" for k in range(-(-width // WORD))]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if b.num_rows:
+                    y = b.column(width).to_numpy().astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in matrix(b)), pa.array(1 - y), pa.array(y)], [*words, "n0", "n1"])
+
+        rows = plain.mapInArrow(run, ", ".join(f"{c} long" for c in [*words, "n0", "n1"]))
+        return rows.groupBy(*words).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
     def _split_large(self, trees: int, limit: int, leaf: int) -> list[Top]:
         """The nodes above those that fit a task, a pass over the rows for each level."""
         tops = [Top(self.count > ROWS) for _ in range(trees)]
-        matrix, seed, width = self._binned(), self.seed, len(self.features)
+        seed, width = self.seed, len(self.features)
 
         def sums(todo):
             tables, places = {t: tops[t].routes() for t in todo}, {}
@@ -336,18 +396,20 @@ class GrownForest:
                 for b in batches:
                     if not b.num_rows:
                         continue
-                    code, one, seeded = matrix(b), b.column(width).to_numpy() * ONE, _seeded(b.column(width + 1).to_numpy(), seed)
+                    code, draws = cells(b, seed)
                     for tree, use in uses.items():
-                        w = _poisson(_of_tree(seeded, tree))
-                        on = np.flatnonzero(w)
+                        zeros, ones = draws.of(tree)
+                        on = np.flatnonzero(zeros + ones)
                         slot = places[tree][descend(tables[tree], code[:, on])]
                         if (slot < 0).any():
                             on, slot = on[slot >= 0], slot[slot >= 0]
-                        own, weight, h = code[:, on], w[on] * (1 + one[on]), np.empty((2, len(use), use.shape[1], BINS))
+                        own, h = code[:, on], np.empty((2, len(use), use.shape[1], BINS))
                         for j in range(use.shape[1]):
                             f = use[slot, j]
                             c = own[0] if len(own) == 1 else own[f // WORD, np.arange(len(f))]
-                            h[:, :, j] = [u.reshape(-1, BINS) for u in unpacked(np.bincount(slot * BINS + (c >> 5 * (f % WORD) & (BINS - 1)), weight, len(use) * BINS))]
+                            at = slot * BINS + (c >> 5 * (f % WORD) & (BINS - 1))
+                            h[1, :, j] = np.bincount(at, ones[on], len(use) * BINS).reshape(-1, BINS)
+                            h[0, :, j] = np.bincount(at, zeros[on], len(use) * BINS).reshape(-1, BINS) + h[1, :, j]
                         if tree in total:
                             total[tree] += h
                         else:
@@ -439,19 +501,15 @@ class GrownForest:
                 for b in batches:
                     if not b.num_rows:
                         continue
-                    code, ids = matrix(b), b.column(width + 1).to_numpy()
+                    code, draws = cells(b, seed) if training else (matrix(b), None)
                     bins = np.ascontiguousarray(code.T).view(np.uint8)[:, :wide]
-                    if training:
-                        y, seeded = b.column(width).to_numpy().astype(np.uint8), _seeded(ids, seed)
-                        packed = np.column_stack([y, bins])
-                    else:
-                        packed = np.column_stack([ids.astype("<i8").view(np.uint8).reshape(-1, 8), bins])
+                    if not training:
+                        packed = np.column_stack([b.column(width + 1).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), bins])
                     for tree, table in enumerate(tables):
                         if training:
-                            w = _poisson(_of_tree(seeded, tree))
-                            on = np.flatnonzero(w)
-                            rows = packed[on]
-                            rows[:, 0] += 2 * w[on]
+                            counts = draws.of(tree)
+                            on = np.flatnonzero(counts.any(axis=0))
+                            rows = np.column_stack([np.ascontiguousarray(counts[:, on].T, "<u4").view(np.uint8), bins[on]])
                         else:
                             on, rows = slice(None), packed
                         if len(table) == 1:
@@ -486,7 +544,7 @@ class GrownForest:
             top = tops[tree]
             n = top.nodes[node]
             read = lambda t, columns: np.frombuffer(b"".join(pdf.rows[pdf.training == t]), np.uint8).reshape(-1, columns)
-            fit, rest = read(True, wide + 1), read(False, wide + 8)
+            fit, rest = read(True, wide + 8), read(False, wide + 8)
             number = np.ascontiguousarray(rest[:, :8]).view("<i8").ravel()
             order = np.argsort(number)
             number, code = number[order], words(rest[order, 8:])
@@ -500,7 +558,8 @@ class GrownForest:
                     share[:, k] = a[5] / a[4]
             if below and len(fit):
                 under = [(None if limits[k][0] is None else limits[k][0] - n[7], limits[k][1]) for k in below]
-                rows, w = _merged(words(fit[:, 1:]), (fit[:, 0] >> 1) * (1 + (fit[:, 0] & 1) * ONE))
+                counts = np.ascontiguousarray(fit[:, :8]).view("<u4").astype(float)
+                rows, w = words(fit[:, 8:]), counts.sum(axis=1) + counts[:, 1] * ONE
                 for k, leaf in enumerate(leaves):
                     forest = _grown(rows, w, width, tree, n[6], n[7], limit, leaf, seed)
                     share[k, below] = stop_shares(forest, under)[:, descend(routes(forest.feature, forest.threshold, forest.left), code)]
